@@ -1,0 +1,209 @@
+"""Streaming jobs. One job scores messages into a table; the others follow that table.
+
+The scored table is written by the exactly-once file sink and plays the part of a topic:
+history, alerts, figures and outgoing messages are separate queries that read it as a stream,
+so a slow or failing one does not hold up scoring. Jobs that write per batch replace the
+folder of their batch, which makes a retried batch harmless.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallywarden.functions.message import scored_messages
+from tallywarden.operators import kpis
+from tallywarden.operators.alerts import UNKNOWN_USER, score_alerts
+from tallywarden.operators.forest import Forest
+from tallywarden.operators.history import Store
+from tallywarden.operators.ordered import trailing_count
+from tallywarden.operators.validate import rejected_rows, valid_rows, with_rejects_filled
+from tallywarden.plans.scoring import judge
+from tallywarden.schemas import DEFAULT_THRESHOLD, DEFAULT_WINDOW_SECONDS, FEATURE_VECTOR, MICROS
+from tallywarden.streaming.features import features_stream
+
+SCORED = T.StructType(
+    [
+        T.StructField("seq", T.LongType()),
+        T.StructField("transaction_id", T.StringType()),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("amount", T.DoubleType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("us", T.LongType()),
+        T.StructField("ts", T.TimestampType()),
+        *FEATURE_VECTOR.fields,
+        T.StructField("is_late", T.BooleanType()),
+        T.StructField("anomaly_score", T.DoubleType()),
+        T.StructField("is_anomaly", T.BooleanType()),
+        T.StructField("explanation", T.ArrayType(T.StringType())),
+        T.StructField("processed_ts", T.TimestampType()),
+    ]
+)
+
+
+def scored_stream(
+    decoded: DataFrame,
+    forest: Forest,
+    threshold: float = DEFAULT_THRESHOLD,
+    window_seconds: int = DEFAULT_WINDOW_SECONDS,
+    fill_missing: bool = False,
+    processed: Column | None = None,
+    idle_ttl_ms: int | None = None,
+) -> DataFrame:
+    """Decoded messages to scored events. Rejected rows never reach a user's state."""
+    featured = features_stream(valid_rows(decoded), window_seconds, idle_ttl_ms)
+    if fill_missing:
+        featured = with_rejects_filled(featured, rejected_rows(decoded)).fillna({"is_late": False})
+    judged = judge(featured, forest, threshold, fill_missing)
+    stamped = judged.withColumn("processed_ts", F.current_timestamp() if processed is None else processed)
+    return stamped.select(SCORED.fieldNames())
+
+
+def write_scored(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append scored events to a table, each exactly once."""
+    writer = scored.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
+def follow(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The scored table as a stream."""
+    reader = spark.readStream.schema(SCORED)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
+
+
+def per_batch(stream: DataFrame, handle, checkpoint: str, mode: str = "append", available_now: bool = True) -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def persist(scored: DataFrame, store: Store, checkpoint: str, **options) -> StreamingQuery:
+    """Keep the three history tables up to date."""
+    store.init()
+    return per_batch(scored, lambda batch, batch_id: store.append(batch, batch_id), checkpoint, **options)
+
+
+def publish_files(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Scored messages as JSON lines, each exactly once."""
+    writer = (
+        scored_messages(scored).select("value").writeStream.format("text").option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
+def publish_kafka(scored: DataFrame, options: dict[str, str], checkpoint: str) -> StreamingQuery:
+    """Scored messages to a topic, keyed by user."""
+    return (
+        scored_messages(scored).writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
+    )
+
+
+def score_alert_stream(scored: DataFrame, path: str, checkpoint: str, threshold: float, trigger: str = "above") -> StreamingQuery:
+    """Score alerts need no state: a filter."""
+    writer = score_alerts(scored, threshold, trigger).writeStream.format("parquet")
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def rate_alert_stream(
+    scored: DataFrame,
+    path: str,
+    checkpoint: str,
+    limit: int = 10,
+    window_seconds: int = 60,
+    scope: str = "global",
+    **options,
+) -> StreamingQuery:
+    """Rate alerts, global or per user, without sending all anomalies through one task.
+
+    Anomalies are kept below ``path``/anomalies. A batch counts its own anomalies together
+    with the kept ones of the last window, with the same spread-out count as the batch form.
+    """
+    window_us = int(window_seconds) * MICROS
+    columns = ["alert_key", "seq", "user_id", "us", "ts", "anomaly_score"]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        key = F.lit("global") if scope == "global" else F.coalesce(F.col("user_id"), F.lit(UNKNOWN_USER))
+        batch.where("is_anomaly").withColumn("alert_key", key).select(columns).write.mode("overwrite").parquet(
+            f"{path}/anomalies/batch_id={batch_id}"
+        )
+        kept = spark.read.parquet(f"{path}/anomalies")
+        start = kept.where(F.col("batch_id") == batch_id).agg(F.min("us")).first()[0]
+        if start is None:
+            return
+        near = kept.where((F.col("batch_id") <= batch_id) & (F.col("us") >= start - window_us))
+        counted = trailing_count(near, None if scope == "global" else "alert_key", window_us)
+        raised = counted.where((F.col("batch_id") == batch_id) & (F.col("window_count") > int(limit)))
+        raised.drop("batch_id").write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+
+    return per_batch(scored, handle, checkpoint, **options)
+
+
+def rate_alerts_so_far(spark: SparkSession, path: str) -> DataFrame:
+    schema = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double, window_count bigint, batch_id bigint"
+    return _read(spark, f"{path}/alerts", schema).drop("batch_id")
+
+
+def minute_stream(scored: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Events and anomalies per event-time minute; each batch writes the minutes it changed."""
+    minutes = scored.groupBy(F.window("ts", "1 minute").start.alias("minute")).agg(
+        F.count("*").alias("total_events"), F.count_if("is_anomaly").alias("anomalies")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return per_batch(minutes, handle, checkpoint, mode="update", **options)
+
+
+def minutes_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """The newest counts of every minute."""
+    schema = "minute timestamp, total_events bigint, anomalies bigint, batch_id bigint"
+    newest = F.max_by(F.struct("total_events", "anomalies"), "batch_id")
+    return _read(spark, path, schema).groupBy("minute").agg(newest.alias("c")).select("minute", "c.*")
+
+
+def totals_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """Totals, rate and risk over all minutes seen."""
+    sums = minutes_so_far(spark, path).agg(
+        F.coalesce(F.sum("total_events"), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum("anomalies"), F.lit(0)).alias("anomalies"),
+    )
+    return kpis.with_rate(sums)
+
+
+def live_view(scored: DataFrame, path: str, checkpoint: str, rows: int = kpis.BUFFER_ROWS, **options) -> StreamingQuery:
+    """Keep the newest rows: each batch merges its newest with those of the batch before."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = _read(spark, path, _live_schema()).where(F.col("batch_id") < batch_id)
+        before = earlier.where(F.col("batch_id") == (earlier.agg(F.max("batch_id")).first()[0] or 0)).drop("batch_id")
+        both = batch.unionByName(before).orderBy(F.desc("us"), F.desc("seq")).limit(rows)
+        both.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return per_batch(scored, handle, checkpoint, **options)
+
+
+def live_rows_now(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the newest batch."""
+    views = _read(spark, path, _live_schema())
+    newest = views.agg(F.max("batch_id")).first()[0]
+    return views.where(F.col("batch_id") == (-1 if newest is None else newest)).drop("batch_id")
+
+
+def _live_schema() -> T.StructType:
+    return T.StructType([*SCORED.fields, T.StructField("batch_id", T.LongType())])
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
