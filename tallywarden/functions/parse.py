@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted ISO-8601 shapes. Groups of CALENDAR: year, month, day,
-# hour, minute, second, fraction, zone. Groups of WEEK: year, week, weekday, then the same tail.
+# The accepted ISO-8601 shapes. Groups of CALENDAR: year, month, day, hour,
+# minute, second, fraction, zone. Groups of WEEK: year, week, weekday, then the same tail.
 _TIME = r"(?:.([01]\d|2[0-3])(?::?([0-5]\d))?(?::?([0-5]\d))?(?:[.,](\d+))?(Z|[+-]\d{2}(?::?[0-5]\d)?)?)?$"
 CALENDAR = r"^(\d{4})-?(\d{2})-?(\d{2})" + _TIME
 WEEK = r"^(\d{4})-?W(\d{2})-?([1-7])?" + _TIME
+# The common form, which Spark casts as it is.
+PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
 NUMBER = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
 
 
@@ -27,37 +29,22 @@ def iso_timestamp(text: Column) -> Column:
     +hhmm or +hh:mm. Text without an offset is UTC. Digits beyond microseconds are cut.
     """
 
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def clock(pattern: str) -> Column:
-        zone = part(pattern, 8)
-        return F.concat(
-            F.lit("T"),
-            F.when(part(pattern, 4) == "", "00").otherwise(part(pattern, 4)),
-            F.lit(":"),
-            F.when(part(pattern, 5) == "", "00").otherwise(part(pattern, 5)),
-            F.lit(":"),
-            F.when(part(pattern, 6) == "", "00").otherwise(part(pattern, 6)),
-            F.lit("."),
-            F.rpad(F.substring(part(pattern, 7), 1, 6), 6, "0"),
-            F.when((zone == "") | (zone == "Z"), "+00:00")
-            .when(F.length(zone) == 3, F.concat(zone, F.lit(":00")))
-            .when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
-            .otherwise(zone),
-        )
-
-    calendar = F.concat(part(CALENDAR, 1), F.lit("-"), part(CALENDAR, 2), F.lit("-"), part(CALENDAR, 3), clock(CALENDAR))
-    # Week 1 holds 4 January; the text of that Monday's week plus an offset in days is the date.
-    fourth = F.concat(part(WEEK, 1), F.lit("-01-04")).try_cast("date")
-    days = (part(WEEK, 2).try_cast("int") - 1) * 7 + F.coalesce(part(WEEK, 3).try_cast("int"), F.lit(1)) - 1
-    day = F.date_add(F.trunc(fourth, "week"), days)
-    real_week = (F.weekofyear(day) == part(WEEK, 2).try_cast("int")) & (part(WEEK, 2) != "00")
-    week = F.when(real_week, F.concat(F.date_format(day, "yyyy-MM-dd"), clock(WEEK)))
-    return (
-        F.when(text.rlike(CALENDAR), calendar.try_cast("timestamp"))
-        .when(text.rlike(WEEK), week.try_cast("timestamp"))
+    tail = "T$4:$5:$6.$7@$8"
+    year, week, weekday = (F.regexp_replace(text, WEEK, f"${group}") for group in (1, 2, 3))
+    # Week 1 is the one that holds 4 January.
+    first_monday = F.trunc(F.concat(year, F.lit("-01-04")).try_cast("date"), "week")
+    days = (week.try_cast("int") - 1) * 7 + F.coalesce(weekday.try_cast("int"), F.lit(1)) - 1
+    day = F.date_add(first_monday, days)
+    in_year = F.weekofyear(day) == week.try_cast("int")
+    spread = F.when(text.rlike(CALENDAR), F.regexp_replace(text, CALENDAR, "$1-$2-$3" + tail)).when(
+        text.rlike(WEEK),
+        F.when(in_year, F.concat(F.date_format(day, "yyyy-MM-dd"), F.regexp_replace(text, WEEK, tail))),
     )
+    # Fill the parts that were left out, then the zone.
+    filled = F.regexp_replace(F.regexp_replace(spread, "T:", "T00:"), r":(?=[:.])", ":00")
+    zoned = F.regexp_replace(F.regexp_replace(filled, r"\.?@", "@"), "@Z?$", "Z")
+    other = F.regexp_replace(zoned, "@", "").try_cast("timestamp")
+    return F.when(text.rlike(PLAIN), text.try_cast("timestamp")).otherwise(other)
 
 
 def iso_or(text: Column, fallback: Column) -> Column:

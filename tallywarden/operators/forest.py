@@ -269,14 +269,13 @@ def flag(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "anom
 
 
 def contamination_threshold(scored: DataFrame, share: float = 0.01, exact: bool = False, score: str = "anomaly_score") -> DataFrame:
-    """The score that the given share of rows reach. Exact percentile, or a bounded sketch."""
+    """The score that the given share of rows reach: one row. By default from a bounded sketch."""
     if not 0 < share < 1:
         raise ValueError("share must be in (0, 1)")
-    if exact:
-        value = F.percentile(score, F.lit(1 - share))
-    else:
-        value = F.percentile_approx(score, F.lit(1 - share), F.lit(100_000))
-    return scored.agg(value.alias("threshold"))
+    if not exact:
+        return scored.agg(F.percentile_approx(score, F.lit(1 - share), F.lit(100_000)).alias("threshold"))
+    value = exact_quantile(scored, score, 1 - share)
+    return scored.sparkSession.createDataFrame([(value,)], "threshold double")
 
 
 def sanity(scored: DataFrame) -> DataFrame:
@@ -288,3 +287,34 @@ def sanity(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("is_anomaly").isNull()).alias("missing_flags"),
         F.count_if((s < 0) | (s > 1)).alias("out_of_range"),
     )
+
+
+def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
+    """Exact quantile with linear interpolation, for a column of any size; NaN and null are left out.
+
+    Counts rows in equal slices of the value range and goes on inside the slice that holds
+    the wanted rank. Only the slice counts reach the driver, and a few passes are enough.
+    """
+    values = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    position = share * (n - 1)
+    lower, upper = (_at_rank(values, int(r), low, high) for r in (math.floor(position), math.ceil(position)))
+    return lower + (upper - lower) * (position - math.floor(position))
+
+
+def _at_rank(values: DataFrame, rank: int, low: float, high: float, slices: int = 4096) -> float:
+    """The value at a 0-based rank of all values in [low, high]."""
+    while low < high:
+        inside = values.where((F.col("x") >= F.lit(low)) & (F.col("x") <= F.lit(high)))
+        piece = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(high - low) * slices), F.lit(slices - 1))
+        found = inside.groupBy(piece.alias("piece")).agg(
+            F.count("*").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high")
+        )
+        for part in sorted(found.collect(), key=lambda r: r.piece):  # at most ``slices`` rows
+            if rank < part.rows:
+                low, high = part.low, part.high
+                break
+            rank -= part.rows
+    return low
