@@ -36,7 +36,7 @@ def main() -> None:
         work = new_folder(spark, "bench")
         tables.messages(tx).write.parquet(f"{work}/in")
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
-        scored = pipeline.scored_stream(decoded, forest)
+        scored = pipeline.scored_stream(decoded, forest, buckets=8 * int(cpus))
         pipeline.write_scored(scored, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
 
     flagged = orders.withColumn("is_anomaly", orders.amount >= 0)

@@ -17,8 +17,8 @@ NUMBER = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)
 
 def number(text: Column) -> Column:
     """Text to DOUBLE; null for anything that is not a finite decimal number."""
-    plain = F.regexp_replace(F.trim(text), "_", "")
-    value = F.when(text.rlike(NUMBER), plain.try_cast("double"))
+    plain = F.when(F.contains(text, F.lit("_")), F.regexp_replace(text, "_", "")).otherwise(text)
+    value = F.when(text.rlike(NUMBER), F.trim(plain).try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
@@ -63,22 +63,25 @@ def field(event: Column, name: str) -> Column:
     return F.try_variant_get(event, f"$.{name}", "variant")
 
 
-def field_text(event: Column, name: str) -> Column:
-    """A top-level field as text: ``None`` for an explicit null, SQL null when absent."""
-    value = field(event, name)
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(event, f"$.{name}", "string")
+def scalar(event: Column, name: str) -> Column:
+    """A top-level scalar field as text; null when absent, null or nested."""
+    return F.try_variant_get(event, f"$.{name}", "string")
+
+
+def text_value(event: Column, name: str, text: Column) -> Column:
+    """``scalar`` text with ``None`` for an explicit null and ``True``/``False`` for booleans."""
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(text))
+        F.when(text.isNull(), F.when(field(event, name).isNotNull(), "None"))
+        .when(text.isin("true", "false") & _is_boolean(event, name), F.initcap(text))
         .otherwise(text)
     )
 
 
-def field_number(event: Column, name: str) -> Column:
-    """A top-level field as a finite DOUBLE; true and false count as 1 and 0, null is no number."""
-    value = field(event, name)
-    kind = F.schema_of_variant(value)
-    text = F.try_variant_get(event, f"$.{name}", "string")
-    return F.when(kind == "BOOLEAN", F.when(text == "true", 1e0).otherwise(0e0)).when(kind != "VOID", number(text))
+def number_value(event: Column, name: str, text: Column) -> Column:
+    """``scalar`` text as a finite DOUBLE; true and false count as 1 and 0, null is no number."""
+    truth = F.when(text == "true", 1e0).otherwise(0e0)
+    return F.when(text.isin("true", "false") & _is_boolean(event, name), truth).otherwise(number(text))
+
+
+def _is_boolean(event: Column, name: str) -> Column:
+    return F.schema_of_variant(field(event, name)) == "BOOLEAN"

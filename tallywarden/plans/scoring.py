@@ -11,6 +11,7 @@ from tallywarden.operators.features import features
 from tallywarden.operators.ordered import HOT_ROWS
 from tallywarden.operators.validate import rejected_rows, valid_rows, with_rejects_filled
 from tallywarden.schemas import DEFAULT_THRESHOLD, DEFAULT_WINDOW_SECONDS
+from tallywarden.session import cut_lineage
 
 
 def judge(featured: DataFrame, forest: forests.Forest, threshold: float = DEFAULT_THRESHOLD, fill_missing: bool = False) -> DataFrame:
@@ -43,8 +44,10 @@ def features_with_policy(
 ) -> DataFrame:
     """Features of decoded events; rejected ones are left out or kept with zero features.
 
-    Rejected rows never enter a user's running values.
+    Rejected rows never enter a user's running values. Decoded rows are read several times,
+    so they are stored once instead of parsed again.
     """
+    decoded = cut_lineage(decoded.sparkSession, decoded)
     featured = features(valid_rows(decoded), window_seconds, hot_rows=hot_rows)
     return with_rejects_filled(featured, rejected_rows(decoded)) if fill_missing else featured
 

@@ -15,67 +15,78 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallywarden.schemas import AMOUNT, COUNT, DEFAULT_WINDOW_SECONDS, FEATURE_VECTOR, MEAN, MICROS, SINCE
 
 _STATE = "n bigint, total double, last bigint, peak bigint, recent binary"
+BUCKETS = 1024
 
 
 class UserFeatures(StatefulProcessor):
     """Rows, total, last time and the times still inside the window, per user.
 
-    Rows of one micro-batch are put in event order first. A row older than one seen in an
-    earlier batch is taken in arrival order: its gap is negative, and rows of the window stay
-    until everything that arrived before them has left.
+    Users are handled in buckets, since a call per user costs far more than a user's few rows.
+    State is kept and written per user all the same. Rows of one micro-batch are put in event
+    order first. A row older than one seen in an earlier batch is taken in arrival order: its
+    gap is negative, and rows of the window stay until all that arrived before them have left.
     """
 
     def __init__(self, window_us: int, idle_ttl_ms: int | None):
         self.window_us, self.idle_ttl_ms = window_us, idle_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.user = handle.getValueState("user", _STATE, self.idle_ttl_ms)
+        self.users = handle.getMapState("users", "user_id string", _STATE, self.idle_ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "seq"], ignore_index=True)
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["user_id", "us", "seq"], ignore_index=True)
+        users = batch["user_id"].to_numpy()
         us, amount = batch["us"].to_numpy(np.int64), batch["amount"].to_numpy(float)
-        n, total, last, peak, waiting = 0, 0.0, None, us[0], np.empty(0, np.int64)
-        if self.user.exists():
-            n, total, last, peak, packed = self.user.get()
-            waiting = np.frombuffer(packed, np.int64)
-        size = len(us)
-        counts = n + np.arange(1, size + 1)
-        totals = np.cumsum(np.concatenate(([total], amount)))[1:]
-        previous = np.concatenate(([us[0] if last is None else last], us[:-1]))
-        highest = np.maximum.accumulate(np.concatenate(([peak], us)))
-        window = np.concatenate((waiting, highest[1:]))
-        gone = np.searchsorted(window, highest[1:] - self.window_us, side="left")
-        yield batch.assign(
-            **{
-                AMOUNT: amount,
-                MEAN: totals / counts,
-                COUNT: len(waiting) + np.arange(1, size + 1) - gone,
-                SINCE: np.floor((us - previous + 500) / 1e3) / 1e3,
-                "is_late": us < highest[:-1],
-            }
-        )
-        state = (int(counts[-1]), float(totals[-1]), int(us[-1]), int(highest[-1]), window[gone[-1] :].tobytes())
-        self.user.update(state)
+        ends = np.append(np.flatnonzero(users[1:] != users[:-1]) + 1, len(users))
+        means, gaps = np.empty(len(us)), np.empty(len(us))
+        counts, late = np.empty(len(us), np.int64), np.empty(len(us), bool)
+        start = 0
+        for end in ends:
+            user, part = (users[start],), slice(start, end)
+            state = self.users.getValue(user) if self.users.containsKey(user) else None
+            means[part], counts[part], gaps[part], late[part], state = advance(state, us[part], amount[part], self.window_us)
+            self.users.updateValue(user, state)
+            start = end
+        yield batch.assign(**{AMOUNT: amount, MEAN: means, COUNT: counts, SINCE: gaps, "is_late": late})
 
     def close(self) -> None:
         pass
 
 
+def advance(state: tuple | None, us: np.ndarray, amount: np.ndarray, window_us: int) -> tuple:
+    """Means, counts, gaps and late marks of one user's rows, and the state after them."""
+    n, total, last, peak, packed = state or (0, 0.0, us[0], us[0], b"")
+    waiting = np.frombuffer(packed, np.int64)
+    position = np.arange(1, len(us) + 1)
+    totals = np.cumsum(np.concatenate(([total], amount)))[1:]
+    previous = np.concatenate(([last], us[:-1]))
+    highest = np.maximum.accumulate(np.concatenate(([peak], us)))
+    window = np.concatenate((waiting, highest[1:]))
+    gone = np.searchsorted(window, highest[1:] - window_us, side="left")
+    gaps = np.floor((us - previous + 500) / 1e3) / 1e3
+    after = (n + len(us), float(totals[-1]), int(us[-1]), int(highest[-1]), window[gone[-1] :].tobytes())
+    return totals / (n + position), len(waiting) + position - gone, gaps, us < highest[:-1], after
+
+
 def features_stream(
-    tx: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS, idle_ttl_ms: int | None = None
+    tx: DataFrame,
+    window_seconds: int = DEFAULT_WINDOW_SECONDS,
+    idle_ttl_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add the four features and ``is_late`` to a stream of valid transactions.
 
-    One user's rows of one micro-batch are handled by one task, so a source that may hold a
+    A bucket's rows of one micro-batch are handled by one task, so a source that may hold a
     very hot user needs a bound on rows per trigger (maxOffsetsPerTrigger, maxFilesPerTrigger).
+    Use several buckets per core; the number must stay the same for the life of a checkpoint.
     Users idle for longer than ``idle_ttl_ms`` are forgotten; by default none are.
     """
-    rows = tx.drop("ts")
+    rows = tx.drop("ts").withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
     schema = T.StructType([*rows.schema.fields, *FEATURE_VECTOR.fields, T.StructField("is_late", T.BooleanType())])
-    out = rows.groupBy("user_id").transformWithStateInPandas(
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=UserFeatures(int(window_seconds * MICROS), idle_ttl_ms),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime" if idle_ttl_ms else "None",
     )
-    return out.withColumn("ts", F.timestamp_micros("us"))
+    return out.withColumn("ts", F.timestamp_micros("us")).drop("bucket")

@@ -23,7 +23,7 @@ from tallywarden.operators.ordered import trailing_count
 from tallywarden.operators.validate import rejected_rows, valid_rows, with_rejects_filled
 from tallywarden.plans.scoring import judge
 from tallywarden.schemas import DEFAULT_THRESHOLD, DEFAULT_WINDOW_SECONDS, FEATURE_VECTOR, MICROS
-from tallywarden.streaming.features import features_stream
+from tallywarden.streaming.features import BUCKETS, features_stream
 
 SCORED = T.StructType(
     [
@@ -52,9 +52,10 @@ def scored_stream(
     fill_missing: bool = False,
     processed: Column | None = None,
     idle_ttl_ms: int | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Decoded messages to scored events. Rejected rows never reach a user's state."""
-    featured = features_stream(valid_rows(decoded), window_seconds, idle_ttl_ms)
+    featured = features_stream(valid_rows(decoded), window_seconds, idle_ttl_ms, buckets)
     if fill_missing:
         featured = with_rejects_filled(featured, rejected_rows(decoded)).fillna({"is_late": False})
     judged = judge(featured, forest, threshold, fill_missing)
