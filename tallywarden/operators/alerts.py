@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.operators.ordered import HOT_ROWS, trailing_count
 from tallywarden.schemas import MICROS
+from tallywarden.session import cut_lineage
 
 UNKNOWN_USER = "<unknown>"
 TRIGGERS = ("above", "below")
@@ -26,10 +27,17 @@ def score_alerts(scored: DataFrame, threshold: float | None, trigger: str = "abo
 def rate_counts(
     scored: DataFrame, window_seconds: int = 60, scope: str = "global", user: str = "user_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Flagged events with ``alert_key`` and the flagged events in the trailing window."""
+    """Flagged events with ``alert_key`` and the flagged events in the trailing window.
+
+    An event without a time counts at its processing time. Flagged events are few and are
+    looked at several times, so they are stored once instead of scored again.
+    """
     if scope not in SCOPES:
         raise ValueError(f"scope must be one of {SCOPES}")
     flagged = scored.where("is_anomaly")
+    if "processed_ts" in scored.columns:
+        flagged = flagged.withColumn("us", F.coalesce("us", F.unix_micros("processed_ts")))
+    flagged = cut_lineage(scored.sparkSession, flagged)
     window_us = int(window_seconds) * MICROS
     if scope == "global":
         return trailing_count(flagged, None, window_us).withColumn("alert_key", F.lit("global"))

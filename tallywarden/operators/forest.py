@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywarden.schemas import DEFAULT_THRESHOLD, FEATURES, require
+from tallywarden.session import cut_lineage
 
 DEFAULT_TREES = 200
 DEFAULT_SAMPLE = 256
@@ -26,6 +27,7 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, "
     "size int, path_length double, lo array<double>, hi array<double>"
 )
+CHILD_TYPES = {"left": "Int32", "right": "Int32"}  # null in leaves
 LEAF = -1
 _HASH_RANGE = 1 << 31
 
@@ -71,8 +73,7 @@ def grow_tree(points: np.ndarray, tree: int, sample_size: int, seed: int) -> pd.
         left_hi[feature] = right_lo[feature] = threshold
         open_nodes.append((rows[~left], depth + 1, right_lo, hi, here, 5))
         open_nodes.append((rows[left], depth + 1, lo, left_hi, here, 4))
-    columns = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
-    return pd.DataFrame(nodes, columns=columns).astype({"left": "Int32", "right": "Int32"})
+    return pd.DataFrame(nodes, columns=[part.split()[0] for part in NODE_SCHEMA.split(", ")]).astype(CHILD_TYPES)
 
 
 @dataclass(frozen=True)
@@ -160,7 +161,8 @@ def fit(
 
     # A group is one tree: sample_size rows, never more.
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
-    forest = Forest(nodes.sort_values(["tree", "node"], ignore_index=True), tuple(features), sample_size, trees, seed)
+    nodes = nodes.sort_values(["tree", "node"], ignore_index=True).astype(CHILD_TYPES)
+    forest = Forest(nodes, tuple(features), sample_size, trees, seed)
     roots = forest.nodes[forest.nodes.node == 0]
     if len(roots) != trees or (roots["size"] != sample_size).any():
         raise RuntimeError("a tree did not get its full sample")
@@ -171,9 +173,14 @@ def _hashed(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(_HASH_RANGE))
 
 
+def _floats(values) -> list[float]:
+    return np.asarray(values, float).tolist()
+
+
 def save(spark: SparkSession, forest: Forest, path: str) -> None:
     """Nodes and one metadata row, as Parquet."""
-    nodes = forest.nodes.astype(object).where(forest.nodes.notna(), None)
+    nodes = forest.nodes.assign(lo=forest.nodes.lo.map(_floats), hi=forest.nodes.hi.map(_floats)).astype(object)
+    nodes = nodes.where(nodes.notna(), None)
     rows = [tuple(r) for r in nodes.itertuples(index=False)]
     spark.createDataFrame(rows, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
     meta = [(list(forest.feature_names), forest.sample_size, forest.trees, forest.seed)]
@@ -185,7 +192,7 @@ def load(spark: SparkSession, path: str) -> Forest:
     """Read a saved forest; a path without one raises FileNotFoundError."""
     try:
         meta = spark.read.parquet(f"{path}/metadata").first()
-        nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas()
+        nodes = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas().astype(CHILD_TYPES)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no forest at {path}") from error
@@ -202,7 +209,8 @@ def scorer(spark: SparkSession, forest: Forest):
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         feature, threshold, path = model.value
-        for columns in batches:
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
             values = np.vstack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns])
             lengths = path_lengths(values, feature, threshold, path)
             result = np.exp2(-(lengths / len(path)) / normaliser)
@@ -296,6 +304,7 @@ def exact_quantile(df: DataFrame, column: str, share: float) -> float | None:
     the wanted rank. Only the slice counts reach the driver, and a few passes are enough.
     """
     values = df.select(F.col(column).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    values = cut_lineage(df.sparkSession, values)  # several passes over one column
     n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
     if not n:
         return None

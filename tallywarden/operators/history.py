@@ -47,6 +47,7 @@ class Store:
     def append(self, scored: DataFrame, batch_id: int = 0) -> None:
         """Store scored events (needs seq, event, ts, features, score, flag, processed_ts).
 
+        The input is read once per table: give a stored frame rather than a long plan.
         Anomalies come last: a reader joins all tables, so an event shows up complete or not.
         """
         day = F.to_date("processed_ts").alias("processed_date")

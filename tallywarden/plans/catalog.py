@@ -18,7 +18,7 @@ from tallywarden.operators import alerts, features as feats, forest as forests,
 from tallywarden.operators.history import Store, union_live
 from tallywarden.plans import scoring, training
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SCORED_MESSAGE, SINCE, conformance
-from tallywarden.session import new_folder, prepare
+from tallywarden.session import cut_lineage, new_folder, prepare
 from tallywarden.sources import tables, transactions
 from tallywarden.streaming import pipeline
 from tallywarden.streaming.features import features_stream
@@ -563,7 +563,7 @@ def display_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stored(spark: SparkSession, folder: str) -> tuple[Store, DataFrame]:
     store = Store(spark, new_folder(spark, "store"))
-    scored = _scored(spark, folder)
+    scored = cut_lineage(spark, _scored(spark, folder))
     store.init()
     store.append(scored)
     return store, scored
@@ -621,7 +621,7 @@ def history_since(spark: SparkSession, folder: str) -> DataFrame:
 def history_union_live(spark: SparkSession, folder: str) -> DataFrame:
     """All but purchases come from stored history, purchases are live; nothing is cut."""
     store = Store(spark, new_folder(spark, "store"))
-    scored = _scored(spark, folder)
+    scored = cut_lineage(spark, _scored(spark, folder))
     purchase = F.col("event_type") == "purchase"
     store.append(scored.where(~purchase))
     history = store.table("anomalies").select(

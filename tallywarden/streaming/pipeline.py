@@ -23,6 +23,7 @@ from tallywarden.operators.ordered import trailing_count
 from tallywarden.operators.validate import rejected_rows, valid_rows, with_rejects_filled
 from tallywarden.plans.scoring import judge
 from tallywarden.schemas import DEFAULT_THRESHOLD, DEFAULT_WINDOW_SECONDS, FEATURE_VECTOR, MICROS
+from tallywarden.session import cut_lineage
 from tallywarden.streaming.features import BUCKETS, features_stream
 
 SCORED = T.StructType(
@@ -42,6 +43,7 @@ SCORED = T.StructType(
         T.StructField("processed_ts", T.TimestampType()),
     ]
 )
+_TAIL = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double"
 
 
 def scored_stream(
@@ -120,8 +122,9 @@ def rate_alert_stream(
 ) -> StreamingQuery:
     """Rate alerts, global or per user, without sending all anomalies through one task.
 
-    Anomalies are kept below ``path``/anomalies. A batch counts its own anomalies together
-    with the kept ones of the last window, with the same spread-out count as the batch form.
+    A batch counts its own anomalies together with those of the last window, which the batch
+    before has left below ``path``/tail, with the same spread-out count as the batch form.
+    An event without a time counts at its processing time.
     """
     window_us = int(window_seconds) * MICROS
     columns = ["alert_key", "seq", "user_id", "us", "ts", "anomaly_score"]
@@ -129,24 +132,24 @@ def rate_alert_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = F.lit("global") if scope == "global" else F.coalesce(F.col("user_id"), F.lit(UNKNOWN_USER))
-        batch.where("is_anomaly").withColumn("alert_key", key).select(columns).write.mode("overwrite").parquet(
-            f"{path}/anomalies/batch_id={batch_id}"
+        flagged = batch.where("is_anomaly").withColumns(
+            {"alert_key": key, "us": F.coalesce("us", F.unix_micros("processed_ts")), "fresh": F.lit(True)}
         )
-        kept = spark.read.parquet(f"{path}/anomalies")
-        start = kept.where(F.col("batch_id") == batch_id).agg(F.min("us")).first()[0]
-        if start is None:
-            return
-        near = kept.where((F.col("batch_id") <= batch_id) & (F.col("us") >= start - window_us))
+        before = _read(spark, f"{path}/tail/batch_id={batch_id - 1}", _TAIL).withColumn("fresh", F.lit(False))
+        near = flagged.select(*columns, "fresh").unionByName(before)
+        near = cut_lineage(spark, near)
+        newest = near.agg(F.max(F.unix_micros("ts"))).first()[0]  # a processing time must not age the rest
+        kept = near.where(F.col("us") >= (newest or 0) - window_us)
+        kept.select(columns).write.mode("overwrite").parquet(f"{path}/tail/batch_id={batch_id}")
         counted = trailing_count(near, None if scope == "global" else "alert_key", window_us)
-        raised = counted.where((F.col("batch_id") == batch_id) & (F.col("window_count") > int(limit)))
-        raised.drop("batch_id").write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        raised = counted.where(F.col("fresh") & (F.col("window_count") > int(limit)))
+        raised.drop("fresh").write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
 
     return per_batch(scored, handle, checkpoint, **options)
 
 
 def rate_alerts_so_far(spark: SparkSession, path: str) -> DataFrame:
-    schema = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double, window_count bigint, batch_id bigint"
-    return _read(spark, f"{path}/alerts", schema).drop("batch_id")
+    return _read(spark, f"{path}/alerts", f"{_TAIL}, window_count bigint, batch_id bigint").drop("batch_id")
 
 
 def minute_stream(scored: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -182,8 +185,7 @@ def live_view(scored: DataFrame, path: str, checkpoint: str, rows: int = kpis.BU
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _read(spark, path, _live_schema()).where(F.col("batch_id") < batch_id)
-        before = earlier.where(F.col("batch_id") == (earlier.agg(F.max("batch_id")).first()[0] or 0)).drop("batch_id")
+        before = _read(spark, f"{path}/batch_id={batch_id - 1}", SCORED)
         both = batch.unionByName(before).orderBy(F.desc("us"), F.desc("seq")).limit(rows)
         both.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -192,15 +194,11 @@ def live_view(scored: DataFrame, path: str, checkpoint: str, rows: int = kpis.BU
 
 def live_rows_now(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the newest batch."""
-    views = _read(spark, path, _live_schema())
+    views = _read(spark, path, T.StructType([*SCORED.fields, T.StructField("batch_id", T.LongType())]))
     newest = views.agg(F.max("batch_id")).first()[0]
     return views.where(F.col("batch_id") == (-1 if newest is None else newest)).drop("batch_id")
 
 
-def _live_schema() -> T.StructType:
-    return T.StructType([*SCORED.fields, T.StructField("batch_id", T.LongType())])
-
-
 def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
