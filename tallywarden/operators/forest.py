@@ -254,15 +254,25 @@ def score(df: DataFrame, forest: Forest, column: str = "anomaly_score", feature_
     if len(order) != len(forest.feature_names):
         raise ValueError(f"feature order has {len(order)} names, the model expects {len(forest.feature_names)}")
     require(df, order, "required feature")
-    return df.withColumn(column, scorer(df.sparkSession, forest)(*[F.col(c).cast("double") for c in order]))
+    return _computed_once(df, column, scorer(df.sparkSession, forest)(*[F.col(c).cast("double") for c in order]))
 
 
 def score_vector(df: DataFrame, forest: Forest, vector: str = "vector", column: str = "anomaly_score") -> DataFrame:
     """As ``score`` for an array column in model order; a null vector gets a null score."""
     size = len(forest.feature_names)
     parts = [F.get(vector, F.lit(i)) for i in range(size)]
-    result = scorer(df.sparkSession, forest)(*parts)
-    return df.withColumn(column, F.when(F.size(vector) == size, result))
+    whole = F.size(vector) == size
+    return _computed_once(df, column, scorer(df.sparkSession, forest)(*[F.when(whole, p) for p in parts]))
+
+
+def _computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters on it do not compute a second time.
+
+    A filter on the column would be pushed below a projection together with its expression;
+    it stays above a generator, while filters on other columns still go down to the scan.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.withColumn("_value", value).select(*kept, F.inline(F.array(F.struct(F.col("_value").alias(name)))))
 
 
 def register_score(spark: SparkSession, forest: Forest, name: str = "anomaly_score") -> None:
