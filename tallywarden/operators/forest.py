@@ -151,7 +151,9 @@ def fit(
     share = min(1.0, wanted / offered)
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     drawn = F.filter(numbers, lambda t: _hashed(F.lit(seed + 1), F.col("id"), t) < int(share * _HASH_RANGE))
-    per_tree = rows.select("id", "x", F.explode(drawn).alias("tree"))
+    # The sample is small in bytes but growing trees is work: spread it by number, not by size.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    per_tree = rows.select("id", "x", F.explode(drawn).alias("tree")).repartition(tasks, "tree")
     draw_order = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "id", "tree"), "id")
     sample = per_tree.withColumn("draw", F.row_number().over(draw_order)).where(F.col("draw") <= sample_size)
 

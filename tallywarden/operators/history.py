@@ -77,7 +77,9 @@ class Store:
         }
         for name, frame in frames.items():
             target = f"{self.path}/{name}/batch_id={batch_id}"
-            frame.write.mode("overwrite").partitionBy("processed_date").parquet(target)
+            # Rebalancing gathers a day's rows and splits large days: few files of even size.
+            even = frame.hint("rebalance", "processed_date")
+            even.write.mode("overwrite").partitionBy("processed_date").parquet(target)
 
     def recent(self, limit: int = DEFAULT_LIMIT, since: datetime | str | None = None) -> DataFrame:
         """The newest records by processing time, optionally only from ``since`` on.

@@ -17,6 +17,8 @@ def build_session(app: str = "tallywarden", master: str | None = None, shuffle_p
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Scoring follows a shuffle of four narrow columns: keep all cores busy on small tables too.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.python.unix.domain.socket.enabled", "true")
