@@ -18,7 +18,7 @@ from tallywarden.operators.history import Store
 from tallywarden.plans import catalog as C, scoring, training
 from tallywarden.session import build_session, cut_lineage, new_folder, prepare
 from tallywarden.sources import tables, transactions
-from tallywarden.streaming import pipeline
+from tallywarden.streaming import jobs
 
 
 def main() -> None:
@@ -40,8 +40,8 @@ def main() -> None:
         work = new_folder(spark, "bench")
         tables.messages(tx).write.parquet(f"{work}/in")
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
-        scored = pipeline.scored_stream(decoded, forest, buckets=8 * int(cpus))
-        pipeline.write_scored(scored, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
+        scored = jobs.scored_stream(decoded, forest, buckets=8 * int(cpus))
+        jobs.write_scored(scored, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
 
     flagged = orders.withColumn("is_anomaly", orders.amount >= 0)
     store = Store(spark, new_folder(spark, "bench"))

@@ -176,6 +176,8 @@ def oracle() -> dict[str, str]:
         "quality_assert": f"SELECT count(*) AS rows, column_name, count(*) FILTER ({dirty_kind} = {bad_kinds}) AS bad_rows FROM ({EVENTS}), (VALUES {counted}) f(column_name, n) GROUP BY column_name",
         "null_counts": f"SELECT count(*) AS rows, column_name, count(*) FILTER ({dirty_kind} = kind) AS nulls FROM ({EVENTS}), (VALUES {nulls}) f(column_name, k0), LATERAL (SELECT CASE k0 WHEN 0 THEN -1 ELSE k0 END AS kind) GROUP BY column_name",
         "clean_training": _features(f"SELECT seq, amount AS amount_value, round(mean_amount + 1e-9, 6) AS mean_amount, recent_count, CASE WHEN {dirty_kind} = 4 THEN 0e0 ELSE secs_since_last END AS secs_since_last FROM d WHERE {dirty_kind} NOT IN (1, 2, 3)"),
+        "cleaning_report": f"SELECT count(*) AS rows_before, count(*) FILTER ({dirty_kind} NOT IN (1, 2, 3)) AS rows_after, count(*) FILTER ({dirty_kind} IN (1, 2, 3)) AS rows_dropped FROM ({EVENTS})",
+        "msg_event_keys": f"SELECT seq, CASE WHEN event_type = 'view' THEN sha256(user_id || '|' || us || '|' || seq) ELSE CAST(seq AS VARCHAR) END AS transaction_id FROM ({EVENTS})",
         "training_features": _features(f"SELECT seq, {FEATURE_COLUMNS} FROM d", ORDERS, C.ORDER_WINDOW),
         "select_features": f"SELECT {wide}, CAST(vec_id AS DOUBLE) AS Amount FROM embeddings",
         "assemble_vector": _scored("SELECT seq, amount AS v0, round(mean_amount + 1e-9, 6) AS v1, CAST(recent_count AS DOUBLE) AS v2, secs_since_last AS v3, true AS same, CAST(0 AS BIGINT) AS missing, anomaly_score FROM x"),

@@ -43,6 +43,16 @@ def read_scored_messages(messages: DataFrame, value: str = "value") -> DataFrame
     return messages.select(F.from_json(text, SCORED_MESSAGE).alias("m")).select("m.*")
 
 
+def event_key(user: str = "user_id", us: str = "us", seq: str = "seq") -> Column:
+    """A unique id made from the event, so that a retried job makes the same one."""
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col(user), F.lit("")), F.col(us), F.col(seq)), 256)
+
+
+def with_transaction_id(tx: DataFrame) -> DataFrame:
+    """Give events without a transaction id one of their own."""
+    return tx.withColumn("transaction_id", F.coalesce("transaction_id", event_key()))
+
+
 def transaction_messages(tx: DataFrame) -> DataFrame:
     """Key and JSON value per transaction; the value is the whole original event."""
     return tx.select(F.col("user_id").alias("key"), F.col("event").alias("value"))

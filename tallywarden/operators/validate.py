@@ -131,6 +131,19 @@ def clean_training(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return numeric.fillna({SINCE: 0.0}).dropna("any", subset=columns)
 
 
+def cleaning_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows before and after cleaning and rows dropped, in one pass: one row."""
+    columns = columns or FEATURES
+    require(df, [*columns, SINCE], "feature")
+    types = dict(df.dtypes)
+    lost = F.lit(False)
+    for c in columns:
+        if c != SINCE:  # a gap without a number becomes 0
+            lost = lost | _not_a_number(c, types[c])
+    counts = df.agg(F.count("*").alias("rows_before"), F.count_if(~lost).alias("rows_after"))
+    return counts.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
+
+
 def vector(df: DataFrame, order: list[str], column: str = "vector") -> DataFrame:
     """Add the ordered feature vector. A missing name raises; a bad value gives a null vector."""
     require(df, order, "required feature")

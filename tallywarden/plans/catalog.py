@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallywarden.functions import display as D
 from tallywarden.functions.explain import explanations
-from tallywarden.functions.message import feature_map, read_scored_messages, scored_messages, transaction_messages
+from tallywarden.functions.message import feature_map, read_scored_messages, scored_messages, transaction_messages, with_transaction_id
 from tallywarden.functions.parse import iso_or, iso_timestamp, json_or_raw
 from tallywarden.operators import alerts, features as feats, forest as forests, kpis, validate
 from tallywarden.operators.history import Store, union_live
@@ -20,7 +20,7 @@ from tallywarden.plans import scoring, training
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SCORED_MESSAGE, SINCE, conformance
 from tallywarden.session import cut_lineage, new_folder, prepare
 from tallywarden.sources import tables, transactions
-from tallywarden.streaming import pipeline
+from tallywarden.streaming import jobs
 from tallywarden.streaming.features import features_stream
 
 THRESHOLD = 0.6
@@ -202,6 +202,13 @@ def msg_scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def msg_event_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of events, of which those of type view came without one."""
+    tx = tables.from_events(spark, folder)
+    bare = tx.withColumn("transaction_id", F.when(F.col("event_type") != "view", F.col("transaction_id")))
+    return with_transaction_id(bare).select("seq", "transaction_id")
+
+
 # Parsing, validation, cleaning -----------------------------------------------------------
 
 
@@ -286,6 +293,10 @@ def clean_training(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(validate.clean_training(_dirty_features(spark, folder)), "seq")
 
 
+def cleaning_report(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.cleaning_report(_dirty_features(spark, folder))
+
+
 def null_counts(spark: SparkSession, folder: str) -> DataFrame:
     return validate.null_counts(_dirty_features(spark, folder), FEATURES)
 
@@ -664,11 +675,11 @@ def _score_rounds(spark: SparkSession, folder: str, work: str, *followers: Calla
     processed = F.col("ts") + F.expr(f"INTERVAL {PROCESSING_SECONDS} SECONDS")
     for _ in _rounds(spark, folder, work):
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
-        scored = pipeline.scored_stream(decoded, fixed_forest(), THRESHOLD, processed=processed)
-        pipeline.write_scored(scored, f"{work}/scored", f"{work}/scored-checkpoint").awaitTermination()
+        scored = jobs.scored_stream(decoded, fixed_forest(), THRESHOLD, processed=processed)
+        jobs.write_scored(scored, f"{work}/scored", f"{work}/scored-checkpoint").awaitTermination()
         for start in followers:
-            start(pipeline.follow(spark, f"{work}/scored")).awaitTermination()
-    return spark.read.schema(pipeline.SCORED).parquet(f"{work}/scored")
+            start(jobs.follow(spark, f"{work}/scored")).awaitTermination()
+    return spark.read.schema(jobs.SCORED).parquet(f"{work}/scored")
 
 
 def stream_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -685,7 +696,7 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     """Scored stream, stored by a follower and read back as history."""
     work = new_folder(spark, "stream")
     store = Store(spark, f"{work}/store")
-    scored = _score_rounds(spark, folder, work, lambda s: pipeline.persist(s, store, f"{work}/store-checkpoint"))
+    scored = _score_rounds(spark, folder, work, lambda s: jobs.persist(s, store, f"{work}/store-checkpoint"))
     stored = store.table("anomalies").select(F.col("raw_event_id").alias("seq"), F.lit(True).alias("stored"))
     return scored.join(stored, "seq", "left").select(
         "seq", "user_id", _score(), "is_anomaly", F.array_join("explanation", "; ").alias("reasons"),
@@ -696,7 +707,7 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
 def stream_publish(spark: SparkSession, folder: str) -> DataFrame:
     """Messages written by a follower, read back."""
     work = new_folder(spark, "stream")
-    _score_rounds(spark, folder, work, lambda s: pipeline.publish_files(s, f"{work}/out", f"{work}/out-checkpoint"))
+    _score_rounds(spark, folder, work, lambda s: jobs.publish_files(s, f"{work}/out", f"{work}/out-checkpoint"))
     sent = read_scored_messages(spark.read.text(f"{work}/out"))
     return sent.select("transaction_id", "user_id", "timestamp", _score(), "is_anomaly",
                        F.array_join("explanation", "; ").alias("reasons"))
@@ -707,31 +718,31 @@ def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
 
     def job(scope: str, limit: int):
-        return lambda s: pipeline.rate_alert_stream(
+        return lambda s: jobs.rate_alert_stream(
             s, f"{work}/{scope}", f"{work}/{scope}-checkpoint", limit, ALERT_WINDOW, scope
         )
 
     _score_rounds(spark, folder, work, job("global", ALERT_LIMIT), job("user", 1))
-    both = [pipeline.rate_alerts_so_far(spark, f"{work}/{s}").withColumn("scope", F.lit(s)) for s in ("global", "user")]
+    both = [jobs.rate_alerts_so_far(spark, f"{work}/{s}").withColumn("scope", F.lit(s)) for s in ("global", "user")]
     return both[0].unionByName(both[1]).select("scope", "alert_key", "seq", "user_id", "window_count")
 
 
 def stream_kpis(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
-    _score_rounds(spark, folder, work, lambda s: pipeline.minute_stream(s, f"{work}/minutes", f"{work}/minutes-checkpoint"))
-    return pipeline.minutes_so_far(spark, f"{work}/minutes").select(_ntz("minute"), "total_events", "anomalies")
+    _score_rounds(spark, folder, work, lambda s: jobs.minute_stream(s, f"{work}/minutes", f"{work}/minutes-checkpoint"))
+    return jobs.minutes_so_far(spark, f"{work}/minutes").select(_ntz("minute"), "total_events", "anomalies")
 
 
 def live_view(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
-    _score_rounds(spark, folder, work, lambda s: pipeline.live_view(s, f"{work}/live", f"{work}/live-checkpoint"))
-    return pipeline.live_rows_now(spark, f"{work}/live").select("seq", "user_id", "amount", _ntz("ts"), _score(), "is_anomaly")
+    _score_rounds(spark, folder, work, lambda s: jobs.live_view(s, f"{work}/live", f"{work}/live-checkpoint"))
+    return jobs.live_rows_now(spark, f"{work}/live").select("seq", "user_id", "amount", _ntz("ts"), _score(), "is_anomaly")
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    src_transactions, src_replay_limit, src_csv, sink_csv, msg_transactions, msg_scored,
+    src_transactions, src_replay_limit, src_csv, sink_csv, msg_transactions, msg_scored, msg_event_keys,
     parse_json_props, json_raw_fallback, parse_timestamps, validate_events, fill_policy, quality_assert,
-    clean_training, null_counts, training_features, select_features, assemble_vector, schema_check,
+    clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check,
     features, features_orders, features_hot_users, feat_running_mean, feat_count_60s, feat_count_1d,
     feat_time_since_last, user_profile, user_amount_ema, active_users_5m,
     score_forest, score_flag, model_roundtrip, train_forest, score_sanity, contamination_threshold,

@@ -27,11 +27,11 @@ class UserFeatures(StatefulProcessor):
     gap is negative, and rows of the window stay until all that arrived before them have left.
     """
 
-    def __init__(self, window_us: int, idle_ttl_ms: int | None):
-        self.window_us, self.idle_ttl_ms = window_us, idle_ttl_ms
+    def __init__(self, window_us: int):
+        self.window_us = window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.users = handle.getMapState("users", "user_id string", _STATE, self.idle_ttl_ms)
+        self.users = handle.getMapState("users", "user_id string", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["user_id", "us", "seq"], ignore_index=True)
@@ -69,24 +69,20 @@ def advance(state: tuple | None, us: np.ndarray, amount: np.ndarray, window_us:
 
 
 def features_stream(
-    tx: DataFrame,
-    window_seconds: int = DEFAULT_WINDOW_SECONDS,
-    idle_ttl_ms: int | None = None,
-    buckets: int = BUCKETS,
+    tx: DataFrame, window_seconds: int = DEFAULT_WINDOW_SECONDS, buckets: int = BUCKETS
 ) -> DataFrame:
     """Add the four features and ``is_late`` to a stream of valid transactions.
 
     A bucket's rows of one micro-batch are handled by one task, so a source that may hold a
     very hot user needs a bound on rows per trigger (maxOffsetsPerTrigger, maxFilesPerTrigger).
     Use several buckets per core; the number must stay the same for the life of a checkpoint.
-    Users idle for longer than ``idle_ttl_ms`` are forgotten; by default none are.
     """
     rows = tx.drop("ts").withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
     schema = T.StructType([*rows.schema.fields, *FEATURE_VECTOR.fields, T.StructField("is_late", T.BooleanType())])
     out = rows.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=UserFeatures(int(window_seconds * MICROS), idle_ttl_ms),
+        statefulProcessor=UserFeatures(int(window_seconds * MICROS)),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="ProcessingTime" if idle_ttl_ms else "None",
+        timeMode="None",
     )
     return out.withColumn("ts", F.timestamp_micros("us")).drop("bucket")

@@ -53,11 +53,10 @@ def scored_stream(
     window_seconds: int = DEFAULT_WINDOW_SECONDS,
     fill_missing: bool = False,
     processed: Column | None = None,
-    idle_ttl_ms: int | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
     """Decoded messages to scored events. Rejected rows never reach a user's state."""
-    featured = features_stream(valid_rows(decoded), window_seconds, idle_ttl_ms, buckets)
+    featured = features_stream(valid_rows(decoded), window_seconds, buckets)
     if fill_missing:
         featured = with_rejects_filled(featured, rejected_rows(decoded)).fillna({"is_late": False})
     judged = judge(featured, forest, threshold, fill_missing)

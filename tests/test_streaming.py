@@ -9,7 +9,7 @@ from tallywarden.operators.validate import valid_rows
 from tallywarden.plans.catalog import fixed_forest
 from tallywarden.schemas import COUNT, FEATURES, MEAN, SINCE
 from tallywarden.sources import transactions
-from tallywarden.streaming import pipeline
+from tallywarden.streaming import jobs
 from tallywarden.streaming.features import advance, features_stream
 
 
@@ -83,23 +83,23 @@ def test_end_to_end(spark, work, feed):
         good = [message(10 * part + i, "u", 500 if i == 7 else 10, 30 * part + i, extra="x") for i in range(8)]
         feed([*good, (10 * part + 8, "u", "{broken")])
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in"))
-        scored = pipeline.scored_stream(decoded, fixed_forest(), 0.5, fill_missing=True, buckets=4)
-        pipeline.write_scored(scored, f"{work}/scored", f"{work}/c-scored").awaitTermination()
+        scored = jobs.scored_stream(decoded, fixed_forest(), 0.5, fill_missing=True, buckets=4)
+        jobs.write_scored(scored, f"{work}/scored", f"{work}/c-scored").awaitTermination()
 
         def rows():
-            return pipeline.follow(spark, f"{work}/scored")
+            return jobs.follow(spark, f"{work}/scored")
 
         for query in (
-            pipeline.persist(rows(), store, f"{work}/c-store"),
-            pipeline.publish_files(rows(), f"{work}/sent", f"{work}/c-sent"),
-            pipeline.score_alert_stream(rows(), f"{work}/score-alerts", f"{work}/c-score", 0.5),
-            pipeline.rate_alert_stream(rows(), f"{work}/global", f"{work}/c-global", 3, 60, "global"),
-            pipeline.rate_alert_stream(rows(), f"{work}/user", f"{work}/c-user", 3, 60, "user"),
-            pipeline.minute_stream(rows(), f"{work}/minutes", f"{work}/c-minutes"),
-            pipeline.live_view(rows(), f"{work}/live", f"{work}/c-live", rows=5),
+            jobs.persist(rows(), store, f"{work}/c-store"),
+            jobs.publish_files(rows(), f"{work}/sent", f"{work}/c-sent"),
+            jobs.score_alert_stream(rows(), f"{work}/score-alerts", f"{work}/c-score", 0.5),
+            jobs.rate_alert_stream(rows(), f"{work}/global", f"{work}/c-global", 3, 60, "global"),
+            jobs.rate_alert_stream(rows(), f"{work}/user", f"{work}/c-user", 3, 60, "user"),
+            jobs.minute_stream(rows(), f"{work}/minutes", f"{work}/c-minutes"),
+            jobs.live_view(rows(), f"{work}/live", f"{work}/c-live", rows=5),
         ):
             query.awaitTermination()
-    table = spark.read.schema(pipeline.SCORED).parquet(f"{work}/scored")
+    table = spark.read.schema(jobs.SCORED).parquet(f"{work}/scored")
     assert table.count() == 18 and store.recent(100).count() == 18
     assert store.orphans().count() == 0
     sent = [json.loads(r.value) for r in spark.read.text(f"{work}/sent").collect()]
@@ -110,16 +110,16 @@ def test_end_to_end(spark, work, feed):
     times = [r.us for r in known]
     want = {r.seq for i, r in enumerate(known) if sum(t >= r.us - 60_000_000 for t in times[: i + 1]) > 3}
     for scope in ("global", "user"):
-        assert {r.seq for r in pipeline.rate_alerts_so_far(spark, f"{work}/{scope}").collect()} >= want
-    totals = pipeline.totals_so_far(spark, f"{work}/minutes").first()
+        assert {r.seq for r in jobs.rate_alerts_so_far(spark, f"{work}/{scope}").collect()} >= want
+    totals = jobs.totals_so_far(spark, f"{work}/minutes").first()
     assert totals.total_events == 16 and totals.anomalies == len(known)
-    assert {r.seq for r in pipeline.live_rows_now(spark, f"{work}/live").collect()} == {13, 14, 15, 16, 17}
+    assert {r.seq for r in jobs.live_rows_now(spark, f"{work}/live").collect()} == {13, 14, 15, 16, 17}
 
 
 def test_nothing_yet(spark, work):
-    assert pipeline.rate_alerts_so_far(spark, work).count() == 0
-    assert pipeline.minutes_so_far(spark, work).count() == 0
-    assert pipeline.live_rows_now(spark, work).count() == 0
+    assert jobs.rate_alerts_so_far(spark, work).count() == 0
+    assert jobs.minutes_so_far(spark, work).count() == 0
+    assert jobs.live_rows_now(spark, work).count() == 0
 
 
 def test_kafka_options_and_ids(spark):

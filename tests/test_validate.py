@@ -66,6 +66,7 @@ def dirty(spark):
 def test_cleaning(dirty):
     rows = [tuple(r) for r in validate.clean_training(dirty).collect()]
     assert rows == [(1.0, 2.0, 3.0, 4.0), (1.0, 2.0, 3.0, 0.0)]
+    assert tuple(validate.cleaning_report(dirty).first()) == (5, 2, 3)
     with pytest.raises(KeyError):
         validate.clean_training(dirty.drop(SINCE))
 
