@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import binary, packing
+from tallywarden.llm import binary, linededup, mixing, packing, sql
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -32,9 +32,19 @@ def op8_binary(spark: SparkSession, folder: str) -> DataFrame:
     return binary.read_ids(spark, files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document a mix of 150 % of all words takes."""
+    return mixing.schedule(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without repeated chunks of lines."""
+    return linededup.dedupe(table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op8_binary)}
+    return {f.__name__: f for f in (op5_packing, op8_binary, op9_mixing, op10_linededup)}
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}
