@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import binary, linededup, mixing, packing, sql
+from tallywarden.llm import binary, linededup, mixing, neardup, packing, sql
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -19,6 +19,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under Jaccard 0.85 of 5-word shingles."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), vocabulary())
@@ -43,7 +48,7 @@ def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_packing, op8_binary, op9_mixing, op10_linededup)}
+    return {f.__name__: f for f in (op4_neardup, op5_packing, op8_binary, op9_mixing, op10_linededup)}
 
 
 def oracle() -> dict[str, str]:
