@@ -41,8 +41,8 @@ def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> I
 
 
 def strings(column: pa.Array) -> pa.Array:
-    """Texts without nulls, as plain strings that start at offset 0."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts without nulls, copied to an array of their own: some string kernels misread a slice's offsets."""
+    return pc.fill_null(column.cast(pa.large_string()), "").take(pa.array(np.arange(len(column))))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
