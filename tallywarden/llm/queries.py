@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import binary, linededup, mixing, neardup, packing, sql
+from tallywarden.llm import binary, langid, linededup, mixing, neardup, packing, sql
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -30,6 +30,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; a quarter of the documents teaches nothing."""
+    docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_binary(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, written as token-id files and read back."""
     files = new_folder(spark, "token-ids")
@@ -48,7 +55,7 @@ def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_neardup, op5_packing, op8_binary, op9_mixing, op10_linededup)}
+    return {f.__name__: f for f in (op4_neardup, op5_packing, op6_langid, op8_binary, op9_mixing, op10_linededup)}
 
 
 def oracle() -> dict[str, str]:
