@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import binary, langid, linededup, mixing, neardup, packing, sql
+from tallywarden.llm import ann, binary, langid, linededup, mixing, neardup, packing, sql, topk
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -19,6 +19,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=1.0)
+
+
 def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document under Jaccard 0.85 of 5-word shingles."""
     return neardup.near_duplicates(table(spark, folder, "documents"))
@@ -37,6 +43,12 @@ def op6_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector."""
+    vectors = table(spark, folder, "embeddings")
+    return topk.highest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op8_binary(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, written as token-id files and read back."""
     files = new_folder(spark, "token-ids")
@@ -55,8 +67,8 @@ def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_neardup, op5_packing, op6_langid, op8_binary, op9_mixing, op10_linededup)}
+    return {f.__name__: f for f in (op1_ann, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup)}
 
 
 def oracle() -> dict[str, str]:
-    return {"op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}
+    return {"op1_ann": sql.NEAREST, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}
