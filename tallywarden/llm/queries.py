@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import ann, binary, extract, langid, linededup, mixing, neardup, packing, sql, topk
+from tallywarden.llm import ann, binary, extract, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -25,6 +25,14 @@ def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, factor=1.0)
 
 
+def op2_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document, in whole-document encodings."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.count(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, rule="first").drop("field")
+
+
 def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     texts = extract.main_text(table(spark, folder, "pages"))
@@ -73,7 +81,7 @@ def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup)}
+    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup)}
 
 
 def oracle() -> dict[str, str]:
