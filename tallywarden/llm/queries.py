@@ -26,11 +26,11 @@ def op1_ann(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of every line of every document, in whole-document encodings."""
+    """Tokens of every sentence of every document, in whole-document encodings."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return token_counts.count(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, rule="first").drop("field")
+    return token_counts.count(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, section_end=token_counts.SENTENCE, rule="most").drop("field")
 
 
 def op3_html(spark: SparkSession, folder: str) -> DataFrame:

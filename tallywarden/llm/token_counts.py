@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ from tallywarden.llm.shared import strings, text_steps
 
 #: To whom a token belongs that spans several sections.
 RULES = ("first", "last", "most")
+#: What ends a section: a line feed; or also the white space behind a sentence.
+LINE, SENTENCE = r"\n", r"\n|(?<=[.!?])[ \t]+"
 
 
 class ByteTokens:
@@ -55,20 +58,23 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str) -> tu
     owner = last if rule == "last" else first
     crossing = np.flatnonzero(first < last)
     if rule == "most":
+        two = crossing[last[crossing] == first[crossing] + 1]
+        edge = section_ends[first[two]]
         owner = owner.copy()
-        for t in crossing.tolist():  # few: most tokens lie inside a section
+        owner[two] += edge - starts[two] < token_ends[two] - edge
+        for t in crossing[last[crossing] > first[crossing] + 1].tolist():
             edges = np.concatenate([[starts[t]], section_ends[first[t] : last[t]], [token_ends[t]]])
             owner[t] = first[t] + np.diff(edges).argmax()
     n = len(section_ends)
     return np.bincount(owner, minlength=n), np.bincount(owner[crossing], minlength=n)
 
 
-def count(docs: DataFrame, vocabulary: str, pattern: str, fields: list[str] | None = None, separator: str = "\n", rule: str = "first") -> DataFrame:
+def count(docs: DataFrame, vocabulary: str, pattern: str, fields: list[str] | None = None, separator: str = "\n", section_end: str = LINE, rule: str = "most") -> DataFrame:
     """Rows doc_id, section, field, start, length, n_tokens, n_crossing: every section of every document.
 
     With ``fields`` a document is these columns joined by ``separator`` and each column is a
-    section, which the separator behind it belongs to. Without, the column text is the document and its lines are
-    the sections, each with its line feed. Either way the whole document is encoded once, as it is for
+    section, which the separator behind it belongs to. Without, the column text is the document and its sections end
+    behind each match of ``section_end``. Either way the whole document is encoded once, as it is for
     training, and its tokens' character spans are joined to the sections' spans: both ascend, so one
     search per bound does it, in linear space. start and length count code points and tile the document.
 
@@ -86,6 +92,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, fields: list[str] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_tokens(vocabulary, pattern)
+        cut = re.compile(section_end.encode())
         for batch in batches:
             for step in text_steps(batch, "f0"):
                 parts = [strings(step.column(f"f{k}")).to_pylist() for k in range(len(names))]
@@ -98,7 +105,7 @@ def count(docs: DataFrame, vocabulary: str, pattern: str, fields: list[str] | No
                         ends = np.cumsum([len(x.encode()) + len(separator.encode()) for x in row])
                         ends[-1] = len(data)
                     else:
-                        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+                        ends = np.array([m.end() for m in cut.finditer(data)], np.int64)
                         if not len(ends) or ends[-1] != len(data):
                             ends = np.append(ends, len(data))
                     points = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)  # characters begun up to each byte
