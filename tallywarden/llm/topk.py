@@ -52,20 +52,26 @@ def _assign(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
 
 
 def _nearest_per_cell(data: DataFrame, k: int) -> DataFrame:
-    """The k smallest distances to its pivot in each cell; a task sends k per cell at most."""
+    """The k ids of each cell that are nearest to its pivot; a task sends k per cell at most."""
+
+    def least(ids: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(away, kind="stable")
+        first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+        return ids[order][first], away[order][first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            cell, away = batch.column("cell").to_numpy(), batch.column("away").to_numpy()
+            ids, cell, away = (batch.column(c).to_numpy() for c in ("id", "cell", "away"))
             for c in np.unique(cell).tolist():
-                least[c] = np.sort(np.concatenate([least.get(c, away[:0]), away[cell == c]]))[:k]
-        for c, found in least.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.int64()), pa.array(found)], ["cell", "away"])
+                old = held.get(c, (ids[:0], away[:0]))
+                held[c] = least(np.concatenate([old[0], ids[cell == c]]), np.concatenate([old[1], away[cell == c]]))
+        for c, (ids, away) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(ids), pa.int64()), pa.array(ids), pa.array(away)], ["cell", "id", "away"])
 
-    some = data.select("cell", "away").mapInArrow(run, "cell long, away double")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("away"))
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "away")
+    some = data.select("id", "cell", "away").mapInArrow(run, "cell long, id long, away double").groupBy("cell", "id").agg(F.min("away").alias("away"))
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("away", "id"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "id", "away")
 
 
 def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -79,7 +85,7 @@ def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
     reaches it are sent to that group of queries. A group's data is cut into blocks and its queries
     stream through each, so no task holds more than a block, however full a cell is.
 
-    Pivots, two numbers per pair of cells and k distances per cell are gathered: at most 256 pivots.
+    Pivots, two numbers per pair of cells and k + 1 distances per cell are gathered: at most 256 pivots.
     Null ids, null or empty vectors, those with null or non-finite components, and those longer than 512
     or with components beyond 2^27 after scaling (sums could leave a long) take no part. Zero vectors
     do. Only vectors of a query's length are its candidates. Repeated rows of ``vectors`` are candidates each.
@@ -110,9 +116,8 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
     pivots = np.unique(np.array([r.v for r in chosen], np.float64), axis=0)
     data, asked = stored(_assign(data, pivots, dim), "cells"), stored(_assign(asked, pivots, dim), "query-cells")
     cells = len(pivots)
-    nearest: list[list[float]] = [[] for _ in range(cells)]
-    for r in _nearest_per_cell(data, k + 1).collect():
-        nearest[r.cell].append(r.away)
+    near = _nearest_per_cell(data, k + 1).collect()
+    near_cell, near_id, near_away = (np.array([r[c] for r in near]) for c in ("cell", "id", "away"))
     reach, norm = np.full(cells, -1.0), np.zeros(cells)
     for r in asked.groupBy("cell").agg(F.max("away").alias("away"), F.max("norm").alias("norm")).collect():
         reach[r.cell], norm[r.cell] = r.away, r.norm
@@ -120,9 +125,11 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
     slack = reach[:, None] * np.sqrt(np.diag(middle))[None, :]
     enough = np.full(cells, -np.inf)  # a score that the k-th best of each query of a group reaches
     for g in range(cells):
-        least = np.concatenate([middle[g, c] - slack[g, c] - norm[g] * np.array(nearest[c]) for c in range(cells) if nearest[c]])
-        if len(least) > k:  # one of them may be the query itself
-            enough[g] = np.sort(least)[-(k + 1)]
+        least = middle[g, near_cell] - slack[g, near_cell] - norm[g] * near_away
+        order = np.argsort(-least)
+        first = np.sort(np.unique(near_id[order], return_index=True)[1])
+        if len(first) > k:  # one id may be the query's own
+            enough[g] = least[order][first[k]]
     # x of cell c matters to group g if its distance to the pivot is no less than this.
     with np.errstate(all="ignore"):
         bound = (enough[:, None] - middle - slack - 1e-6 * (1 + np.abs(middle) + slack)) / np.where(norm > 0, norm, np.nan)[:, None]
@@ -174,13 +181,13 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
 
 def _best(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> pa.RecordBatch:
     scores = _products(queries, grid)
-    own = np.isin(asked, ids)
+    lowest = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
+    for q in np.flatnonzero(np.isin(asked, ids)):
+        scores[q, ids == asked[q]] = lowest
     who, which, points = [], [], []
-    part = np.sort(np.partition(scores, -(k + 1), axis=1)[:, -(k + 1) :], axis=1)[:, 0] if scores.shape[1] > k + 1 else np.full(len(asked), scores.min())
+    part = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(asked), lowest)
     for q in range(len(asked)):
-        at = np.flatnonzero(scores[q] >= part[q])
-        if own[q]:
-            at = at[ids[at] != asked[q]]
+        at = np.flatnonzero((scores[q] >= part[q]) & (scores[q] > lowest))
         at = at[np.lexsort((ids[at], -scores[q][at]))[:k]]
         who.append(np.full(len(at), asked[q]))
         which.append(ids[at])
