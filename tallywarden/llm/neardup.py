@@ -99,26 +99,23 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable)
         yield from done()
 
 
-def _forest(count: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that join what ``near`` joins: visited rows are never compared again."""
-    left = np.arange(count)
-    edges = []
+def _joined(ids: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links from every row to the smallest id that ``near`` reaches; rows once reached are not compared again."""
+    left = np.arange(len(ids))
+    ends: list[np.ndarray] = []
     while len(left):
         todo, left = [int(left[0])], left[1:]
+        group = list(todo)
         while todo and len(left):
-            row = todo.pop()
-            hit = near(row, left)
-            edges.extend((row, int(x)) for x in left[hit])
-            todo.extend(left[hit].tolist())
+            hit = near(todo.pop(), left)
+            group += left[hit].tolist()
+            todo += left[hit].tolist()
             left = left[~hit]
-    return edges
-
-
-def _ends(ids: np.ndarray, edges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    if not edges:
+        if len(group) > 1:
+            ends.append(ids[group])
+    if not ends:
         return ids[:0], ids[:0]
-    e = np.array(edges)
-    return ids[e[:, 0]], ids[e[:, 1]]
+    return np.concatenate(ends), np.concatenate([np.full(len(x), x.min()) for x in ends])
 
 
 def _alike_sketches(rows: pa.Table, keep: int, overlap: float) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +134,7 @@ def _alike_sketches(rows: pa.Table, keep: int, overlap: float) -> tuple[np.ndarr
         whole = np.maximum(sizes[row], sizes[left])
         return np.count_nonzero(same & (rank <= whole[:, None]), axis=1) >= overlap * whole
 
-    return _ends(ids, _forest(len(ids), near))
+    return _joined(ids, near)
 
 
 def _alike_sets(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +160,7 @@ def _alike_sets(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             out[out] = 100 * common >= percent * (sizes[some] + sizes[row] - common)
         return out
 
-    return _ends(ids, _forest(len(ids), near))
+    return _joined(ids, near)
 
 
 def _blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
@@ -197,7 +194,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     3. In a list, pairs whose union sketch estimates ``overlap`` or more are joined to loose groups.
     4. In a loose group whole sets are compared: 100 x intersection >= percent x union links. Large
        lists and groups are cut into blocks and every two blocks meet, so no task holds more than
-       two blocks; a task returns the links of a spanning forest, never all pairs.
+       two blocks; a task returns one link a row, to the smallest id it reaches there, never all pairs.
     5. component_id is the smallest doc_id that links reach, kept says that it is the row's own.
 
     A text without words is linked with nothing and kept. A class without any doc_id is linked with

@@ -69,23 +69,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, label), label the smallest node.
 
-    Alternating large-star and small-star steps: each row is sent to one neighbour of its node, so
-    a node with very many neighbours costs rows in proportion and no list is gathered. Every round
-    is written to the shared folder. Nodes are longs; edges with a null end or a = b are ignored.
+    Alternating large-star and small-star steps, until every component is a star around its smallest
+    node: each row is sent to one neighbour of its node, so a node with very many neighbours costs
+    rows in proportion and no list is gathered. Every round is written to the shared folder. Nodes
+    are longs; edges with a null end or a = b are ignored.
     """
-    two = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name
-    )
-    while True:
+    two = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    while not _stars(two):
         both = two.unionAll(two.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = stored(small, name)
-        marks = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first() for x in (two, after)]
-        two = after
-        if marks[0] == marks[1]:
-            break
-    stars = two.groupBy("a").agg(F.min("b").alias("label"))
-    return stars.select(F.col("a").alias("node"), "label").unionAll(stars.select(F.col("label").alias("node"), "label").distinct())
+        steps = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        two = stored(large.join(floor, "a").select(steps.alias("e")).select("e.*").where("a <> b").distinct(), name)
+    return two.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(two.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def _stars(two: DataFrame) -> bool:
+    """Has every node one smaller neighbour, which itself has none?"""
+    if not two.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return two.select("b").distinct().join(two.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
