@@ -2,7 +2,7 @@
 
 MIXING = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+  SELECT row_number() OVER () AS row, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), per AS (
@@ -31,7 +31,7 @@ WITH sized AS (
   FROM copies
 )
 SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN yes THEN size ELSE 0 END) AS BIGINT) AS taken
-FROM taken GROUP BY doc_id, source, size, source_size, target
+FROM taken GROUP BY row, doc_id, size, source_size, target
 """
 
 LINES = r"""
