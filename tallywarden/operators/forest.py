@@ -128,32 +128,50 @@ def fit(
     sample_size: int = DEFAULT_SAMPLE,
     seed: int = DEFAULT_SEED,
 ) -> Forest:
-    """Fit on a table of any size.
-
-    Rows are sampled by a hash of their id, so the sample is the same on every run and after
-    any retry. A first cut keeps a pool a few times larger than all tree samples together;
-    only pool rows are offered to the single trees. About trees * sample_size rows move.
+    """Fit on a table of any size; every row has the same chance to be in each tree's sample.
+
+    A hash of its id is a row's place in [0, 1). A tree owns a stretch of that range which holds
+    a little more rows than its sample, so a row goes to one tree at most per hash; where the trees
+    need more than the whole range (small tables), further hashes serve the further trees. Among a tree's
+    rows the first ``sample_size`` by another hash are its sample. So about trees * sample_size rows
+    move, however large the table, and the sample is the same on every run and after any retry.
+    Should a tree get too few rows (ids that are not unique), the stretches are doubled.
     """
     require(df, [*features, row_id], "feature")
     total = df.count()
     if total == 0:
         raise RuntimeError("no training rows")
     sample_size = min(sample_size, total)
-    pool_size = 4 * trees * sample_size
     rows = df.select(F.col(row_id).alias("id"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    if total > 2 * pool_size:
-        rows = rows.where(_hashed(F.lit(seed), F.col("id")) < int(pool_size / total * _HASH_RANGE))
-        offered = pool_size
-    else:
-        offered = total
-    # Expect enough rows per tree that fewer than sample_size is out of the question (ten sigma).
-    wanted = sample_size + 10 * math.sqrt(sample_size) + 30
-    share = min(1.0, wanted / offered)
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
-    drawn = F.filter(numbers, lambda t: _hashed(F.lit(seed + 1), F.col("id"), t) < int(share * _HASH_RANGE))
+    # Ten deviations more than the sample: fewer rows are out of the question if ids are unique.
+    share = (sample_size + 10 * math.sqrt(sample_size) + 30) / total
+    while True:
+        forest = _fit(rows, features, trees, sample_size, seed, min(1.0, share))
+        roots = forest.nodes[forest.nodes.node == 0]
+        if len(roots) == trees and (roots["size"] == sample_size).all():
+            return forest
+        if share >= 1:
+            raise RuntimeError("a tree did not get its full sample")
+        share *= 2
+
+
+def tree_rows(rows: DataFrame, trees: int, seed: int, share: float) -> DataFrame:
+    """Rows (id, x, tree): each tree gets a ``share`` of all rows, by hashes of their ids."""
+    per_hash = min(trees, max(1, int(1 / share)))
+    rounds = -(-trees // per_hash)
+    place = lambda r: _hashed(F.lit(seed), F.col("id"), r) / F.lit(float(_HASH_RANGE))
+    if rounds == 1:
+        slot = F.floor(place(F.lit(0)) / share)
+        return rows.withColumn("tree", slot.cast("int")).where(F.col("tree") < trees)
+    slots = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.struct(r.alias("r"), F.floor(place(r) / share).alias("slot")))
+    kept = F.filter(slots, lambda s: (s.slot < per_hash) & (s.r * per_hash + s.slot < trees))
+    return rows.select("id", "x", F.explode(F.transform(kept, lambda s: (s.r * per_hash + s.slot).cast("int"))).alias("tree"))
+
+
+def _fit(rows: DataFrame, features: list[str], trees: int, sample_size: int, seed: int, share: float) -> Forest:
     # The sample is small in bytes but growing trees is work: spread it by number, not by size.
-    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
-    per_tree = rows.select("id", "x", F.explode(drawn).alias("tree")).repartition(tasks, "tree")
+    tasks = min(trees, rows.sparkSession.sparkContext.defaultParallelism)
+    per_tree = tree_rows(rows, trees, seed, share).repartition(tasks, "tree")
     draw_order = W.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 2), "id", "tree"), "id")
     sample = per_tree.withColumn("draw", F.row_number().over(draw_order)).where(F.col("draw") <= sample_size)
 
@@ -164,11 +182,7 @@ def fit(
     # A group is one tree: sample_size rows, never more.
     nodes = sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     nodes = nodes.sort_values(["tree", "node"], ignore_index=True).astype(CHILD_TYPES)
-    forest = Forest(nodes, tuple(features), sample_size, trees, seed)
-    roots = forest.nodes[forest.nodes.node == 0]
-    if len(roots) != trees or (roots["size"] != sample_size).any():
-        raise RuntimeError("a tree did not get its full sample")
-    return forest
+    return Forest(nodes, tuple(features), sample_size, trees, seed)
 
 
 def _hashed(*parts: Column) -> Column:
@@ -288,8 +302,8 @@ def flag(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "anom
     return df.withColumn(column, F.coalesce(known >= F.lit(float(threshold)), F.lit(False)))
 
 
-def contamination_threshold(scored: DataFrame, share: float = 0.01, exact: bool = False, score: str = "anomaly_score") -> DataFrame:
-    """The score that the given share of rows reach: one row. By default from a bounded sketch."""
+def contamination_threshold(scored: DataFrame, share: float = 0.01, exact: bool = True, score: str = "anomaly_score") -> DataFrame:
+    """The score that the given share of rows reach: one row. ``exact=False`` reads it off a bounded sketch."""
     if not 0 < share < 1:
         raise ValueError("share must be in (0, 1)")
     if not exact:

@@ -131,7 +131,7 @@ def test_exact_quantile(spark):
         got = forests.contamination_threshold(df, share, exact=True).first().threshold
         assert got == pytest.approx(np.quantile(values, 1 - share), abs=1e-12)
     assert forests.exact_quantile(df.where("false"), "anomaly_score", 0.5) is None
-    near = forests.contamination_threshold(df.where("not isnan(anomaly_score)"), 0.25).first().threshold
+    near = forests.contamination_threshold(df.where("not isnan(anomaly_score)"), 0.25, exact=False).first().threshold
     assert near == pytest.approx(np.quantile(values, 0.75), abs=0.01)
 
 
@@ -158,3 +158,25 @@ def test_train_wide(spark):
 
 def test_fixed_forest_is_fixed():
     assert fixed_forest().nodes.equals(fixed_forest().nodes)
+
+
+def test_every_row_can_reach_a_tree(spark):
+    """No pool: rows of a large table reach trees from everywhere, and trees share rows by chance only."""
+    rows = spark.range(200_000).selectExpr("id", "array(rand(3)) AS x")
+    taken = [(r.id, r.tree) for r in forests.tree_rows(rows, 10, 1, 0.01).select("id", "tree").collect()]
+    counts = np.bincount([t for _, t in taken], minlength=10)
+    assert len(counts) == 10 and (abs(counts - 2000) < 250).all()
+    tenths = np.bincount([i // 20_000 for i, _ in taken], minlength=10)
+    assert (abs(tenths - 2000) < 250).all()
+    assert len({i for i, _ in taken}) == len(taken)  # one hash: a row is in one tree at most
+    many = [(r.id, r.tree) for r in forests.tree_rows(rows, 300, 1, 0.01).select("id", "tree").collect()]
+    assert (abs(np.bincount([t for _, t in many], minlength=300) - 2000) < 300).all()
+    pairs = {t: {i for i, u in many if u == t} for t in (0, 99, 100, 250)}
+    assert abs(len(pairs[0] & pairs[100]) - 20) < 25 and abs(len(pairs[99] & pairs[250]) - 20) < 25
+    assert forests.tree_rows(rows.limit(50), 7, 1, 1.0).count() == 350
+
+
+def test_repeated_ids_still_fill_the_trees(spark):
+    rows = spark.range(3000).selectExpr("id % 5 AS seq", "cast(id AS double) AS f0")
+    model = forests.fit(rows, ["f0"], trees=8, sample_size=64, seed=2)
+    assert (model.nodes[model.nodes.node == 0]["size"] == 64).all()
