@@ -10,6 +10,12 @@ from tallywarden.functions import explain as E
 from tallywarden.plans import catalog as C
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SINCE
 
+def _trees(trees: int, table: str) -> str:
+    """What holds for every tree: 256 rows (all, if fewer) in the root and in the leaves together, every row in one leaf."""
+    return f"""SELECT CAST(tree AS INT) AS tree, least(256, n) AS root_rows, least(256, n) AS leaf_rows, true AS within_depth, n AS rows_in_one_leaf
+        FROM (SELECT unnest(range({trees})) AS tree), (SELECT count(*) AS n FROM {table})"""
+
+
 EVENTS = "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS user_id, ts, epoch_us(ts) AS us, value AS amount, event_type, props FROM events"
 ORDERS = "SELECT o_orderkey AS seq, CAST(o_custkey AS VARCHAR) AS user_id, o_orderdate AS ts, epoch_us(o_orderdate) AS us, o_totalprice AS amount FROM orders"
 ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 = 0 THEN '' ELSE printf('.%06d', us % 1000000) END || '+00:00'"
@@ -156,7 +162,7 @@ def oracle() -> dict[str, str]:
     bad_kinds = f"CASE column_name WHEN '{AMOUNT}' THEN 1 WHEN '{MEAN}' THEN 2 WHEN '{COUNT}' THEN 3 WHEN '{SINCE}' THEN 4 END"
     sql = {
         "src_transactions": f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS reject_reason FROM ({EVENTS})",
-        "src_replay_limit": f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts FROM ({EVENTS}) ORDER BY us, seq LIMIT 50",
+        "src_replay_limit": f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts FROM ({EVENTS}) ORDER BY us, seq LIMIT 80",
         "src_csv": _features(f"SELECT seq, {FEATURE_COLUMNS} FROM d"),
         "sink_csv": _scored("SELECT seq, amount AS amount_value, anomaly_score, is_anomaly FROM x"),
         "msg_transactions": f"SELECT user_id AS key, CAST(seq AS VARCHAR) AS transaction_id, user_id, {ISO} AS timestamp, amount, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM ({EVENTS})",
@@ -197,6 +203,9 @@ def oracle() -> dict[str, str]:
         "score_forest": _scored(SCORE_ROWS),
         "score_flag": _scored(FLAG_ROWS),
         "model_roundtrip": _scored(SCORE_ROWS),
+        "train_forest": _trees(20, "events"),
+        "train_sanity": "SELECT count(*) AS rows, count(*) AS scored, true AS largest_stands_out FROM events",
+        "train_wide": _trees(100, "embeddings"),
         "score_sanity": _scored("SELECT count(*) AS rows, count(*) FILTER (anomaly_score IS NULL) AS missing_scores, CAST(0 AS BIGINT) AS missing_flags, count(*) FILTER (anomaly_score < 0 OR anomaly_score > 1) AS out_of_range FROM x"),
         "contamination_threshold": _scored("SELECT round(quantile_cont(anomaly_score, 0.99), 9) AS threshold FROM x"),
         "explain": _features(f"SELECT seq, {_reason_text(reasons())} AS reasons FROM d", window_seconds=C.DAY),

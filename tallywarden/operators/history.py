@@ -13,7 +13,8 @@ from tallywarden.functions.parse import json_or_raw
 from tallywarden.schemas import ANOMALIES, FEATURE_ROWS, FEATURES, RAW_EVENTS
 
 TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMALIES}
-MAX_LIMIT = 1000
+#: Requests up to this many rows pick their ids first; larger ones join first.
+PICKED = 1000
 DEFAULT_LIMIT = 100
 
 
@@ -84,37 +85,38 @@ class Store:
     def recent(self, limit: int = DEFAULT_LIMIT, since: datetime | str | None = None) -> DataFrame:
         """The newest records by processing time, optionally only from ``since`` on.
 
-        The newest ids are picked first (1000 at most), so the joins touch few partitions.
-        Should one of them lack its event or features, the tables are joined before the cut.
+        For up to 1000 rows the newest ids are picked first, so the joins touch few partitions.
+        Should one of them lack its event or features, or for more rows, the tables are joined
+        before the cut. An id stored in two batches is two records.
         """
-        if not 1 <= int(limit) <= MAX_LIMIT:
-            raise ValueError(f"limit must be in 1..{MAX_LIMIT}")
+        if int(limit) < 1:
+            raise ValueError("limit must be positive")
         anomalies = self.table("anomalies")
         if since is not None:
             moment = parse_since(since)
             anomalies = anomalies.where(
                 (F.col("processed_timestamp") >= F.lit(moment)) & (F.col("processed_date") >= F.lit(moment.date()))
             )
-        picked = _newest(anomalies, limit).collect()
+        picked = _newest(anomalies, limit).collect() if limit <= PICKED else []
         if picked:
             top = self.spark.createDataFrame(picked, anomalies.schema)
             batches = sorted({r.batch_id for r in picked if r.batch_id is not None})
             days = sorted({r.processed_date for r in picked if r.processed_date is not None})
             ids = [r.raw_event_id for r in picked]
             joined = self._joined(
-                F.broadcast(top),  # at most MAX_LIMIT rows
+                F.broadcast(top),  # at most PICKED rows
                 _within(self.table("raw_events"), "id", ids, batches, days),
                 _within(self.table("features"), "raw_event_id", ids, batches, days),
             )
-            if joined.select("id").distinct().count() == len(picked):
+            if joined.count() == len(picked):
                 return _shaped(_newest(joined, limit))
         return _shaped(_newest(self._joined(anomalies, self.table("raw_events"), self.table("features")), limit))
 
     def _joined(self, anomalies: DataFrame, raw: DataFrame, features: DataFrame) -> DataFrame:
-        keep = ["id", "raw_event_id", "anomaly_score", "is_anomaly", "processed_timestamp"]
-        events = raw.select(F.col("id").alias("raw_event_id"), "event_json")
-        values = features.select("raw_event_id", "features_json")
-        return anomalies.select(keep).join(events, "raw_event_id").join(values, "raw_event_id")
+        keep = ["batch_id", "id", "raw_event_id", "anomaly_score", "is_anomaly", "processed_timestamp"]
+        events = raw.select("batch_id", F.col("id").alias("raw_event_id"), "event_json")
+        values = features.select("batch_id", "raw_event_id", "features_json")
+        return anomalies.select(keep).join(events, ["batch_id", "raw_event_id"]).join(values, ["batch_id", "raw_event_id"])
 
     def orphans(self) -> DataFrame:
         """Rows of features and anomalies without their raw event."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,13 +127,15 @@ def _dirty_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stage(messages: DataFrame, folder: str) -> None:
-    messages.coalesce(1).write.mode("append").parquet(folder)
+    """Add messages to a folder in as many files as they are read in, one more than the cores at least."""
+    tasks = max(messages.sparkSession.sparkContext.defaultParallelism + 1, messages.rdd.getNumPartitions())
+    messages.repartition(tasks, "seq").write.mode("append").parquet(folder)
 
 
 def src_transactions(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "src")
     _stage(tables.messages(tables.from_events(spark, folder)), f"{work}/in")
-    decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in"))
+    decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
     writer = decoded.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
     writer.trigger(availableNow=True).start(f"{work}/out").awaitTermination()
     rows = spark.read.schema(decoded.schema).parquet(f"{work}/out")
@@ -423,11 +426,61 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return forests.score(rows, forests.load(spark, path)).select("seq", _score())
 
 
+def _tree_facts(forest: forests.Forest, rows: DataFrame) -> DataFrame:
+    """Per tree: rows in the root and in all leaves, whether no leaf is too deep, rows of the table that lie in exactly one leaf."""
+    spark = rows.sparkSession
+    facts, boxes = [], []
+    for tree, part in forest.nodes.groupby("tree"):
+        nodes = part.set_index("node")
+        depth = {0: 0}
+        for node in nodes.sort_index().itertuples():
+            if node.feature != forests.LEAF:
+                depth[int(node.left)] = depth[int(node.right)] = depth[node.Index] + 1
+        leaf = nodes[nodes.feature == forests.LEAF]
+        deepest = max(depth[i] for i in leaf.index)
+        limit = int(np.ceil(np.log2(max(forest.sample_size, 2))))
+        facts.append((int(tree), int(nodes["size"][0]), int(leaf["size"].sum()), deepest <= limit))
+        boxes.append((int(tree), np.vstack(leaf.lo.to_list()), np.vstack(leaf.hi.to_list())))
+    sent = spark.sparkContext.broadcast(boxes)  # trees x leaves, whatever the table's size
+
+    def hits(batches):
+        found = dict.fromkeys((tree for tree, _, _ in sent.value), 0)
+        for batch in batches:
+            points = np.column_stack([c.to_numpy() for c in batch.columns])
+            for i in range(0, len(points), 256):
+                x = points[i : i + 256, None, :]
+                for tree, lo, hi in sent.value:
+                    found[tree] += int((((x > lo) & (x <= hi)).all(axis=2).sum(axis=1) == 1).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["tree", "n"])
+
+    points = rows.select(*[F.col(f).cast("double").alias(f) for f in forest.feature_names])
+    once = points.mapInArrow(hits, "tree int, n bigint").groupBy("tree").agg(F.sum("n").alias("rows_in_one_leaf"))
+    known = spark.createDataFrame(facts, "tree int, root_rows bigint, leaf_rows bigint, within_depth boolean")
+    return known.join(once, "tree")
+
+
 def train_forest(spark: SparkSession, folder: str) -> DataFrame:
-    """Train on all events with the default size and score the same events."""
+    """Facts of each tree of a forest trained on all events; every event must lie in one leaf of each tree."""
+    tx = tables.from_events(spark, folder)
+    return _tree_facts(training.train(tx, trees=20), feats.features(tx))
+
+
+def train_sanity(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the default forest over its own training table: all there, all in (0, 1), extreme amounts above the median."""
     tx = tables.from_events(spark, folder)
-    forest = training.train(tx)
-    return forests.score(feats.features(tx), forest).select("seq", _score())
+    scored = forests.score(feats.features(tx), training.train(tx))
+    top = scored.agg(F.max_by("anomaly_score", "amount").alias("of_largest"), F.percentile("anomaly_score", F.lit(0.5)).alias("middle"))
+    s = F.col("anomaly_score")
+    return scored.agg(F.count("*").alias("rows"), F.count_if((s > 0) & (s < 1)).alias("scored")).join(top.select((F.col("of_largest") > F.col("middle")).alias("largest_stands_out")))
+
+
+def train_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts of each tree of the 100-tree model over all dimensions of the embeddings."""
+    vectors = tables.table(spark, folder, "embeddings")
+    wide = len(vectors.select("embedding").where("embedding IS NOT NULL").first()[0])
+    names = [f"V{i + 1}" for i in range(wide)]
+    rows = vectors.where(F.size("embedding") == wide).select(F.col("vec_id").alias("seq"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return _tree_facts(training.train_wide(rows, names, "seq"), rows)
 
 
 def score_sanity(spark: SparkSession, folder: str) -> DataFrame:
@@ -685,7 +738,7 @@ def _score_rounds(spark: SparkSession, folder: str, work: str, *followers: Calla
 def stream_features(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
     for _ in _rounds(spark, folder, work):
-        decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in"))
+        decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
         out = features_stream(validate.valid_rows(decoded).drop("reject_reason"))
         writer = out.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
         writer.trigger(availableNow=True).start(f"{work}/out").awaitTermination()
@@ -745,7 +798,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check,
     features, features_orders, features_hot_users, feat_running_mean, feat_count_60s, feat_count_1d,
     feat_time_since_last, user_profile, user_amount_ema, active_users_5m,
-    score_forest, score_flag, model_roundtrip, train_forest, score_sanity, contamination_threshold,
+    score_forest, score_flag, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
     explain, explain_flagged, explain_amounts,
     alert_score_above, alert_score_below, alert_rate_global, alert_rate_user, alert_rate_global_ties, alert_rate_user_hot,
     kpi_totals, anomalies_per_minute, anomalies_all_minutes, latest_score, anomaly_fraction, anomaly_samples, first_rows,

@@ -16,8 +16,15 @@ def _event_text(**fields: Column) -> Column:
     return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
 
 
+def _with_extras(event: Column, extras: Column) -> Column:
+    """A JSON object with the members of another one appended; other JSON or bad text adds nothing."""
+    whole = F.to_json(F.try_parse_json(extras))
+    more = F.when(whole.startswith("{") & (whole != "{}"), F.concat(F.lit(","), F.substring(whole, 2, (1 << 31) - 1)))
+    return F.concat(F.regexp_replace(event, r"\}$", ""), F.coalesce(more, F.lit("}")))
+
+
 def from_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Table ``events``: value is the amount, props are extra fields, event_id is the arrival order."""
+    """Table ``events``: value is the amount, all props are extra fields, event_id is the arrival order."""
     rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.select(
         F.col("event_id").alias("seq"),
@@ -27,13 +34,15 @@ def from_events(spark: SparkSession, folder: str) -> DataFrame:
         "ts",
         F.unix_micros("ts").alias("us"),
         "event_type",
-        _event_text(
-            transaction_id=F.col("event_id").cast("string"),
-            user_id=F.col("user_id").cast("string"),
-            amount=F.col("value"),
-            timestamp=iso_text(F.col("ts")),
-            event_type=F.col("event_type"),
-            k=F.get_json_object("props", "$.k").cast("int"),
+        _with_extras(
+            _event_text(
+                transaction_id=F.col("event_id").cast("string"),
+                user_id=F.col("user_id").cast("string"),
+                amount=F.col("value"),
+                timestamp=iso_text(F.col("ts")),
+                event_type=F.col("event_type"),
+            ),
+            F.col("props"),
         ).alias("event"),
     )
 

@@ -12,7 +12,6 @@ from tallywarden.operators.validate import decode_events
 # Stream names.
 TRANSACTIONS_TOPIC = "transactions"
 SCORED_TOPIC = "scored-events"
-MAX_REPLAY = 50
 
 MESSAGE = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
@@ -38,14 +37,19 @@ def kafka_sink_options(servers: str, topic: str = SCORED_TOPIC) -> dict[str, str
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str = TRANSACTIONS_TOPIC, max_per_batch: int | None = None) -> DataFrame:
-    """Keyed messages. ``seq`` joins offset and partition into one unique number (4096 partitions)."""
+    """Keyed messages of one topic. ``seq`` joins offset and partition into one unique number.
+
+    A partition number of 4096 or more would make numbers collide: such a row is an error.
+    """
     rows = spark.readStream.format("kafka").options(**kafka_source_options(servers, topic, max_per_batch)).load()
     return kafka_messages(rows)
 
 
 def kafka_messages(rows: DataFrame) -> DataFrame:
+    number = F.shiftleft(F.col("offset").cast("bigint"), 12) + F.col("partition")
+    few = F.col("partition") < 4096
     return rows.select(
-        (F.shiftleft(F.col("offset").cast("bigint"), 12) + F.col("partition")).alias("seq"),
+        F.when(few, number).otherwise(F.raise_error(F.lit("partition 4096 or above")).cast("bigint")).alias("seq"),
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
     )
@@ -64,9 +68,11 @@ def transactions(messages: DataFrame) -> DataFrame:
     return decode_events(messages)
 
 
-def replay(tx: DataFrame, count: int = MAX_REPLAY) -> DataFrame:
-    """The first transactions in event order; the count is held to 1..50."""
-    return tx.orderBy("us", "seq").limit(max(1, min(int(count), MAX_REPLAY)))
+def replay(tx: DataFrame, count: int = 50) -> DataFrame:
+    """The first ``count`` transactions in event order."""
+    if int(count) < 1:
+        raise ValueError("count must be positive")
+    return tx.orderBy("us", "seq").limit(int(count))
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:

@@ -23,11 +23,11 @@ def scored(spark):
 
 def test_round_trip(spark, work, scored):
     store = Store(spark, work)
-    event = '{"transaction_id": "t1", "user_id": "u1", "amount": 123.45, "extra": "x"}'
-    store.append(scored([(7, event, 1.23, True, NOW)]))
+    event = '{"transaction_id": "k-9", "user_id": "ada", "amount": 80.5, "note": "gift"}'
+    store.append(scored([(7, event, 0.875, True, NOW)]))
     record = store.recent(10).select("*", F.to_json("event").alias("e"), F.to_json("features").alias("f")).first()
-    assert (record.anomaly_row_id, record.anomaly_score, record.is_anomaly) == (7, 1.23, True)
-    assert '"extra":"x"' in record.e and '"amount":123.45' in record.e and FEATURES[0] in record.f
+    assert (record.anomaly_row_id, record.anomaly_score, record.is_anomaly) == (7, 0.875, True)
+    assert '"note":"gift"' in record.e and '"amount":80.5' in record.e and FEATURES[0] in record.f
     assert all(ok for *_, ok in conformance(store.recent(10), HISTORY))
 
 
@@ -41,9 +41,9 @@ def test_absent_store_is_empty(spark, work):
 
 def test_since_is_inclusive(spark, work, scored):
     store = Store(spark, work)
-    store.append(scored([(1, "{}", 0.1, False, NOW - timedelta(hours=1)), (2, "{}", 2.0, True, NOW)]))
-    assert [r.anomaly_row_id for r in store.recent(10, NOW - timedelta(minutes=30)).collect()] == [2]
-    assert [r.anomaly_row_id for r in store.recent(10, "2025-01-24T11:00:00").collect()] == [2, 1]
+    store.append(scored([(1, "{}", 0.3, False, NOW - timedelta(minutes=90)), (2, "{}", 0.6, True, NOW)]))
+    assert [r.anomaly_row_id for r in store.recent(10, NOW - timedelta(minutes=20)).collect()] == [2]
+    assert [r.anomaly_row_id for r in store.recent(10, "2025-01-24T10:30:00").collect()] == [2, 1]
     assert [r.anomaly_row_id for r in store.recent(10, "2025-01-24T17:30:00+05:30").collect()] == [2]
     with pytest.raises(ValueError):
         parse_since("yesterday")
@@ -53,9 +53,19 @@ def test_limit_order_and_bounds(spark, work, scored):
     store = Store(spark, work)
     store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(seconds=i // 2)) for i in range(10)]))
     assert [r.anomaly_row_id for r in store.recent(3).collect()] == [9, 8, 7]
-    for limit in (0, 1001):
-        with pytest.raises(ValueError):
-            store.recent(limit)
+    assert [r.anomaly_row_id for r in store.recent(5000).collect()] == list(range(9, -1, -1))
+    with pytest.raises(ValueError):
+        store.recent(0)
+
+
+def test_large_requests_and_ids_in_two_batches(spark, work, scored):
+    store = Store(spark, work)
+    store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(seconds=i)) for i in range(1500)]))
+    store.append(scored([(3, '{"again": 1}', 0.7, True, NOW + timedelta(days=1))]), 1)
+    assert store.recent(1200).count() == 1200
+    assert store.recent(5000).count() == 1501
+    newest = store.recent(1).select("anomaly_row_id", "anomaly_score", F.to_json("event").alias("e")).collect()
+    assert [tuple(r) for r in newest] == [(3, 0.7, '{"again":1}')]
 
 
 def test_retried_batch_leaves_no_doubles(spark, work, scored):

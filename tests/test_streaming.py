@@ -130,6 +130,9 @@ def test_kafka_options_and_ids(spark):
     rows = spark.createDataFrame([(0, 3, b"k", b"v"), (1, 3, None, b"v"), (0, 4, b"k", b"v")], "partition int, offset bigint, key binary, value binary")
     got = transactions.kafka_messages(rows).collect()
     assert len({r.seq for r in got}) == 3 and got[0].value == "v" and got[1].key is None
+    far = spark.createDataFrame([(4096, 3, b"k", b"v")], rows.schema)
+    with pytest.raises(Exception, match="partition 4096"):
+        transactions.kafka_messages(far).collect()
 
 
 def test_csv(spark, work):
@@ -143,6 +146,8 @@ def test_csv(spark, work):
         transactions.read_csv(spark, f"{work}-empty", df.schema)
 
 
-def test_replay_is_held_to_fifty(tx):
+def test_replay_takes_the_count_as_given(tx):
     rows = tx([("u", 1, i) for i in range(60)])
-    assert [transactions.replay(rows, n).count() for n in (0, 7, 500)] == [1, 7, 50]
+    assert [transactions.replay(rows, n).count() for n in (7, 55, 500)] == [7, 55, 60]
+    with pytest.raises(ValueError):
+        transactions.replay(rows, 0)
