@@ -43,7 +43,10 @@ SCORED = T.StructType(
         T.StructField("processed_ts", T.TimestampType()),
     ]
 )
-_TAIL = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double"
+_ALERT = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double"
+_TAIL = f"{_ALERT}, seen_us bigint"
+#: How much later than the newest event a late one may come and still find all its peers.
+LATENESS_SECONDS = 600
 
 
 def scored_stream(
@@ -117,38 +120,49 @@ def rate_alert_stream(
     limit: int = 10,
     window_seconds: int = 60,
     scope: str = "global",
+    lateness_seconds: int = LATENESS_SECONDS,
     **options,
 ) -> StreamingQuery:
     """Rate alerts, global or per user, without sending all anomalies through one task.
 
-    A batch counts its own anomalies together with those of the last window, which the batch
-    before has left below ``path``/tail, with the same spread-out count as the batch form.
-    An event without a time counts at its processing time.
+    A batch counts its own anomalies together with earlier ones, which the batch before has left below
+    ``path``/tail, with the same spread-out count as the batch form. An anomaly is left there until the
+    newest event time is its window and ``lateness_seconds`` ahead; an event that comes later than that is
+    counted with what is left. A time that lies after the event's own processing time
+    (a wrong clock) raises no other event's age: it counts as the processing time there. An
+    event without a time counts at its processing time. Alerts that were sent are not revised.
     """
     window_us = int(window_seconds) * MICROS
-    columns = ["alert_key", "seq", "user_id", "us", "ts", "anomaly_score"]
+    keep_us = window_us + int(lateness_seconds) * MICROS
+    columns = ["alert_key", "seq", "user_id", "us", "ts", "anomaly_score", "seen_us"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = F.lit("global") if scope == "global" else F.coalesce(F.col("user_id"), F.lit(UNKNOWN_USER))
+        processed = F.unix_micros("processed_ts")
         flagged = batch.where("is_anomaly").withColumns(
-            {"alert_key": key, "us": F.coalesce("us", F.unix_micros("processed_ts")), "fresh": F.lit(True)}
+            {
+                "alert_key": key,
+                "seen_us": F.when(F.col("ts").isNotNull(), F.least(F.unix_micros("ts"), processed)),
+                "us": F.coalesce("us", processed),
+                "fresh": F.lit(True),
+            }
         )
         before = _read(spark, f"{path}/tail/batch_id={batch_id - 1}", _TAIL).withColumn("fresh", F.lit(False))
-        near = flagged.select(*columns, "fresh").unionByName(before)
-        near = cut_lineage(spark, near)
-        newest = near.agg(F.max(F.unix_micros("ts"))).first()[0]  # a processing time must not age the rest
-        kept = near.where(F.col("us") >= (newest or 0) - window_us)
+        near = cut_lineage(spark, flagged.select(*columns, "fresh").unionByName(before))
+        newest = near.agg(F.max("seen_us")).first()[0]
+        kept = near if newest is None else near.where(F.col("us") >= newest - keep_us)
         kept.select(columns).write.mode("overwrite").parquet(f"{path}/tail/batch_id={batch_id}")
         counted = trailing_count(near, None if scope == "global" else "alert_key", window_us)
         raised = counted.where(F.col("fresh") & (F.col("window_count") > int(limit)))
-        raised.drop("fresh").write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        raised.drop("fresh", "seen_us").write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}")
+        _remove(spark, f"{path}/tail/batch_id={batch_id - 2}")  # a retry needs the batch before only
 
     return per_batch(scored, handle, checkpoint, **options)
 
 
 def rate_alerts_so_far(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/alerts", f"{_TAIL}, window_count bigint, batch_id bigint").drop("batch_id")
+    return _read(spark, f"{path}/alerts", f"{_ALERT}, window_count bigint, batch_id bigint").drop("batch_id")
 
 
 def minute_stream(scored: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
@@ -198,6 +212,12 @@ def live_rows_now(spark: SparkSession, path: str) -> DataFrame:
     return views.where(F.col("batch_id") == (-1 if newest is None else newest)).drop("batch_id")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; nothing happens if it is not there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
