@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted ISO-8601 shapes. Groups of CALENDAR: year, month, day, hour,
+# The accepted ISO-8601 shapes. Date, time and offset may each be written with
+# separators throughout or without any.
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?)"
+_CLOCK = r"\d{2}(?::\d{2}(?::\d{2}(?:[.,]\d+)?)?|\d{2}(?:\d{2}(?:[.,]\d+)?)?)?"
+_OFFSET = r"(?:Z|[+-]\d{2}(?::\d{2}(?::\d{2})?|\d{2}(?:\d{2})?)?)?"
+WELL_FORMED = f"^{_DATE}(?:.{_CLOCK}{_OFFSET})?$"
+# Parts of a well-formed time. Groups of CALENDAR: year, month, day, hour,
 # minute, second, fraction, zone. Groups of WEEK: year, week, weekday, then the same tail.
-_TIME = r"(?:.([01]\d|2[0-3])(?::?([0-5]\d))?(?::?([0-5]\d))?(?:[.,](\d+))?(Z|[+-]\d{2}(?::?[0-5]\d)?)?)?$"
+_TIME = r"(?:.([01]\d|2[0-3])(?::?([0-5]\d))?(?::?([0-5]\d))?(?:[.,](\d+))?(Z|[+-]\d{2}(?::?[0-5]\d(?::?[0-5]\d)?)?)?)?$"
 CALENDAR = r"^(\d{4})-?(\d{2})-?(\d{2})" + _TIME
 WEEK = r"^(\d{4})-?W(\d{2})-?([1-7])?" + _TIME
 # The common form, which Spark casts as it is.
@@ -26,7 +32,7 @@ def iso_timestamp(text: Column) -> Column:
     """ISO-8601 text to TIMESTAMP in UTC; null when it is not a valid time.
 
     Takes extended and basic form, week dates, comma fractions, and offsets as Z, +hh,
-    +hhmm or +hh:mm. Text without an offset is UTC. Digits beyond microseconds are cut.
+    +hhmm, +hh:mm or with seconds. Text without an offset is UTC. Digits beyond microseconds are cut.
     """
 
     tail = "T$4:$5:$6.$7@$8"
@@ -44,7 +50,7 @@ def iso_timestamp(text: Column) -> Column:
     filled = F.regexp_replace(F.regexp_replace(spread, "T:", "T00:"), r":(?=[:.])", ":00")
     zoned = F.regexp_replace(F.regexp_replace(filled, r"\.?@", "@"), "@Z?$", "Z")
     other = F.regexp_replace(zoned, "@", "").try_cast("timestamp")
-    return F.when(text.rlike(PLAIN), text.try_cast("timestamp")).otherwise(other)
+    return F.when(text.rlike(PLAIN), text.try_cast("timestamp")).when(text.rlike(WELL_FORMED), other)
 
 
 def iso_or(text: Column, fallback: Column) -> Column:

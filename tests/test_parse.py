@@ -11,6 +11,8 @@ TIMES = [
     "2025-01-24T10:30:00.123456789Z", "2025-01-24T10:30:00.1+0530", "2025-01-24T10:30:00-08", "2025", "2025-1-4",
     " 2025-01-24 ", "10:30", "bad", "2025-02-30", "2020-W53-1", "2025-W53-1", "2025-01-24T24:00:00", "2025-01-24T10:61:00",
     "None", "", "2025-01-24T103000.25Z", "2025-01-24x10:30:00", "2025-13-01T00:00:00Z", "1969-12-31T23:59:59.5Z",
+    "2025-0124T10:30:00", "2025-01-24T10:3005", "2025-01-24T10:30:00+05:30:15", "20250124T10:30:00", "2025-01-24T1030", "2025-W045",
+    "2025W04-5", "2025-01-24T10:30:00+053015", "2025-01-24T1030:00", "2025-01-24T10:30:00+05:3015", "2025-01-24T10Z",
 ]
 
 
