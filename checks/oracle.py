@@ -1,13 +1,12 @@
 """DuckDB SQL that says what each query of the catalog must return.
 
 Written from the definitions, not from the Spark code: windows, joins on leaf boxes and CASE
-lists over the raw tables. Only the fixed forest and the parameters are shared.
+lists over the raw tables, with every limit and text written out. Only the fixed forest is shared.
 """
 
 from __future__ import annotations
 
-from tallywarden.functions import explain as E
-from tallywarden.plans import catalog as C
+from tallywarden.plans.catalog import fixed_forest
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SINCE
 
 def _trees(trees: int, table: str) -> str:
@@ -44,23 +43,23 @@ d AS (SELECT * EXCLUDE (gap_us), coalesce(floor((gap_us + 500) / 1e3) / 1e3, 0e0
 
 def reasons(amount: str = "amount", mean: str = "mean_amount", count: str = "recent_count", gap: str = "secs_since_last") -> str:
     """The joined reasons of a row."""
-    return f"""(CASE WHEN {gap} <= {E.GAP_VERY_SMALL} THEN '; {E.TEXT_GAP_VERY_SMALL}' WHEN {gap} <= {E.GAP_SMALL} THEN '; {E.TEXT_GAP_SMALL}'
-      WHEN {gap} > {E.GAP_VERY_LONG} THEN '; {E.TEXT_GAP_VERY_LONG}' ELSE '' END
-  || CASE WHEN {count} >= {E.COUNT_HIGH} THEN '; {E.TEXT_COUNT_HIGH}' WHEN {count} >= {E.COUNT_ELEVATED} THEN '; {E.TEXT_COUNT_ELEVATED}' ELSE '' END
+    return f"""(CASE WHEN {gap} <= 5.0 THEN '; very small time_since_last_transaction_seconds' WHEN {gap} <= 30.0 THEN '; small time_since_last_transaction_seconds'
+      WHEN {gap} > 3600.0 THEN '; very long time_since_last_transaction_seconds' ELSE '' END
+  || CASE WHEN {count} >= 5 THEN '; unusually high transaction_count_last_1_min' WHEN {count} >= 3 THEN '; elevated transaction_count_last_1_min' ELSE '' END
   || CASE WHEN {mean} > 0 THEN
-       CASE WHEN abs({amount} - {mean}) / {mean} > {E.DEVIATION_LARGE} THEN '; {E.TEXT_DEVIATION_LARGE}'
-            WHEN abs({amount} - {mean}) / {mean} > {E.DEVIATION_NOTABLE} THEN '; {E.TEXT_DEVIATION_NOTABLE}' ELSE '' END
-     WHEN {amount} >= {E.AMOUNT_VERY_LARGE} THEN '; {E.TEXT_AMOUNT_VERY_LARGE}'
-     WHEN {amount} >= {E.AMOUNT_LARGE} THEN '; {E.TEXT_AMOUNT_LARGE}' ELSE '' END)"""
+       CASE WHEN abs({amount} - {mean}) / {mean} > 3.0 THEN '; large deviation between transaction_amount and rolling_mean_amount_per_user'
+            WHEN abs({amount} - {mean}) / {mean} > 1.0 THEN '; notable deviation between transaction_amount and rolling_mean_amount_per_user' ELSE '' END
+     WHEN {amount} >= 50000.0 THEN '; very large transaction_amount'
+     WHEN {amount} >= 5000.0 THEN '; large transaction_amount' ELSE '' END)"""
 
 
 def _reason_text(expression: str) -> str:
-    return f"CASE WHEN {expression} = '' THEN '{E.TEXT_OTHER}' ELSE substr({expression}, 3) END"
+    return f"CASE WHEN {expression} = '' THEN 'anomalous pattern detected' ELSE substr({expression}, 3) END"
 
 
 def scores_cte() -> str:
     """s: score per seq, from leaf boxes."""
-    forest = C.fixed_forest()
+    forest = fixed_forest()
     rows = []
     for leaf in forest.leaves().itertuples():
         box = ", ".join(f"{_double(lo)}, {_double(hi)}" for lo, hi in zip(leaf.lo, leaf.hi))
@@ -72,12 +71,12 @@ def scores_cte() -> str:
 s AS (SELECT seq, power(2e0, -avg(path) / {_double(forest.normaliser)}) AS anomaly_score FROM d JOIN leaf ON {inside} GROUP BY seq)"""
 
 
-def scored_cte(threshold: float = C.THRESHOLD) -> str:
+def scored_cte(threshold: float = 0.6) -> str:
     """x: events with features, rounded score, flag, reasons and processing time."""
     return f"""{features_cte()}, {scores_cte()},
 x AS (SELECT d.*, round(s.anomaly_score, 9) AS anomaly_score, s.anomaly_score >= {threshold}e0 AS is_anomaly,
     CASE WHEN s.anomaly_score >= {threshold}e0 THEN {_reason_text(reasons())} ELSE '' END AS reasons,
-    ts + INTERVAL {C.PROCESSING_SECONDS} SECOND AS processed_timestamp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
+    ts + INTERVAL 2 SECOND AS processed_timestamp, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM d JOIN s USING (seq))"""
 
 
@@ -140,9 +139,9 @@ FEED = (
 
 
 def oracle() -> dict[str, str]:
-    order_flags = f"(SELECT *, amount >= {C.ORDER_ALERT_AMOUNT} AS is_anomaly FROM ({ORDERS}))"
+    order_flags = f"(SELECT *, amount >= 400000.0 AS is_anomaly FROM ({ORDERS}))"
     features = _features(f"SELECT seq, user_id, ts, {FEATURE_COLUMNS} FROM d")
-    orders = _features(f"SELECT seq, user_id, {FEATURE_COLUMNS} FROM d", ORDERS, C.ORDER_WINDOW)
+    orders = _features(f"SELECT seq, user_id, {FEATURE_COLUMNS} FROM d", ORDERS, 2592000)
     filled = f"""WITH {features_cte(DIRTY, valid="reject_reason IS NULL")}
       SELECT seq, reject_reason, {FEATURE_COLUMNS} FROM d
       UNION ALL SELECT seq, reject_reason, coalesce(amount, 0e0), 0e0, CAST(0 AS BIGINT), 0e0 FROM tx WHERE reject_reason IS NOT NULL"""
@@ -179,12 +178,17 @@ def oracle() -> dict[str, str]:
             SELECT seq, CAST(parsed_us AS VARCHAR) AS parsed_us, coalesce(parsed_us, 0) AS kept_us FROM p""",
         "validate_events": f"SELECT seq, reject_reason, user_id, amount, known_ts AS ts FROM ({DIRTY})",
         "fill_policy": filled,
+        "skip_policy": f"SELECT * EXCLUDE (reject_reason) FROM ({filled}) WHERE reject_reason IS NULL",
+        "zero_score_policy": f"WITH tx AS ({DIRTY}) SELECT seq, reject_reason, true AS flag_fits, true AS score_fits FROM tx",
+        "score_sql": _scored(SCORE_ROWS),
+        "sink_json_lines": f"SELECT CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, {ISO} AS timestamp, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM ({EVENTS})",
+        "stream_score_alerts": _scored(FLAG_ROWS + " WHERE anomaly_score >= 0.65e0"),
         "quality_assert": f"SELECT count(*) AS rows, column_name, count(*) FILTER ({dirty_kind} = {bad_kinds}) AS bad_rows FROM ({EVENTS}), (VALUES {counted}) f(column_name, n) GROUP BY column_name",
         "null_counts": f"SELECT count(*) AS rows, column_name, count(*) FILTER ({dirty_kind} = kind) AS nulls FROM ({EVENTS}), (VALUES {nulls}) f(column_name, k0), LATERAL (SELECT CASE k0 WHEN 0 THEN -1 ELSE k0 END AS kind) GROUP BY column_name",
         "clean_training": _features(f"SELECT seq, amount AS amount_value, round(mean_amount + 1e-9, 6) AS mean_amount, recent_count, CASE WHEN {dirty_kind} = 4 THEN 0e0 ELSE secs_since_last END AS secs_since_last FROM d WHERE {dirty_kind} NOT IN (1, 2, 3)"),
         "cleaning_report": f"SELECT count(*) AS rows_before, count(*) FILTER ({dirty_kind} NOT IN (1, 2, 3)) AS rows_after, count(*) FILTER ({dirty_kind} IN (1, 2, 3)) AS rows_dropped FROM ({EVENTS})",
         "msg_event_keys": f"SELECT seq, CASE WHEN event_type = 'view' THEN sha256(user_id || '|' || us || '|' || seq) ELSE CAST(seq AS VARCHAR) END AS transaction_id FROM ({EVENTS})",
-        "training_features": _features(f"SELECT seq, {FEATURE_COLUMNS} FROM d", ORDERS, C.ORDER_WINDOW),
+        "training_features": _features(f"SELECT seq, {FEATURE_COLUMNS} FROM d", ORDERS, 2592000),
         "select_features": f"SELECT {wide}, CAST(vec_id AS DOUBLE) AS Amount FROM embeddings",
         "assemble_vector": _scored("SELECT seq, amount AS v0, round(mean_amount + 1e-9, 6) AS v1, CAST(recent_count AS DOUBLE) AS v2, secs_since_last AS v3, true AS same, CAST(0 AS BIGINT) AS missing, anomaly_score FROM x"),
         "schema_check": f"SELECT field, expected, true AS ok, n AS present FROM (VALUES {listed}) f(field, expected), (SELECT count(*) AS n FROM events)",
@@ -193,7 +197,7 @@ def oracle() -> dict[str, str]:
         "features_hot_users": orders,
         "feat_running_mean": _features("SELECT seq, user_id, round(mean_amount + 1e-9, 6) AS mean_amount FROM d"),
         "feat_count_60s": _features("SELECT seq, recent_count FROM d"),
-        "feat_count_1d": _features("SELECT seq, recent_count FROM d", window_seconds=C.DAY),
+        "feat_count_1d": _features("SELECT seq, recent_count FROM d", window_seconds=86400),
         "feat_time_since_last": _features("SELECT seq, secs_since_last FROM d"),
         "user_profile": f"SELECT user_id, count(*) AS tx_count, round(sum(amount) + 1e-9, 4) AS sum_amount, round(avg(amount) + 1e-9, 6) AS mean_amount, max(ts) AS last_ts FROM ({EVENTS}) GROUP BY user_id",
         "user_amount_ema": f"""WITH r AS (SELECT user_id, amount, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ({EVENTS}))
@@ -208,15 +212,19 @@ def oracle() -> dict[str, str]:
         "train_wide": _trees(100, "embeddings"),
         "score_sanity": _scored("SELECT count(*) AS rows, count(*) FILTER (anomaly_score IS NULL) AS missing_scores, CAST(0 AS BIGINT) AS missing_flags, count(*) FILTER (anomaly_score < 0 OR anomaly_score > 1) AS out_of_range FROM x"),
         "contamination_threshold": _scored("SELECT round(quantile_cont(anomaly_score, 0.99), 9) AS threshold FROM x"),
-        "explain": _features(f"SELECT seq, {_reason_text(reasons())} AS reasons FROM d", window_seconds=C.DAY),
+        "explain": _features(f"SELECT seq, {_reason_text(reasons())} AS reasons FROM d", window_seconds=86400),
         "explain_flagged": _scored("SELECT seq, is_anomaly, CAST(CASE WHEN is_anomaly THEN len(string_split(reasons, '; ')) ELSE 0 END AS BIGINT) AS reason_count, reasons FROM x"),
         "explain_amounts": f"SELECT seq, {_reason_text(reasons(mean='0e0', count='0', gap='0e0'))} AS reasons FROM ({ORDERS})",
         "alert_score_above": _scored(FLAG_ROWS + " WHERE anomaly_score >= 0.65e0"),
         "alert_score_below": _scored(FLAG_ROWS + " WHERE anomaly_score <= 0.45e0"),
-        "alert_rate_global": _scored(_alerts("x", C.ALERT_WINDOW, C.ALERT_LIMIT, False)),
-        "alert_rate_user": _scored(_alerts("x", C.ALERT_WINDOW, 1, True)),
-        "alert_rate_global_ties": _alerts(order_flags, C.ORDER_WINDOW, C.ORDER_ALERT_LIMIT, False),
-        "alert_rate_user_hot": _alerts(order_flags, C.ORDER_WINDOW, 1, True),
+        "alert_rate_global": _scored(_alerts("x", 86400, 3, False)),
+        "alert_rate_user": _scored(_alerts("x", 86400, 1, True)),
+        "alert_rate_global_ties": _alerts(order_flags, 2592000, 5, False),
+        "alert_rate_user_hot": _alerts(order_flags, 2592000, 1, True),
+        "stream_totals": _scored(
+            f"SELECT count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomalies, round({rate}, 9) AS anomaly_rate, {_fixed(rate, 1)} AS rate_text_1, {_fixed(rate, 2)} AS rate_text_2, "
+            f"CASE WHEN {rate} >= 15 THEN 'HIGH' WHEN {rate} >= 5 THEN 'MED' ELSE 'LOW' END AS risk FROM x"
+        ),
         "kpi_totals": _scored(
             f"SELECT count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomalies, round({rate}, 9) AS anomaly_rate, {_fixed(rate, 1)} AS rate_text_1, {_fixed(rate, 2)} AS rate_text_2, "
             f"CASE WHEN {rate} >= 15 THEN 'HIGH' WHEN {rate} >= 5 THEN 'MED' ELSE 'LOW' END AS risk FROM x"
@@ -234,7 +242,7 @@ def oracle() -> dict[str, str]:
         "first_rows": _features(f"SELECT seq, {FEATURE_COLUMNS} FROM d ORDER BY seq LIMIT 3"),
         "live_buffer_50": _scored(f"SELECT position, seq, user_id, amount, ts, anomaly_score, is_anomaly FROM ({TOP50})"),
         "sparkline_20": _scored(f"SELECT seq, position - 29 AS idx, anomaly_score, CAST(is_anomaly AS INTEGER) AS anomaly_value FROM ({TOP50}) WHERE position >= 30"),
-        "score_trend": _scored(f"SELECT position AS idx, anomaly_score, is_anomaly, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_text, {C.THRESHOLD}e0 AS threshold FROM ({TOP50})"),
+        "score_trend": _scored(f"SELECT position AS idx, anomaly_score, is_anomaly, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_text, 0.6e0 AS threshold FROM ({TOP50})"),
         "rolling_rate_10": _scored(
             f"""SELECT seq, position, round(rate, 9) AS rate, {_fixed('rate', 1)} AS rate_text FROM
             (SELECT seq, position, 100e0 * avg(CASE WHEN is_anomaly THEN 1e0 ELSE 0e0 END) OVER (ORDER BY position ROWS 9 PRECEDING) AS rate FROM ({TOP50}))"""
@@ -250,7 +258,7 @@ def oracle() -> dict[str, str]:
         "persist_tables": _scored(f"SELECT seq AS raw_event_id, CAST(seq AS VARCHAR) AS transaction_id, k, ts, anomaly_score, is_anomaly, processed_timestamp, {FEATURE_COLUMNS} FROM x"),
         "init_tables": "SELECT table_name, n AS rows FROM (VALUES ('raw_events'), ('features'), ('anomalies')) t(table_name), (SELECT count(*) AS n FROM events)",
         "history_recent": _scored(f"SELECT {HISTORY} FROM x ORDER BY processed_timestamp DESC, seq DESC LIMIT 100"),
-        "history_since": _scored(f"SELECT {HISTORY} FROM x WHERE processed_timestamp >= TIMESTAMP '{C.SINCE_TEXT}' ORDER BY processed_timestamp DESC, seq DESC LIMIT 1000"),
+        "history_since": _scored(f"SELECT {HISTORY} FROM x WHERE processed_timestamp >= TIMESTAMP '2024-01-30T00:00:00' ORDER BY processed_timestamp DESC, seq DESC LIMIT 1000"),
         "history_union_live": _scored(
             """SELECT CAST(event_type = 'purchase' AS INTEGER) AS origin, seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount,
             CASE WHEN event_type = 'purchase' THEN ts ELSE processed_timestamp END AS ts, anomaly_score, is_anomaly,
@@ -261,7 +269,7 @@ def oracle() -> dict[str, str]:
         "stream_score": _scored("SELECT seq, user_id, anomaly_score, is_anomaly, reasons, true AS stored FROM x"),
         "stream_publish": _scored(f"SELECT CAST(seq AS VARCHAR) AS transaction_id, user_id, {ISO} AS timestamp, anomaly_score, is_anomaly, reasons FROM x"),
         "stream_alerts": _scored(
-            f"SELECT 'global' AS scope, * FROM ({_alerts('x', C.ALERT_WINDOW, C.ALERT_LIMIT, False)}) UNION ALL SELECT 'user' AS scope, * FROM ({_alerts('x', C.ALERT_WINDOW, 1, True)})"
+            f"SELECT 'global' AS scope, * FROM ({_alerts('x', 86400, 3, False)}) UNION ALL SELECT 'user' AS scope, * FROM ({_alerts('x', 86400, 1, True)})"
         ),
         "stream_kpis": _scored("SELECT date_trunc('minute', ts) AS minute, count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomalies FROM x GROUP BY 1"),
         "live_view": _scored("SELECT seq, user_id, amount, ts, anomaly_score, is_anomaly FROM x ORDER BY us DESC, seq DESC LIMIT 50"),

@@ -174,6 +174,13 @@ def sink_csv(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("seq", F.col(AMOUNT).alias("amount_value"), _score(), "is_anomaly")
 
 
+def sink_json_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions written as lines of JSON and read back."""
+    path = new_folder(spark, "json")
+    transactions.write_json_lines(transaction_messages(tables.from_events(spark, folder)), path)
+    return spark.read.schema("transaction_id string, user_id string, amount double, timestamp string, event_type string, k bigint").json(path)
+
+
 def msg_transactions(spark: SparkSession, folder: str) -> DataFrame:
     sent = transaction_messages(tables.from_events(spark, folder))
     event = F.try_parse_json("value")
@@ -275,6 +282,19 @@ def fill_policy(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(scoring.features_with_policy(decoded, fill_missing=True), "seq", "reject_reason")
 
 
+def skip_policy(spark: SparkSession, folder: str) -> DataFrame:
+    """Bad events are left out: features of the good ones only."""
+    decoded = validate.decode_events(_dirty_messages(spark, folder))
+    return _plain(scoring.features_with_policy(decoded), "seq")
+
+
+def zero_score_policy(spark: SparkSession, folder: str) -> DataFrame:
+    """All events scored; those that are rejected keep their place with zero features."""
+    decoded = validate.decode_events(_dirty_messages(spark, folder))
+    scored = scoring.score_messages(decoded, fixed_forest(), THRESHOLD, fill_missing=True)
+    return scored.select("seq", "reject_reason", (F.col("anomaly_score") >= THRESHOLD).eqNullSafe(F.col("is_anomaly")).alias("flag_fits"), F.col("anomaly_score").between(0, 1).alias("score_fits"))
+
+
 def _dirty_features(spark: SparkSession, folder: str) -> DataFrame:
     """Features as text, with blanks, words and missing gaps put in."""
     rows = feats.training_features(tables.from_events(spark, folder))
@@ -459,6 +479,13 @@ def _tree_facts(forest: forests.Forest, rows: DataFrame) -> DataFrame:
     return known.join(once, "tree")
 
 
+def score_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The scorer called by name from SQL."""
+    forests.register_score(spark, fixed_forest(), "anomaly_score")
+    feats.features(tables.from_events(spark, folder)).createOrReplaceTempView("tallywarden_features")
+    return spark.sql(f"SELECT seq, round(anomaly_score({', '.join(FEATURES)}), 9) AS anomaly_score FROM tallywarden_features")
+
+
 def train_forest(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of each tree of a forest trained on all events; every event must lie in one leaf of each tree."""
     tx = tables.from_events(spark, folder)
@@ -786,6 +813,19 @@ def stream_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.minutes_so_far(spark, f"{work}/minutes").select(_ntz("minute"), "total_events", "anomalies")
 
 
+def stream_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals over everything the stream has scored so far."""
+    work = new_folder(spark, "stream")
+    _score_rounds(spark, folder, work, lambda s: jobs.minute_stream(s, f"{work}/minutes", f"{work}/minutes-checkpoint"))
+    return jobs.totals_so_far(spark, f"{work}/minutes").withColumn("anomaly_rate", F.round("anomaly_rate", 9))
+
+
+def stream_score_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    work = new_folder(spark, "stream")
+    _score_rounds(spark, folder, work, lambda s: jobs.score_alert_stream(s, f"{work}/alerts", f"{work}/alerts-checkpoint", 0.65))
+    return spark.read.schema(jobs.SCORED).parquet(f"{work}/alerts").select("seq", "user_id", _score(), "is_anomaly")
+
+
 def live_view(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
     _score_rounds(spark, folder, work, lambda s: jobs.live_view(s, f"{work}/live", f"{work}/live-checkpoint"))
@@ -793,18 +833,18 @@ def live_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    src_transactions, src_replay_limit, src_csv, sink_csv, msg_transactions, msg_scored, msg_event_keys,
-    parse_json_props, json_raw_fallback, parse_timestamps, validate_events, fill_policy, quality_assert,
+    src_transactions, src_replay_limit, src_csv, sink_csv, sink_json_lines, msg_transactions, msg_scored, msg_event_keys,
+    parse_json_props, json_raw_fallback, parse_timestamps, validate_events, fill_policy, skip_policy, zero_score_policy, quality_assert,
     clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check,
     features, features_orders, features_hot_users, feat_running_mean, feat_count_60s, feat_count_1d,
     feat_time_since_last, user_profile, user_amount_ema, active_users_5m,
-    score_forest, score_flag, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
+    score_forest, score_flag, score_sql, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
     explain, explain_flagged, explain_amounts,
     alert_score_above, alert_score_below, alert_rate_global, alert_rate_user, alert_rate_global_ties, alert_rate_user_hot,
     kpi_totals, anomalies_per_minute, anomalies_all_minutes, latest_score, anomaly_fraction, anomaly_samples, first_rows,
     live_buffer_50, sparkline_20, score_trend, rolling_rate_10, anomaly_feed, anomaly_feed_all, txn_table, display_orders,
     persist_tables, init_tables, history_recent, history_since, history_union_live, fk_orphans,
-    stream_features, stream_score, stream_publish, stream_alerts, stream_kpis, live_view,
+    stream_features, stream_score, stream_publish, stream_alerts, stream_kpis, stream_totals, stream_score_alerts, live_view,
 ]
 
 
