@@ -18,14 +18,15 @@ def feature_map() -> Column:
 
 
 def scored_messages(scored: DataFrame) -> DataFrame:
-    """Key and JSON value per scored event. ``event`` is the original JSON, kept whole."""
+    """Key and JSON value per scored event. ``event`` is the original JSON, kept whole, and so is its timestamp's text."""
     absent = F.lit("")
+    written = F.try_variant_get(F.try_parse_json(F.col("event")), "$.timestamp", "string")
     body = F.struct(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.coalesce(F.col("transaction_id"), absent).alias("transaction_id"),
         F.coalesce(F.col("user_id"), absent).alias("user_id"),
         F.coalesce(F.col("amount"), F.lit(0e0)).alias("amount"),
-        F.coalesce(iso_text(F.col("ts")), absent).alias("timestamp"),
+        F.coalesce(written, iso_text(F.col("ts")), absent).alias("timestamp"),
         iso_text(F.col("processed_ts")).alias("processed_timestamp"),
         F.col("anomaly_score"),
         F.col("is_anomaly"),

@@ -97,6 +97,8 @@ class Store:
             anomalies = anomalies.where(
                 (F.col("processed_timestamp") >= F.lit(moment)) & (F.col("processed_date") >= F.lit(moment.date()))
             )
+        else:
+            anomalies = _newest_days(anomalies, int(limit))
         picked = _newest(anomalies, limit).collect() if limit <= PICKED else []
         if picked:
             top = self.spark.createDataFrame(picked, anomalies.schema)
@@ -110,7 +112,8 @@ class Store:
             )
             if joined.count() == len(picked):
                 return _shaped(_newest(joined, limit))
-        return _shaped(_newest(self._joined(anomalies, self.table("raw_events"), self.table("features")), limit))
+        whole = self.table("anomalies") if since is None else anomalies
+        return _shaped(_newest(self._joined(whole, self.table("raw_events"), self.table("features")), limit))
 
     def _joined(self, anomalies: DataFrame, raw: DataFrame, features: DataFrame) -> DataFrame:
         keep = ["batch_id", "id", "raw_event_id", "anomaly_score", "is_anomaly", "processed_timestamp"]
@@ -134,6 +137,20 @@ def parse_since(since: datetime | str) -> datetime:
     return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment.astimezone(timezone.utc)
 
 
+def _newest_days(anomalies: DataFrame, limit: int) -> DataFrame:
+    """The newest days that hold ``limit`` rows: rows are counted from file footers, older days are not read.
+
+    Rows without a processing time have no day and come last.
+    """
+    days = anomalies.groupBy("processed_date").count().orderBy(F.desc_nulls_last("processed_date")).collect()  # one row per day
+    seen = 0
+    for day in days:
+        seen += day["count"]
+        if seen >= limit and day.processed_date is not None:
+            return anomalies.where(F.col("processed_date") >= F.lit(day.processed_date))
+    return anomalies
+
+
 def _newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("processed_timestamp"), F.desc("id")).limit(int(limit))
 

@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame
 
 from tallywarden.operators import kpis
 from tallywarden.schemas import DEFAULT_THRESHOLD
+from tallywarden.session import new_folder
 
 
 def dashboard(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> dict[str, DataFrame]:
-    """Whole-table totals and minutes; the series and lists look at the newest rows only."""
+    """Whole-table totals and minutes; the series and lists look at the newest rows only.
+
+    The eight figures read the scored events again and again, so these are stored once.
+    """
+    spark = scored.sparkSession
+    folder = new_folder(spark, "dashboard")
+    scored.write.parquet(folder)
+    scored = spark.read.schema(scored.schema).parquet(folder)
     return {
         "totals": kpis.totals(scored),
         "minutes": kpis.recent_minutes(scored),

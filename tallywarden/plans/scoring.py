@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywarden.functions.explain import explain_flagged
+from tallywarden.functions.message import with_transaction_id
 from tallywarden.operators import forest as forests
 from tallywarden.operators.features import features
 from tallywarden.operators.ordered import HOT_ROWS
@@ -44,10 +45,11 @@ def features_with_policy(
 ) -> DataFrame:
     """Features of decoded events; rejected ones are left out or kept with zero features.
 
-    Rejected rows never enter a user's running values. Decoded rows are read several times,
-    so they are stored once instead of parsed again.
+    Rejected rows never enter a user's running values. Where both kinds are read, the decoded rows
+    are stored once instead of parsed again.
     """
-    decoded = cut_lineage(decoded.sparkSession, decoded)
+    if fill_missing:
+        decoded = cut_lineage(decoded.sparkSession, decoded)
     featured = features(valid_rows(decoded), window_seconds, hot_rows=hot_rows)
     return with_rejects_filled(featured, rejected_rows(decoded)) if fill_missing else featured
 
@@ -59,5 +61,6 @@ def score_messages(
     fill_missing: bool = False,
     window_seconds: int = DEFAULT_WINDOW_SECONDS,
 ) -> DataFrame:
-    """Decoded events, good and bad, to scored events."""
-    return judge(features_with_policy(decoded, fill_missing, window_seconds), forest, threshold, fill_missing)
+    """Decoded events, good and bad, to scored events; an event without an id gets one."""
+    featured = with_transaction_id(features_with_policy(decoded, fill_missing, window_seconds))
+    return judge(featured, forest, threshold, fill_missing)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallywarden.functions.message import scored_messages
+from tallywarden.functions.message import scored_messages, with_transaction_id
 from tallywarden.operators import kpis
 from tallywarden.operators.alerts import UNKNOWN_USER, score_alerts
 from tallywarden.operators.forest import Forest
@@ -58,13 +58,13 @@ def scored_stream(
     processed: Column | None = None,
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Decoded messages to scored events. Rejected rows never reach a user's state."""
+    """Decoded messages to scored events, each with an id. Rejected rows never reach a user's state."""
     featured = features_stream(valid_rows(decoded), window_seconds, buckets)
     if fill_missing:
         featured = with_rejects_filled(featured, rejected_rows(decoded)).fillna({"is_late": False})
     judged = judge(featured, forest, threshold, fill_missing)
     stamped = judged.withColumn("processed_ts", F.current_timestamp() if processed is None else processed)
-    return stamped.select(SCORED.fieldNames())
+    return with_transaction_id(stamped).select(SCORED.fieldNames())
 
 
 def write_scored(scored: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

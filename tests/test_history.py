@@ -103,3 +103,13 @@ def test_union_with_live_rows(spark, work, scored):
     assert [r.seq for r in both.collect()] == [11, 10, 3, 2]
     rows = {r.seq: r for r in union_live(store.recent(50), live, rows=None).collect()}
     assert len(rows) == 6 and rows[0].user_id == "unknown" and rows[0].amount == 0 and rows[1].amount == 3 and rows[0].explanation == []
+
+
+def test_recent_reads_the_newest_days_only(spark, work, scored):
+    store = Store(spark, work)
+    store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(100)]))
+    assert [r.anomaly_row_id for r in store.recent(15).collect()] == list(range(99, 84, -1))
+    from tallywarden.operators.history import _newest_days
+
+    assert _newest_days(store.table("anomalies"), 15).count() == 20
+    assert _newest_days(store.table("anomalies"), 1000).count() == 100

@@ -55,6 +55,7 @@ def test_policy(decoded):
     assert rows[0][MEAN] == 1.5 and rows[0][COUNT] == 1
     scored = score_messages(decoded, fixed_forest(), 0.6, fill_missing=True)
     assert scored.count() == len(CASES) and scored.where("anomaly_score is null").count() == 0
+    assert scored.select("transaction_id").distinct().count() == len(CASES) and scored.where("transaction_id is null").count() == 0
 
 
 @pytest.fixture
