@@ -85,3 +85,23 @@ WITH v AS (
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM pairs
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """
+
+NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS shingle
+  FROM words, unnest(range(1, greatest(len(ws) - 3, 2))) AS r(i) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * c.n >= 85 * (a.n + b.n - c.n)
+), reached AS (
+  SELECT doc_id, doc_id AS label FROM words UNION SELECT l.y, r.label FROM reached r JOIN links l ON l.x = r.doc_id
+)
+SELECT w.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.label) AS component_id, w.doc_id = min(r.label) AS kept
+FROM words w JOIN reached r ON r.doc_id = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+"""
