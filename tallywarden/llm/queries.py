@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle() -> dict[str, str]:
-    return {"op1_ann": sql.NEAREST, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}
+    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}

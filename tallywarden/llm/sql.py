@@ -105,3 +105,15 @@ WITH RECURSIVE words AS (
 SELECT w.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.label) AS component_id, w.doc_id = min(r.label) AS kept
 FROM words w JOIN reached r ON r.doc_id = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id GROUP BY w.doc_id
 """
+
+#: The given pages mark the article and use paragraphs, headings and few character references.
+PAGES = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's'), '</?(?:p|h1|li|ul|div)(?: [^>]*)?>') AS parts FROM pages
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda x:
+    trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br ?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+  ), lambda x: x <> '') AS blocks FROM article
+)
+SELECT page_id, url, array_to_string(blocks, chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10))) AS BIGINT) AS n_chars FROM blocks
+"""
