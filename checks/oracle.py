@@ -131,6 +131,8 @@ TOP50 = "SELECT *, row_number() OVER (ORDER BY us, seq) - 1 AS position FROM (SE
 HISTORY = "seq AS anomaly_row_id, anomaly_score, is_anomaly, processed_timestamp, user_id, k, secs_since_last"
 SCORE_ROWS = "SELECT seq, anomaly_score FROM x"
 FLAG_ROWS = "SELECT seq, user_id, anomaly_score, is_anomaly FROM x"
+UNION_LIVE = """SELECT CAST(event_type = 'purchase' AS INTEGER) AS origin, seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount,
+            ts, processed_timestamp AS processed_ts, anomaly_score, is_anomaly, CASE WHEN event_type = 'purchase' THEN reasons ELSE '' END AS reasons FROM x"""
 SEVERITY = "CASE WHEN anomaly_score > 0.9 THEN 'CRITICAL' WHEN anomaly_score > 0.7 THEN 'HIGH' ELSE 'MEDIUM' END"
 FEED = (
     f"SELECT seq, user_id, {SEVERITY} AS severity, {_fixed('anomaly_score', 4)} AS score_text, {_rupees('amount')} AS amount_text, "
@@ -259,11 +261,8 @@ def oracle() -> dict[str, str]:
         "init_tables": "SELECT table_name, n AS rows FROM (VALUES ('raw_events'), ('features'), ('anomalies')) t(table_name), (SELECT count(*) AS n FROM events)",
         "history_recent": _scored(f"SELECT {HISTORY} FROM x ORDER BY processed_timestamp DESC, seq DESC LIMIT 100"),
         "history_since": _scored(f"SELECT {HISTORY} FROM x WHERE processed_timestamp >= TIMESTAMP '2024-01-30T00:00:00' ORDER BY processed_timestamp DESC, seq DESC LIMIT 1000"),
-        "history_union_live": _scored(
-            """SELECT CAST(event_type = 'purchase' AS INTEGER) AS origin, seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount,
-            CASE WHEN event_type = 'purchase' THEN ts ELSE processed_timestamp END AS ts, anomaly_score, is_anomaly,
-            CASE WHEN event_type = 'purchase' THEN reasons ELSE '' END AS reasons FROM x"""
-        ),
+        "history_union_live": _scored(UNION_LIVE),
+        "history_union_live_newest": _scored(f"{UNION_LIVE} ORDER BY origin DESC, ts DESC, seq DESC LIMIT 50 + (SELECT count(*) FROM events WHERE event_type = 'purchase')"),
         "fk_orphans": "SELECT table_name, event_id AS id, event_id AS raw_event_id FROM events, (VALUES ('features'), ('anomalies')) t(table_name) WHERE event_type = 'error'",
         "stream_features": features,
         "stream_score": _scored("SELECT seq, user_id, anomaly_score, is_anomaly, reasons, true AS stored FROM x"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywarden.functions.parse import json_or_raw
+from tallywarden.functions.parse import iso_or, json_or_raw
 from tallywarden.schemas import ANOMALIES, FEATURE_ROWS, FEATURES, RAW_EVENTS
 
 TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMALIES}
@@ -174,7 +174,10 @@ def _shaped(df: DataFrame) -> DataFrame:
 
 
 def live_rows(history: DataFrame) -> DataFrame:
-    """History records in the shape of live rows, with defaults for what is missing."""
+    """History records in the shape of live rows, with defaults for what is missing.
+
+    ``ts`` is the event's own time, as it is for live rows (the processing time where the event has none).
+    """
     event = F.col("event")
     return history.select(
         F.col("anomaly_row_id").alias("seq"),
@@ -183,7 +186,8 @@ def live_rows(history: DataFrame) -> DataFrame:
         ),
         F.coalesce(F.try_variant_get(event, "$.user_id", "string"), F.lit("unknown")).alias("user_id"),
         F.coalesce(F.try_variant_get(event, "$.amount", "double"), F.lit(0e0)).alias("amount"),
-        F.col("processed_timestamp").alias("ts"),
+        iso_or(F.try_variant_get(event, "$.timestamp", "string"), F.col("processed_timestamp")).alias("ts"),
+        F.col("processed_timestamp").alias("processed_ts"),
         "anomaly_score",
         "is_anomaly",
         F.array().cast("array<string>").alias("explanation"),
@@ -192,7 +196,7 @@ def live_rows(history: DataFrame) -> DataFrame:
 
 def union_live(history: DataFrame, live: DataFrame, rows: int | None = 50) -> DataFrame:
     """History rows, then live rows, nothing removed; the newest ``rows`` (None keeps all)."""
-    columns = ["seq", "transaction_id", "user_id", "amount", "ts", "anomaly_score", "is_anomaly", "explanation"]
+    columns = ["seq", "transaction_id", "user_id", "amount", "ts", "processed_ts", "anomaly_score", "is_anomaly", "explanation"]
     past = live_rows(history).withColumn("origin", F.lit(0))
     both = past.unionByName(live.select(*columns).withColumn("origin", F.lit(1)))
     if rows is None:

@@ -709,8 +709,7 @@ def history_since(spark: SparkSession, folder: str) -> DataFrame:
     return _history_columns(_stored(spark, folder)[0].recent(1000, SINCE_TEXT))
 
 
-def history_union_live(spark: SparkSession, folder: str) -> DataFrame:
-    """All but purchases come from stored history, purchases are live; nothing is cut."""
+def _union_live(spark: SparkSession, folder: str, rows: int | None) -> DataFrame:
     store = Store(spark, new_folder(spark, "store"))
     scored = cut_lineage(spark, _scored(spark, folder))
     purchase = F.col("event_type") == "purchase"
@@ -719,13 +718,24 @@ def history_union_live(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("anomaly_row_id"), "raw_event_id", "anomaly_score", "is_anomaly", "processed_timestamp"
     )
     events = store.table("raw_events").select(F.col("id").alias("raw_event_id"), json_or_raw(F.col("event_json")).alias("event"))
-    both = union_live(history.join(events, "raw_event_id"), scored.where(purchase), rows=None)
+    both = union_live(history.join(events, "raw_event_id"), scored.where(purchase), rows=rows)
     return both.select(
-        "origin", "seq", "transaction_id", "user_id", "amount", _ntz("ts"), _score(), "is_anomaly",
+        "origin", "seq", "transaction_id", "user_id", "amount", _ntz("ts"), _ntz("processed_ts"), _score(), "is_anomaly",
         F.array_join("explanation", "; ").alias("reasons"),
     )
 
 
+def history_union_live(spark: SparkSession, folder: str) -> DataFrame:
+    """All but purchases come from stored history, purchases are live; nothing is cut."""
+    return _union_live(spark, folder, None)
+
+
+def history_union_live_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, held to the size of the live buffer and beyond the live rows."""
+    live = tables.table(spark, folder, "events").where("event_type = 'purchase'").count()
+    return _union_live(spark, folder, live + 50)
+
+
 def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
     """Feature and anomaly rows whose raw event (here: of type error) is not stored."""
     store, scored = _stored(spark, folder)
@@ -843,7 +853,7 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     alert_score_above, alert_score_below, alert_rate_global, alert_rate_user, alert_rate_global_ties, alert_rate_user_hot,
     kpi_totals, anomalies_per_minute, anomalies_all_minutes, latest_score, anomaly_fraction, anomaly_samples, first_rows,
     live_buffer_50, sparkline_20, score_trend, rolling_rate_10, anomaly_feed, anomaly_feed_all, txn_table, display_orders,
-    persist_tables, init_tables, history_recent, history_since, history_union_live, fk_orphans,
+    persist_tables, init_tables, history_recent, history_since, history_union_live, history_union_live_newest, fk_orphans,
     stream_features, stream_score, stream_publish, stream_alerts, stream_kpis, stream_totals, stream_score_alerts, live_view,
 ]
 
