@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywarden.llm.encode import encoded, encoder
-from tallywarden.llm.shared import parts
+from tallywarden.llm.shared import parts, stored
 
 MAGIC = b"TWEFv001"
 HEAD = "<8sIIQQQQQ"
@@ -41,6 +41,8 @@ HEAD_BYTES = struct.calcsize(HEAD)
 STRIDE = 128
 #: A shard ends at the document with which it reaches so many ids.
 SHARD_IDS = 2_000_000
+#: Up to so many shards (a few MB) their places are sent to the readers, beyond that they are joined by a shuffle.
+FEW_SHARDS = 100_000
 
 
 class EliasFano:
@@ -194,10 +196,12 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                     ["part", "shard", "doc_id", "at", "n_tokens", "ids"],
                 )
 
-    heads_df = files.select(F.substring("content", 1, HEAD_BYTES).alias("head")).mapInArrow(heads, "part long, shard long, n long")
+    heads_df = stored(files.select(F.substring("content", 1, HEAD_BYTES).alias("head")).mapInArrow(heads, "part long, shard long, n long"), "shards")
     by_part = heads_df.groupBy("part").agg(F.sum("n").alias("n"))
     before = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     within = F.sum("n").over(Window.partitionBy("part").orderBy("shard")) - F.col("n")
     base = heads_df.withColumn("within", within).join(before, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("base"))
     rows = files.mapInArrow(documents, "part long, shard long, doc_id long, at long, n_tokens long, ids binary")
+    if heads_df.count() <= FEW_SHARDS:
+        base = F.broadcast(base)
     return rows.join(base, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
