@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -16,13 +17,17 @@ TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMA
 #: Requests up to this many rows pick their ids first; larger ones join first.
 PICKED = 1000
 DEFAULT_LIMIT = 100
+COMMITS = "batch_id bigint, attempt string, committed timestamp"
 
 
 class Store:
-    """Parquet tables below one folder, laid out as batch_id=.../processed_date=....
+    """Parquet tables below one folder, laid out as batch_id=.../attempt=.../processed_date=....
 
-    Writing a batch again replaces it, so a retried batch leaves no doubles. ``seq`` is the
-    id of the event in all three tables.
+    Every attempt at a batch writes folders of its own, and one small row in ``commits`` when all three
+    tables are written. Readers see the last committed attempt of each batch: a batch appears in all
+    tables at once or not at all, and a repeated one replaces the former without a gap. Folders of
+    other attempts can be deleted when no reader is left that began before. ``seq`` is the id
+    of the event in all three tables.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -34,10 +39,13 @@ class Store:
             self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
-        """A table, empty when nothing has been stored yet."""
-        schema = T.StructType(
-            [*TABLES[name].fields, T.StructField("batch_id", T.LongType()), T.StructField("processed_date", T.DateType())]
-        )
+        """The committed rows of a table, empty when nothing has been stored yet."""
+        parts = [T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("processed_date", T.DateType())]
+        rows = self._read(name, T.StructType([*TABLES[name].fields, *parts]))
+        last = self._read("commits", COMMITS).groupBy("batch_id").agg(F.max_by("attempt", "committed").alias("attempt"))
+        return rows.join(last, ["batch_id", "attempt"]).select(*[f.name for f in TABLES[name].fields], "batch_id", "processed_date")
+
+    def _read(self, name: str, schema: T.StructType | str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
         except AnalysisException as error:
@@ -49,10 +57,13 @@ class Store:
         """Store scored events (needs seq, event, ts, features, score, flag, processed_ts).
 
         The input is read once per table: give a stored frame rather than a long plan.
-        Anomalies come last: a reader joins all tables, so an event shows up complete or not.
         """
+        self.write(self.frames(scored), batch_id)
+
+    def frames(self, scored: DataFrame) -> dict[str, DataFrame]:
+        """The rows of the three tables."""
         day = F.to_date("processed_ts").alias("processed_date")
-        frames = {
+        return {
             "raw_events": scored.select(
                 F.col("seq").alias("id"),
                 F.coalesce(F.col("transaction_id"), F.lit("None")).alias("transaction_id"),
@@ -76,11 +87,16 @@ class Store:
                 day,
             ),
         }
+
+    def write(self, frames: dict[str, DataFrame], batch_id: int = 0) -> None:
+        """Write a batch's rows of the three tables, then commit them together."""
+        attempt = uuid.uuid4().hex
         for name, frame in frames.items():
-            target = f"{self.path}/{name}/batch_id={batch_id}"
+            target = f"{self.path}/{name}/batch_id={batch_id}/attempt={attempt}"
             # Rebalancing gathers a day's rows and splits large days: few files of even size.
-            even = frame.hint("rebalance", "processed_date")
-            even.write.mode("overwrite").partitionBy("processed_date").parquet(target)
+            frame.hint("rebalance", "processed_date").write.partitionBy("processed_date").parquet(target)
+        done = self.spark.createDataFrame([(int(batch_id), attempt)], "batch_id bigint, attempt string")
+        done.coalesce(1).withColumn("committed", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/commits")
 
     def recent(self, limit: int = DEFAULT_LIMIT, since: datetime | str | None = None) -> DataFrame:
         """The newest records by processing time, optionally only from ``since`` on.

@@ -738,12 +738,10 @@ def history_union_live_newest(spark: SparkSession, folder: str) -> DataFrame:
 
 def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
     """Feature and anomaly rows whose raw event (here: of type error) is not stored."""
-    store, scored = _stored(spark, folder)
-    kept = scored.where(F.col("event_type") != "error").select(
-        F.col("seq").alias("id"), "transaction_id", F.col("event").alias("event_json"), F.col("ts").alias("timestamp"),
-        F.to_date("processed_ts").alias("processed_date"),
-    )
-    kept.write.mode("overwrite").partitionBy("processed_date").parquet(f"{store.path}/raw_events/batch_id=0")
+    store = Store(spark, new_folder(spark, "store"))
+    scored = cut_lineage(spark, _scored(spark, folder))
+    frames = store.frames(scored)
+    store.write(frames | {"raw_events": store.frames(scored.where("event_type <> 'error'"))["raw_events"]})
     return store.orphans()
 
 

@@ -79,9 +79,7 @@ def test_retried_batch_leaves_no_doubles(spark, work, scored):
 def test_orphans_are_found_and_recent_stays_whole(spark, work, scored):
     store = Store(spark, work)
     rows = scored([(i, "{}", 0.5, False, NOW + timedelta(seconds=i)) for i in range(6)])
-    store.append(rows)
-    kept = rows.where("seq < 4").selectExpr("seq as id", "transaction_id", "event as event_json", "ts as timestamp", "to_date(ts) as processed_date")
-    kept.write.mode("overwrite").partitionBy("processed_date").parquet(f"{work}/raw_events/batch_id=0")
+    store.write(store.frames(rows) | {"raw_events": store.frames(rows.where("seq < 4"))["raw_events"]})
     assert {(r.table_name, r.id) for r in store.orphans().collect()} == {(t, i) for t in ("features", "anomalies") for i in (4, 5)}
     # The two newest have no event: the next two must be found instead.
     assert [r.anomaly_row_id for r in store.recent(2).collect()] == [3, 2]
@@ -113,3 +111,15 @@ def test_recent_reads_the_newest_days_only(spark, work, scored):
 
     assert _newest_days(store.table("anomalies"), 15).count() == 20
     assert _newest_days(store.table("anomalies"), 1000).count() == 100
+
+
+def test_a_batch_without_commit_is_not_seen(spark, work, scored):
+    store = Store(spark, work)
+    store.append(scored([(1, "{}", 0.5, False, NOW)]), 0)
+    frames = store.frames(scored([(1, "{}", 0.9, True, NOW), (2, "{}", 0.9, True, NOW)]))
+    with pytest.raises(Exception):
+        store.write(frames | {"anomalies": frames["anomalies"].select(F.raise_error(F.lit("lost")).alias("id"), "processed_date")}, 0)
+    assert [store.table(t).count() for t in ("raw_events", "features", "anomalies")] == [1, 1, 1]
+    assert store.recent(5).first().anomaly_score == 0.5
+    store.write(frames, 0)
+    assert [store.table(t).count() for t in ("raw_events", "features", "anomalies")] == [2, 2, 2]
