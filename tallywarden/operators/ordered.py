@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallywarden.session import cut_lineage
 
 HOT_ROWS = 4_000_000
+FEW_CHUNKS = 50_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
@@ -56,7 +57,7 @@ def running(
     if hot is None:
         return _windowed(df, key, us, seq, amount, window_us)
     hot_total = hot.agg(F.sum("rows")).first()[0]
-    names = F.broadcast(hot.select(key))  # fewer than rows/hot_rows keys, see hot_keys
+    names = hot.select(key)  # a local table: Spark sends it whole only while it is small
     cold_rows = df.join(names, key, "left_anti").select(df.columns)
     hot_only = df.join(names, key, "left_semi").select(df.columns)
     chunks = max(2, -(-2 * hot_total // hot_rows))
@@ -115,7 +116,8 @@ def _chunked(
         F.sum(F.col("arrives") * 2 - 1).alias("d"),
         F.max(F.when(arrived, F.col("t"))).alias("last"),
     )
-    # One row per chunk and key in it: at most (chunks + hot keys) rows, small enough to send everywhere.
+    # One row per chunk and key in it: fewer than chunks + hot keys, and there are half as many hot
+    # keys as chunks at most. They are sent everywhere while they are few, else joined by a shuffle.
     before = W.partitionBy("k").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
         "k",
@@ -125,6 +127,7 @@ def _chunked(
         F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"),
         F.max("last").over(before).alias("last0"),
     )
+    few = (chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) <= FEW_CHUNKS
     in_chunk = W.partitionBy("k", "chunk").orderBy("t", "arrives", "q")
     so_far = in_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = in_chunk.rowsBetween(W.unboundedPreceding, -1)
@@ -136,5 +139,5 @@ def _chunked(
         columns["run_sum"] = F.col("s0") + F.coalesce(F.sum(value).over(so_far), F.lit(0e0))
     if window_us is not None:
         columns["window_count"] = F.col("d0") + F.sum(F.col("arrives") * 2 - 1).over(so_far)
-    scanned = rows.join(F.broadcast(carry), ["k", "chunk"]).withColumns(columns).where(arrived)
+    scanned = rows.join(F.broadcast(carry) if few else carry, ["k", "chunk"]).withColumns(columns).where(arrived)
     return scanned.select("row.*", *columns)

@@ -106,3 +106,12 @@ def test_training_columns(tx):
     assert feats.training_features(tx([("u", 1, 0)])).columns == ["seq", *FEATURES]
     assert isinstance(feats.training_features(tx([("u", 1, 0)])).toPandas(), pd.DataFrame)
     assert AMOUNT in FEATURES
+
+
+def test_many_chunks_are_joined_by_a_shuffle(tx, monkeypatch):
+    from tallywarden.operators import ordered
+
+    rows = tx([("a", i % 5, i) for i in range(300)] + [("b", 1, i) for i in range(3)])
+    want = collect(running(rows, "user_id", amount="amount", window_us=10_000_000, hot_rows=50), "run_count", "run_sum", "window_count")
+    monkeypatch.setattr(ordered, "FEW_CHUNKS", 1)
+    assert collect(running(rows, "user_id", amount="amount", window_us=10_000_000, hot_rows=50), "run_count", "run_sum", "window_count") == want
