@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,17 @@ class WordEncoder:
     that changes time, not ids.
     """
 
-    def __init__(self, path: str, memory: int = 300_000) -> None:
+    def __init__(self, path: str, memory: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         for probe in ("ab  cd\n\tef", " x y "):
-            whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-            if whole != [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
+            if self._whole(probe) != [i for w in probe.split() for i in self._whole(w)]:
                 raise ValueError("this tokenizer's tokens depend on white space")
+        parts = [("Ab", ("ab",)), ("aB1.", ("ab1", ".")), ("ÉÑ,", ("éñ", ",")), ("x" + BEHIND, ("x", BEHIND))]
+        self.plain = all(self._whole(w) == [i for p in ps for i in self._whole(p)] for w, ps in parts)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.memory = memory
 
@@ -39,6 +41,9 @@ class WordEncoder:
         self.starts, self.lengths, self.seen = np.zeros((3, 0), np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
         kept = np.flatnonzero(self.seen > 1)
         if len(kept) > self.memory // 2:
@@ -49,15 +54,44 @@ class WordEncoder:
         self.lengths = self.lengths[kept]
         self.starts, self.seen = np.cumsum(self.lengths) - self.lengths, np.ones(len(kept), np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))])
+    def _add(self, words: list[str], starts: np.ndarray, lengths: np.ndarray) -> None:
         self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
         self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
         self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words; a capital or punctuation behind a word needs no encoding of its own."""
+        by_mark: dict[str, list[tuple[str, str]]] = {}
+        bases = dict.fromkeys(words)
+        if self.plain:
+            bases = {}
+            for word in words:
+                base, mark = _plain(word)
+                bases[base] = None
+                if mark or base is not word:
+                    by_mark.setdefault(mark, []).append((word, base))
+            bases.update(dict.fromkeys(filter(None, by_mark)))
+        new = [b for b in bases if b not in self.place]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        self._add(new, starts, lengths)
+        for mark, pairs in by_mark.items():
+            pairs = [(w, b) for w, b in pairs if w not in self.place]
+            if not pairs:
+                continue
+            at = np.fromiter((self.place[b] for _, b in pairs), np.int64, len(pairs))
+            starts, lengths = self.starts[at], self.lengths[at]
+            if mark:
+                k = self.place[mark]
+                tail = self.ids[self.starts[k] : self.starts[k] + self.lengths[k]]
+                ids = np.insert(self.ids[ragged(starts, lengths)], np.repeat(np.cumsum(lengths), len(tail)), np.tile(tail, len(at)))
+                lengths = lengths + len(tail)
+                starts = len(self.ids) + np.cumsum(lengths) - lengths
+                self.ids = np.concatenate([self.ids, ids])
+            self._add([w for w, _ in pairs], starts, lengths)
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), ``end`` after each text, and the offsets at which the texts begin."""
         if len(self.place) > self.memory:
@@ -65,10 +99,13 @@ class WordEncoder:
         words, offsets = split_words(strings(texts))
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [w for w in distinct if w not in self.place]
+        found = list(map(self.place.get, distinct))
+        new = [i for i, place in enumerate(found) if place is None]
         if new:
-            self._learn(new)
-        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                found[i] = self.place[distinct[i]]
+        places = np.array(found, np.int64)
         self.seen[places] += 1
         at = places[coded.indices.to_numpy()]
         lengths = self.lengths[at]
@@ -78,6 +115,25 @@ class WordEncoder:
         return ids, ends + np.arange(len(ends))
 
 
+#: What may stand behind a word without touching its tokens: no apostrophe, which could begin a contraction.
+BEHIND = ".,;:!?$%&*#@+=~^/()[]{}"
+
+
+def _plain(word: str) -> tuple[str, str]:
+    """A word without capitals and without the punctuation behind it, and that punctuation.
+
+    Only below U+0130, where lower-casing goes character by character and no marks combine, and
+    without the sign that could begin the name of a special token.
+    """
+    if "<" in word or not word.isascii() and max(word) >= "\u0130":
+        return word, ""
+    lower = word.lower()
+    base = lower.rstrip(BEHIND)
+    if base and base[-1].isalnum():
+        return base, lower[len(base) :]
+    return lower, ""
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
