@@ -60,31 +60,57 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     the order, a null source is a source. Nothing to take (no words, no rows): copies 0. Other
     columns are not read.
     """
-    spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = stored(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), key.alias("key")), "mix-sizes")
-    count = rows.count()
-    chunks, slices = max(1, count // CHUNK_ROWS), min(SLICES, max(64, count // SLICE_ROWS))
+    rows = stored(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed).alias("key")), "mix-sizes")
+    chunks, about, slices, cut, last, at = _plan(rows, weights, share, limit)
+    out = at.withColumn("copies", _copies(slices, cut, last, limit)).withColumn("virtual", F.col("finish")[0])
+    return out.select("doc_id", "source", "size", "source_size", "target", "virtual", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _key(seed: str) -> Column:
+    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """Add the place of a row: its source without nulls (s0, s1) and its chunk of the source's order."""
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("chunk", F.floor(place * chunks / F.lit(1 << 32)))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
-    base = F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")
-    about = sums.withColumn("base", base).drop("n").join(_renamed(targets(rows, weights, share, limit)), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    about = about.select(F.col("source").alias("s_source"), F.col("chunk").alias("s_chunk"), "base", "source_size", "target")
-    running = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    at = rows.withColumn("within", running).join(about, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("chunk") == F.col("s_chunk")))
+    return rows.withColumns({"s0": F.coalesce("source", F.lit("")), "s1": F.col("source").isNull(), "chunk": F.floor(place * chunks / F.lit(1 << 32))})
+
+
+def _finished(rows: DataFrame, about: DataFrame, limit: int) -> DataFrame:
+    """Add source_size, target and the finish times of a row's copies: one exchange by source and chunk."""
+    place = ["s0", "s1", "chunk"]
+    running = F.sum("size").over(Window.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    at = rows.withColumn("within", running).join(about, place)
     finish = [F.try_divide((F.col("source_size") * r + F.col("base") + F.col("within")).cast("double"), F.col("target")) for r in range(limit)]
-    at = stored(at.select("doc_id", "source", "size", "key", "source_size", "target", F.array(*finish).alias("finish")), "mix-finish")
+    return at.withColumn("finish", F.array(*finish)).drop(*place, "within", "base")
+
+
+def _plan(rows: DataFrame, weights: Sequence[int], share: float, limit: int):
+    """From stored (doc_id, source, size, key): what is needed to place any row, and where the budget ends."""
+    count = rows.count()
+    chunks, slices = max(1, count // CHUNK_ROWS), min(SLICES, max(64, count // SLICE_ROWS))
+    chunked = _chunked(rows, chunks)
+    sums = chunked.groupBy("s0", "s1", "chunk").agg(F.sum("size").alias("n"))
+    base = F.sum("n").over(Window.partitionBy("s0", "s1").orderBy("chunk")) - F.col("n")
+    goals = targets(rows, weights, share, limit)
+    goals = goals.select(F.coalesce("source", F.lit("")).alias("s0"), F.col("source").isNull().alias("s1"), "source_size", "target")
+    about = stored(sums.withColumn("base", base).drop("n").join(goals, ["s0", "s1"]), "mix-chunks")
+    at = stored(_finished(chunked, about, limit), "mix-finish")
 
     copies = at.select("size", "key", "doc_id", F.posexplode("finish").alias("round", "v")).where("size > 0 AND v IS NOT NULL")
     copies = copies.withColumn("slice", _slice(F.col("v"), slices))
     per_slice = copies.groupBy("slice").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("slice")))
     budget = (rows.agg(F.sum("size")).first()[0] or 0) * share
-    cut = per_slice.where(F.col("upto") > budget).orderBy("slice").first()
+    cut, last = per_slice.where(F.col("upto") > budget).orderBy("slice").first(), None
     order = [F.col("v"), F.col("key"), F.col("doc_id"), F.col("round")]
     if cut:  # one slice holds the copy at which the budget ends
         upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + (cut.upto - cut.n)
         last = copies.where(F.col("slice") == cut.slice).withColumn("upto", upto).where(F.col("upto") <= budget).orderBy(F.desc("upto"), *[c.desc() for c in order]).first()
+    return chunks, about, slices, cut, last, at
+
+
+def _copies(slices: int, cut, last, limit: int) -> Column:
+    """Copies of a row (size, key, doc_id, finish) that come before the end of the budget."""
 
     def taken(v: Column, r: int) -> Column:
         if not cut:
@@ -97,32 +123,22 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
         tie = (v == last.v) & ((F.col("key") < last.key) | (F.col("key") == last.key) & (earlier | same & F.lit(r <= last["round"])))
         return before | (_slice(v, slices) == cut.slice) & ((v < last.v) | tie)
 
-    n = sum(F.when(F.col("size") > 0, F.coalesce(taken(F.col("finish")[r], r), F.lit(False)).cast("int")).otherwise(0) for r in range(limit))
-    out = at.withColumn("copies", n).withColumn("virtual", F.col("finish")[0])
-    return out.select("doc_id", "source", "size", "source_size", "target", "virtual", "copies", (F.col("size") * F.col("copies")).alias("taken"), "finish")
-
-
-def _renamed(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("source", "t_source")
+    return sum(F.when(F.col("size") > 0, F.coalesce(taken(F.col("finish")[r], r), F.lit(False)).cast("int")).otherwise(0) for r in range(limit))
 
 
 def _slice(v: Column, slices: int) -> Column:
     return F.floor(F.least(v, F.lit(4.0)) * slices)
 
 
-def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, limit: int = 2, text: str = "text", seed: str = "mix") -> DataFrame:
     """The mix itself: every column of ``docs``, a row per copy taken, range-sorted by finish time.
 
-    See ``schedule`` for what is taken. Documents without words are not in the mix.
+    See ``schedule`` for what is taken. Documents without words are not in the mix. Texts move twice:
+    to the chunks of their sources' orders, and to their places in the mix.
     """
-    match = ["m_id", "m_source", "m_size", "m_nth"]
-    same = Window.partitionBy("m_id", "m_source", "m_size")
-    plan = schedule(docs, text=text, **options).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "finish", "copies")
-    plan = plan.withColumn("m_nth", F.row_number().over(same.orderBy("finish")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), word_count(F.col(text)).alias("m_size"))
-    rows = rows.withColumn("m_nth", F.row_number().over(same.orderBy(F.xxhash64(f"row.{text}"))))
-    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in match], F.slice("finish", F.lit(1), F.col("copies")).alias("times"))
-    on = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in match]
-    taken = rows.join(plan, on).select("row", F.explode("times").alias("virtual"))
+    parts = ["doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed).alias("key")]
+    chunks, about, slices, cut, last, _ = _plan(stored(docs.select(*parts), "mix-sizes"), weights, share, limit)
+    rows = _finished(_chunked(docs.select(F.struct("*").alias("row"), *parts), chunks), about, limit)
+    times = F.slice("finish", F.lit(1), F.col("copies"))
+    taken = rows.withColumn("copies", _copies(slices, cut, last, limit)).where("copies > 0").select("row", F.explode(times).alias("virtual"))
     return taken.orderBy("virtual").select("row.*")
