@@ -22,6 +22,8 @@ SMOOTH = 0.5
 STEPS, MORE_STEPS = 12, 4
 #: Languages that a model may hold: with them it takes 64 MB.
 MOST_LANGUAGES = 1000
+#: Bytes of text whose n-grams are held at once: an n-gram takes some 30 bytes of arrays.
+STEP = 1_000_000
 #: What a text without any letter is.
 NONE = "und"
 
@@ -63,7 +65,7 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for step in text_steps(batch, "text"):
+            for step in text_steps(batch, "text", STEP):
                 labels = step.column("label").dictionary_encode()
                 names, codes = labels.dictionary.to_pylist(), labels.indices.to_numpy()
                 found, owner = grams(step.column("text"), buckets)
@@ -155,7 +157,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in text_steps(batch, text, 1_000_000):
+            for step in text_steps(batch, text, STEP):
                 yield pa.RecordBatch.from_arrays([*step.columns, *guess(step.column(text))], [*step.schema.names, *added.names])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
