@@ -27,11 +27,11 @@ def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Repeated runs of lines go; so do documents that consisted of nothing else.
+    """Repeated runs of lines go, every one of 50 words or more; so do documents that consisted of nothing else.
 
     n_chars, where it is a column, is the length of what is left.
     """
-    left = linededup.dedupe(_apart(docs)).where("lines_removed = 0 OR length(trim(text)) > 0")
+    left = linededup.dedupe(_apart(docs), passage=linededup.LONG_WORDS).where("lines_removed = 0 OR length(trim(text)) > 0")
     changed = {}
     if "n_chars" in docs.columns:
         length = F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywarden.llm.shared import WORD, stored
@@ -58,7 +58,36 @@ def _same_row(a: str, b: str) -> list[Column]:
     return [F.col(f"{a}id").eqNullSafe(F.col(f"{b}id")), F.col(f"{a}th") == F.col(f"{b}th")]
 
 
-def removals(docs: DataFrame, text: str = "text") -> DataFrame:
+def _passages(docs: DataFrame, words: int) -> DataFrame:
+    """Runs (id, th, first, n, h) of (id, th, text): from every line with words the shortest with so many words, and up to it.
+
+    Together they cover any run of lines with at least so many words, whatever stands around it.
+    Lines without words count for nothing. Where both are one run, it is made once.
+    """
+
+    def line(x: Column) -> Column:
+        return F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words"))
+
+    rows = docs.where("text IS NOT NULL").select("id", "th", F.transform(F.split("text", "\n", -1), line).alias("info"))
+    rows = rows.groupBy("id", "th").agg(F.first("info").alias("info")).select("id", "th", F.posexplode("info").alias("i", "line"))
+    rows = rows.select("id", "th", (F.col("i") + 1).alias("i"), "line.h", F.col("line.words").cast("long").alias("words")).where("words > 0")
+    own = Window.partitionBy("id", "th")
+    rows = rows.withColumn("end", F.sum("words").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("start", F.col("end") - F.col("words"))
+    ahead, back = own.orderBy("start").rangeBetween(0, words - 1), own.orderBy("end").rangeBetween(1 - words, 0)
+    rows = rows.withColumns({"to": F.max("i").over(ahead), "upto": F.max("end").over(ahead), "ahead": F.collect_list("h").over(ahead)})
+    rows = rows.withColumns({"from": F.min("i").over(back), "since": F.min("start").over(back), "back": F.collect_list("h").over(back)})
+
+    def run(first: Column, end: Column, hashes: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), (end - first + 1).cast("int").alias("n"), F.xxhash64(hashes).alias("h"))
+
+    forth = F.when(F.col("upto") - F.col("start") >= words, run(F.col("i"), F.col("to"), F.col("ahead")))
+    # With fewer words before this line it is also the run forth from its first line.
+    up = F.when(F.col("start") - F.col("since") >= words, run(F.col("from"), F.col("i"), F.col("back")))
+    return rows.select("id", "th", F.explode(F.array(forth, up)).alias("c")).where("c IS NOT NULL").select("id", "th", "c.*")
+
+
+def removals(docs: DataFrame, text: str = "text", passage: int | None = None) -> DataFrame:
     """Which lines go: rows (r_id, r_th, gone), gone the line numbers (from 1) of a document.
 
     Lines are joined to chunks whose ends depend on two neighbouring lines only (a line of 50 words
@@ -66,34 +95,55 @@ def removals(docs: DataFrame, text: str = "text") -> DataFrame:
     holds two lines with words, or such a long line. Of the chunks with equal bytes the first stays,
     by doc_id (null last), then text hash, then place. Hashes only find candidates: their texts are
     then grouped by their bytes.
+
+    With ``passage`` those lines go too that stand in any run of so many words or more whose lines
+    with words stood before, in the same order and with equal bytes: such a run needs no chunk
+    ends within it. A run that overlaps the one that stays is not a second one.
     """
     chunks = _chunks(_keyed(docs, text))
     found = chunks.select("id", "th", F.explode("chunks").alias("c")).where("c.counts").select("id", "th", "c.first", "c.n", "c.h")
+    kind = ["passage"] if passage else []
+    if passage:
+        runs = _passages(_keyed(docs, text), passage).withColumn("passage", F.lit(True))
+        found = found.withColumn("passage", F.lit(False)).unionByName(runs)
     found = stored(found, "line-chunks")
     again = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    wanted = found.join(again, "h").groupBy("id", "th").agg(F.collect_set(F.struct("first", "n", "h")).alias("wanted"))
+    wanted = found.join(again, "h").groupBy("id", "th").agg(F.collect_set(F.struct("first", "n", "h", *kind)).alias("wanted"))
     wanted = wanted.select(F.col("id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
     texts = _keyed(docs, text).join(wanted, [*_same_row("", "w_")])
     texts = _once(texts.select("id", "th", "text", "wanted"), F.split("text", "\n", -1).alias("lines"))
     pieces = texts.select("id", "th", "lines", F.explode("wanted").alias("c"))
-    pieces = pieces.select("id", "th", "c.first", "c.n", "c.h", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("bytes")).distinct()
+    part = F.slice("lines", F.col("c.first"), F.col("c.n"))
+    same = F.array_join(part, "\n")
+    if passage:  # runs overlap: their digests are compared, or every text would be stored many times
+        same = F.when(F.col("c.passage"), F.sha2(F.array_join(F.filter(part, lambda x: x.rlike(WORD)), "\n"), 256)).otherwise(same)
+    pieces = pieces.select("id", "th", "c.first", "c.n", "c.h", *[f"c.{k}" for k in kind], same.alias("bytes")).distinct()
     pieces = stored(pieces, "line-repeats")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("th"), F.col("first"))
-    kept = pieces.groupBy("h", "bytes").agg(F.min(place).alias("kept"))
-    gone = pieces.join(kept, ["h", "bytes"]).where(~place.eqNullSafe(F.col("kept")))
-    lines = F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    if not passage:
+        kept = pieces.groupBy("h", "bytes").agg(F.min(place).alias("kept"))
+        gone = pieces.join(kept, ["h", "bytes"]).where(~place.eqNullSafe(F.col("kept")))
+        lines = F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    else:
+        kept = pieces.groupBy("h", *kind, "bytes").agg(F.min(F.struct(place.alias("at"), "n")).alias("kept"))
+        gone = pieces.join(kept, ["h", *kind, "bytes"]).where(~place.eqNullSafe(F.col("kept.at")))
+        here = F.col("id").eqNullSafe(F.col("kept.at.id")) & (F.col("th") == F.col("kept.at.th"))
+        gone = gone.where(~(F.col("passage") & here & (F.col("first") < F.col("kept.at.first") + F.col("kept.n"))))
+        lines = F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("first") + F.col("n") - 1))))
     return gone.groupBy("id", "th").agg(lines.alias("gone")).select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "gone")
 
 
-def dedupe(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, text: str = "text", passage: int | None = None) -> DataFrame:
     """Every row and column of ``docs``, its text without repeated chunks, and ``lines_removed``.
 
+    With ``passage`` also without any repeated run of lines of so many words or more (``removals``).
+
     Rows with equal doc_id and text are one document and keep the same lines. A null text stays
     null, an empty one empty; a document whose lines all stand elsewhere first becomes empty. A
     column that is called lines_removed already is replaced.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"))
-    rows = rows.join(removals(docs, text), _same_row("", "r_"), "left").select("row", "gone")
+    rows = rows.join(removals(docs, text, passage), _same_row("", "r_"), "left").select("row", "gone")
     lines = F.split(f"row.{text}", "\n", -1)
     left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda x: ~F.array_contains("gone", x.i))
     rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(left, lambda x: x.x), "\n")).otherwise(F.col(f"row.{text}")))

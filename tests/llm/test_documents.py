@@ -96,6 +96,54 @@ def test_lines_equal_sql(spark, odd, odd_rows, duck):
     assert sum("shared 5 line\nshared 6 line" in (t or "") for t in texts.values()) <= 8
 
 
+def stays(rows, least=50):
+    """Words in later runs of lines of ``least`` words or more whose worded lines stood before, by brute force."""
+    seen, count = set(), 0
+    for _, text in sorted(rows):
+        full = [(x, len(WORD.findall(x))) for x in (text or "").split("\n") if WORD.search(x)]
+        own, hit = set(), set()
+        for i in range(len(full)):
+            for j in range(i, len(full)):
+                if sum(n for _, n in full[i : j + 1]) >= least:
+                    run = tuple(x for x, _ in full[i : j + 1])
+                    if run in seen:
+                        hit.update(range(i, j + 1))
+                    own.add(run)
+        seen |= own
+        count += sum(full[k][1] for k in hit)
+    return count
+
+
+def test_repeated_passages_go_whole(spark):
+    """Runs of short lines of over 50 words go whole, whatever stands around them; shorter ones only by chunks."""
+    runs = [[prose(100 * k + i, n) for i, n in enumerate(sizes)] for k, sizes in enumerate([[9] * 7, [30, 30, 9], [3] * 20, [5, 44, 1, 1], [12] * 5])]
+    rows = []
+    for copy in range(6):
+        for k, run in enumerate(runs):
+            own = 5000 + 100 * copy + k
+            rows.append((len(rows), "\n".join([prose(own, 8), *[""] * (copy % 2), *run, prose(own + 50, 6)])))
+    rows.append((900, "\n".join(["again"] * 130)))
+    rows.append((901, rows[0][1].replace("\n", "\n\n")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.dedupe(docs, passage=50).collect()}
+    assert stays(rows) > 1000 and stays((k, r.text) for k, r in got.items()) == 0
+    assert stays((r.doc_id, r.text) for r in linededup.dedupe(docs).collect()) > 0  # chunks alone
+    for k, text in rows[:5]:
+        assert got[k].text == text and got[k].lines_removed == 0
+    for k, text in rows[5:30]:
+        lines = text.split("\n")
+        assert [x for x in got[k].text.split("\n") if x] == [lines[0], lines[-1]]
+        assert len(lines) - got[k].lines_removed == len(got[k].text.split("\n"))
+    assert got[901].text.strip() == ""
+    assert got[900].text.count("again") >= 1
+
+
+def test_pipeline_drops_exact_copies_of_short_lines(spark):
+    text = "\n".join(prose(700 + i, 6) for i in range(15))
+    docs = spark.createDataFrame([(k, text, "en", "a", len(text)) for k in range(4)], SCHEMA)
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, docs, FOLDER).collect()] == [(0, text)]
+
+
 def test_lines_of_odd_rows(odd, none):
     got = linededup.dedupe(odd)
     assert got.columns == [c for c in odd.columns if c != "lines_removed"] + ["lines_removed"]
