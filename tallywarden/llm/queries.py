@@ -60,7 +60,7 @@ def op6_langid(spark: SparkSession, folder: str) -> DataFrame:
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 highest inner products of every twentieth vector."""
     vectors = table(spark, folder, "embeddings")
-    return topk.highest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return topk.highest(vectors, vectors.where("vec_id % 20 = 0"), k=20, large=True)
 
 
 def op8_binary(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,25 +15,58 @@ from tallywarden.llm.shared import parts, stored
 PER_PIVOT, PIVOTS = 256, (8, 256)
 #: Data vectors that a task holds at once, and queries that it scores at once.
 BLOCK, STEP = 16_384, 256
-#: Beyond this a sum of products could leave a long.
+#: Numbers that such a block holds at most, which makes blocks of long vectors shorter.
+BLOCK_NUMBERS = 1 << 23
+#: From here on a component is left out unless ``large`` is set.
 LARGEST = 1 << 27
+#: Sums of products below these are exact in doubles and in longs, with a bit to spare.
+IN_DOUBLE, IN_LONG = 2.0**52, 2.0**62
 
 
-def quantised(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component; null if a component is null, not finite or beyond 2^27."""
+def quantised(vector: Column, scale: float = 64.0, id: Column | None = None) -> Column:
+    """floor(scale * x) of each component; null if a component is null, not finite or, without ``id``, beyond 2^27.
+
+    With ``id`` only a component that no long can hold is left over: it is an error that names the row.
+    """
     v = vector.cast("array<double>")
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < LARGEST))
-    return F.when(F.size(v).between(1, 1 << 9) & whole, F.transform(v, lambda x: F.floor(x * scale).cast("int")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
+    small = F.forall(v, lambda x: F.abs(x) * scale < LARGEST)
+    if id is None:
+        return F.when((F.size(v) > 0) & finite & small, whole)
+    fits = F.forall(v, lambda x: F.abs(x) * scale < float(1 << 63))
+    error = F.raise_error(F.concat(F.lit("a component of vector "), id.cast("string"), F.lit(" leaves a long after scaling")))
+    return F.when((F.size(v) > 0) & finite & id.isNotNull(), F.when(fits, whole).otherwise(error.cast("array<long>")))
 
 
 def _grid(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), dim).astype(np.float64)
+    return column.flatten().to_numpy().reshape(len(column), dim)
+
 
+def _most(grid: np.ndarray) -> np.ndarray:
+    return np.abs(grid).max(axis=1, initial=0).astype(np.float64)
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: in doubles where they fit, else in longs."""
-    most = max(np.abs(a).max(initial=0), 1) * max(np.abs(b).max(initial=0), 1) * a.shape[1]
-    return a @ b.T if most < 1 << 53 else a.astype(np.int64) @ b.astype(np.int64).T
+
+def _products(a: np.ndarray, b: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers: in doubles where they fit, else in longs, else in Python's integers.
+
+    A product that leaves a long is an error, but for a query's own id, which is no candidate.
+    """
+    most = _most(b) * max(_most(a).max(initial=0), 1) * a.shape[1]
+    if most.max(initial=0) < IN_DOUBLE:
+        return a.astype(np.float64) @ b.T.astype(np.float64)
+    out = np.zeros((len(a), len(b)), np.int64)
+    at = np.flatnonzero(most < IN_DOUBLE)
+    out[:, at] = (a.astype(np.float64) @ b[at].T.astype(np.float64)).astype(np.int64)
+    at = np.flatnonzero((most >= IN_DOUBLE) & (most < IN_LONG))
+    out[:, at] = a.astype(np.int64) @ b[at].T.astype(np.int64)
+    for j in np.flatnonzero(most >= IN_LONG).tolist():
+        exact = [0 if q == ids[j] else x for q, x in zip(asked.tolist(), (a.astype(object) @ b[j].astype(object)).tolist())]
+        for q, x in zip(asked.tolist(), exact):
+            if not -(1 << 63) < x < 1 << 63:
+                raise ValueError(f"the inner product of query {q} and vector {ids[j]} leaves a long")
+        out[:, j] = exact
+    return out
 
 
 def _assign(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
@@ -42,13 +75,13 @@ def _assign(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.einsum("ij,ij->i", pivots, pivots)
         for batch in batches:
-            grid = _grid(batch.column("v"), dim)
+            grid = _grid(batch.column("v"), dim).astype(np.float64)
             cell = (own - 2 * grid @ pivots.T).argmin(axis=1)
             away = np.sqrt(((grid - pivots[cell]) ** 2).sum(axis=1))
             norm = np.sqrt((grid**2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell), pa.array(away), pa.array(norm)], ["id", "v", "cell", "away", "norm"])
 
-    return rows.mapInArrow(run, "id long, v array<int>, cell long, away double, norm double")
+    return rows.mapInArrow(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, cell long, away double, norm double")
 
 
 def _nearest_per_cell(data: DataFrame, k: int) -> DataFrame:
@@ -74,7 +107,7 @@ def _nearest_per_cell(data: DataFrame, k: int) -> DataFrame:
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "id", "away")
 
 
-def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
+def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, large: bool = False) -> DataFrame:
     """Rows query_id, rank, vec_id, score: the k rows of ``vectors`` with the highest inner product.
 
     Components are floor(scale * x), scores whole numbers, ties go to the smaller id, a row with the
@@ -86,17 +119,23 @@ def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
     stream through each, so no task holds more than a block, however full a cell is.
 
     Pivots, two numbers per pair of cells and k + 1 distances per cell are gathered: at most 256 pivots.
-    Null ids, null or empty vectors, those with null or non-finite components, and those longer than 512
-    or with components beyond 2^27 after scaling (sums could leave a long) take no part. Zero vectors
-    do. Only vectors of a query's length are its candidates. Repeated rows of ``vectors`` are candidates each.
-    Fewer candidates than k: all. Empty tables: no rows. Other columns are not read.
+    Null ids, null or empty vectors and those with null or non-finite components take no part, zero
+    vectors do. With ``large`` every other vector does, as in the query's SQL: scores are exact, and a
+    component or a score that leaves a long is an error that names the row. Without it those
+    with a component beyond 2^27 after scaling take no part. Only vectors of a query's length are its candidates,
+    whatever the length. Repeated rows of ``vectors`` are candidates each. Fewer candidates than
+    k: all. Empty tables: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
 
     def rows(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
+        return df.select(F.col(id).cast("long").alias("id"), quantised(F.col(vector), scale, F.col(id) if large else None).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
 
     data, asked = rows(vectors), rows(queries)
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")
+    top = max([r.most or 0 for r in (data.agg(most).first(), asked.agg(most).first())])
+    if top < 1 << 31:  # half the bytes to move
+        data, asked = (df.withColumn("v", F.col("v").cast("array<int>")) for df in (data, asked))
     out = None
     for dim, n in sorted((r.dim, r.n) for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         found = _join(data.where(F.col("dim") == dim).drop("dim"), asked.where(F.col("dim") == dim).drop("dim"), n, dim, k)
@@ -109,6 +148,8 @@ def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
 
 
 def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) -> DataFrame | None:
+    kind = data.schema["v"].dataType.simpleString()
+    held = max(STEP, min(BLOCK, BLOCK_NUMBERS // dim))
     many = min(max(PIVOTS[0], queries // PER_PIVOT), PIVOTS[1])
     chosen = data.orderBy(F.xxhash64("id"), "id").limit(many).select("v").collect()
     if not chosen:
@@ -123,31 +164,32 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
         reach[r.cell], norm[r.cell] = r.away, r.norm
     middle = pivots @ pivots.T
     slack = reach[:, None] * np.sqrt(np.diag(middle))[None, :]
+    rounding = norm[:, None] * np.sqrt(np.diag(middle))[None, :]  # of a distance, relative to its ends
     enough = np.full(cells, -np.inf)  # a score that the k-th best of each query of a group reaches
     for g in range(cells):
-        least = middle[g, near_cell] - slack[g, near_cell] - norm[g] * near_away
+        least = middle[g, near_cell] - slack[g, near_cell] - norm[g] * near_away * (1 + 1e-9)
         order = np.argsort(-least)
         first = np.sort(np.unique(near_id[order], return_index=True)[1])
         if len(first) > k:  # one id may be the query's own
             enough[g] = least[order][first[k]]
     # x of cell c matters to group g if its distance to the pivot is no less than this.
     with np.errstate(all="ignore"):
-        bound = (enough[:, None] - middle - slack - 1e-6 * (1 + np.abs(middle) + slack)) / np.where(norm > 0, norm, np.nan)[:, None]
+        bound = (enough[:, None] - middle - slack - 1e-6 * (1 + np.abs(middle) + slack + rounding)) / np.where(norm > 0, norm, np.nan)[:, None]
     bound = np.where(np.isnan(bound), -np.inf, bound) - 1e-6
     bound[reach < 0] = np.inf  # no queries
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = batch.column("away").to_numpy()[None, :] >= bound[:, batch.column("cell").to_numpy()]
+            hit = batch.column("away").to_numpy()[None, :] * (1 + 1e-9) >= bound[:, batch.column("cell").to_numpy()]
             who, group = np.nonzero(hit.T)
             ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(group))], ["id", "v", "groups"])
 
-    sent = stored(data.select("id", "v", "cell", "away").mapInArrow(needed, "id long, v array<int>, groups array<long>"), "needed")
+    sent = stored(data.select("id", "v", "cell", "away").mapInArrow(needed, f"id long, v {kind}, groups array<long>"), "needed")
     counts = {r.grp: r.n for r in sent.select(F.explode("groups").alias("grp")).groupBy("grp").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    blocks = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, -(-n // BLOCK))]), F.col("grp"))
+    blocks = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, -(-n // held))]), F.col("grp"))
     spread = sent.select(F.explode("groups").alias("grp"), "id", "v").withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks))
     spread = spread.select("grp", "block", F.lit(0).alias("kind"), "id", "v")
     asked = asked.select(F.col("cell").alias("grp"), "id", "v").withColumn("blocks", blocks).where("blocks IS NOT NULL")
@@ -180,7 +222,7 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
 
 
 def _best(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> pa.RecordBatch:
-    scores = _products(queries, grid)
+    scores = _products(queries, grid, asked, ids)
     lowest = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
     for q in np.flatnonzero(np.isin(asked, ids)):
         scores[q, ids == asked[q]] = lowest

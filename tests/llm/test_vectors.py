@@ -119,6 +119,38 @@ def test_large_components_stay_exact(spark):
     assert got == sorted(want)
 
 
+def exact(rows, step, k):
+    want, whole = [], [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    for key, q in whole:
+        if key % step == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, v)), o) for o, v in whole if o != key and len(v) == len(q))[:k]
+            want += [(key, n + 1, o, -s) for n, (s, o) in enumerate(found)]
+    return sorted(want)
+
+
+def test_long_vectors_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=513 if i % 3 else 1024))]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for large in (False, True):
+        got = sorted(map(tuple, topk.highest(vectors, vectors.where("vec_id % 10 = 0"), k=5, large=large).collect()))
+        assert len(got) == 30 and got == exact(rows, 10, 5)
+
+
+def test_query_keeps_large_components(spark, work):
+    """2^53 needs longs, 2^63 Python's integers; what no long holds is an error that names the row."""
+    rows = [(i, [1e6 + i, 2e6 - i / 3, float(i)]) for i in range(60)] + [(99, [1e9, 0.0, 0.0]), (98, [-1e9, 3.0, 7e8]), (97, [1e11, -5e10, -64.0])]
+    many = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    many.write.parquet(f"{work}/embeddings.parquet")
+    got = sorted(map(tuple, queries.op7_topk(spark, work).collect()))
+    assert {99, 98, 97} <= {r[2] for r in exact(rows, 20, 62)} and got == exact(rows, 20, 20)
+    assert {r[2] for r in got} >= {99}
+    for row, name in (((1001, [1e13, 1e13, 0.0]), "1001"), ((1002, [1e18, 0.0, 0.0]), "1002")):
+        more = many.unionAll(spark.createDataFrame([row], many.schema))
+        with pytest.raises(Exception, match=name):
+            topk.highest(more, more.where("vec_id % 20 = 0"), k=3, large=True).collect()
+
+
 def test_empty_tables(vectors):
     none = vectors.where("false")
     for search in (ann.nearest, topk.highest):
