@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,16 @@ def _together(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Learn from the labelled rows; documents without a language (null, empty, no letter) go."""
+    """Learn from the labelled rows; documents without a language go.
+
+    These are the ones without text or letter, and those that noise explains better, by odds of 20 to 1, than the
+    best mixture of languages does. If no row has a label nothing is known of languages, and all texts with a letter stay.
+    """
     model = langid.learn(docs)
-    return _together(langid.identify(_apart(docs), model).where(F.col("lang_pred") != langid.NONE), docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    known = langid.identify(_apart(docs), model, gain="gain").where((F.col("lang_pred") != langid.NONE) & (F.col("gain") > -math.log(langid.NOISE_ODDS)))
+    return _together(known, docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -24,6 +24,8 @@ STEPS, MORE_STEPS = 12, 4
 MOST_LANGUAGES = 1000
 #: Bytes of text whose n-grams are held at once: an n-gram takes some 30 bytes of arrays.
 STEP = 1_000_000
+#: Noise must explain a text so many times better than its languages before it counts as noise: a word or two never does.
+NOISE_ODDS = 20
 #: What a text without any letter is.
 NONE = "und"
 
@@ -88,12 +90,12 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int
     return Model(names, (counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if names else counts.astype(np.float32))
 
 
-def mixtures(found: np.ndarray, owner: np.ndarray, count: int, chances: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+def mixtures(found: np.ndarray, owner: np.ndarray, count: int, chances: np.ndarray, penalty: float = 1.0, fits: np.ndarray | None = None) -> np.ndarray:
     """Proportions (texts x languages); 0 where a language is not in the text's chosen set.
 
     Expectation-maximisation over all languages, then the language with the least share is left out,
     again and again; of all these sets the one with the greatest log likelihood less
-    ``penalty`` x (languages - 1) x log(n-grams) / 2 is chosen, the smaller one in a tie.
+    ``penalty`` x (languages - 1) x log(n-grams) / 2 is chosen, the smaller one in a tie. Its log likelihood is put into ``fits``, if given.
     """
     many, buckets = chances.shape
     keys, times = np.unique(owner * buckets + found, return_counts=True)
@@ -110,50 +112,60 @@ def mixtures(found: np.ndarray, owner: np.ndarray, count: int, chances: np.ndarr
             share = share * gained / np.maximum(total, 1)[:, None]
         return share
 
-    def worth(share: np.ndarray) -> np.ndarray:
+    def worth(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = share.astype(np.float32)[text]
         fit = np.bincount(text, weights=times * np.log(np.maximum(np.einsum("gl,lg->g", own, likely), 1e-30)), minlength=count)
-        return fit - penalty * (np.count_nonzero(share, axis=1) - 1) * np.log(np.maximum(total, 1)) / 2
+        return fit, fit - penalty * (np.count_nonzero(share, axis=1) - 1) * np.log(np.maximum(total, 1)) / 2
 
     share = climb(share, STEPS)
-    best, value = share.copy(), worth(share)
+    best, (fit, value) = share.copy(), worth(share)
     for _ in range(many - 1):
         least = np.where(share > 0, share, np.inf).argmin(axis=1)
         share[np.arange(count), least] = 0
         left = share.sum(axis=1, keepdims=True)
         share = climb(np.divide(share, left, out=np.zeros_like(share), where=left > 0), MORE_STEPS)
-        now = worth(share)
+        now_fit, now = worth(share)
         better = now >= value
-        best[better], value[better] = share[better], now[better]
+        best[better], value[better], fit[better] = share[better], now[better], now_fit[better]
+    if fits is not None:
+        fits[:] = fit
     return best / np.maximum(best.sum(axis=1, keepdims=True), 1e-30)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 1.0) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float = 1.0, gain: str | None = None) -> DataFrame:
     """Every row and column of ``docs`` with ``lang_pred``, ``score`` and ``languages``.
 
     languages holds the chosen set, the largest share first, each with its share of the text;
     lang_pred is the first of them and score its share. A text that is null or holds no letter is
     ``und`` with score 0 and no languages, and so is every text under a model without languages.
     Ties go to the language that sorts first. Only the text is read for it; columns of these three names are replaced.
+
+    With ``gain`` a column of that name holds how much better the mixture explains the text's n-grams than
+    noise does, which takes all buckets alike: the difference of the log likelihoods, 0 for ``und``.
     """
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
+    if gain:
+        added = added.add(gain, T.DoubleType())
     rows = docs.drop(*added.names)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.chances))
 
     def guess(texts: pa.Array) -> list[pa.Array]:
         names, chances = shared.value
         lettered = pc.match_substring_regex(strings(texts), r"\pL").to_numpy(zero_copy_only=False)
-        shares = np.zeros((len(texts), len(names)))
+        shares, gains = np.zeros((len(texts), len(names))), np.zeros(len(texts))
         at = np.flatnonzero(lettered)
         if len(at) and names:
             found, owner = grams(texts.take(pa.array(at)), chances.shape[1])
-            shares[at] = mixtures(found, owner, len(at), chances, penalty)
+            fits = np.zeros(len(at))
+            shares[at] = mixtures(found, owner, len(at), chances, penalty, fits)
+            gains[at] = fits + np.bincount(owner, minlength=len(at)) * np.log(chances.shape[1])
         first = shares.argmax(axis=1) if names else np.zeros(len(texts), int)
         known = lettered & (shares.sum(axis=1) > 0)
         best = [names[k] if ok else NONE for k, ok in zip(first.tolist(), known)]
         score = [float(min(1.0, s[k])) if ok else 0.0 for s, k, ok in zip(shares, first, known)]
         sets = [[{"lang": names[k], "share": float(s[k])} for k in np.argsort(-s, kind="stable") if s[k] > 0] if ok else [] for s, ok in zip(shares, known)]
-        return [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
+        out = [pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))]
+        return [*out, pa.array(gains)] if gain else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

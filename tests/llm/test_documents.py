@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallywarden.llm import langid, linededup, mixing, neardup, sql
@@ -324,6 +325,20 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in docs.collect())
 
 
+def test_language_stage_rejects_noise_and_keeps_unlabelled(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [(10**6 + i, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(60)), None, "a", 1) for i in range(20)]
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), None).otherwise(F.col("lang")))
+    both = held.unionByName(spark.createDataFrame(noise, SCHEMA).select(docs.columns))
+    lettered = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, both, FOLDER).collect()}
+    assert got == lettered  # held-out documents stay, noise goes
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, bare, FOLDER).collect()} == lettered
+
+
 def test_pipeline_of_odd_rows(spark, odd, none):
     for rows in (odd, none):
         docs = rows
