@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import ann, binary, extract, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
+from tallywarden.llm import ann, binary, extract, hardneg, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -80,9 +80,16 @@ def op10_linededup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.dedupe(table(spark, folder, "documents")).select("doc_id", "text", "lines_removed")
 
 
+def op11_hardneg(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; the labels of every seventh are moved by one."""
+    vectors = table(spark, folder, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.hard_negatives(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup)}
+    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup, op11_hardneg)}
 
 
 def oracle() -> dict[str, str]:
-    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES}
+    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES, "op11_hardneg": sql.NEGATIVES}

@@ -86,6 +86,28 @@ SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM pa
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """
 
+NEGATIVES = r"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, a.label, a.e, d.vec_id, d.label AS other,
+         CAST(list_sum(list_transform(list_zip(a.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.vec_id <> d.vec_id AND len(a.e) = len(d.e) WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, label, e, vec_id AS positive_id, score AS positive_score, row_number() OVER w AS nth FROM pairs WHERE label = other
+  WINDOW w AS (PARTITION BY anchor_id, label, e ORDER BY score DESC, vec_id) QUALIFY nth <= 5
+), found AS (
+  SELECT p.*, n.vec_id AS negative_id, n.score AS negative_score
+  FROM positive p JOIN pairs n ON n.anchor_id = p.anchor_id AND n.label = p.label AND n.e = p.e AND n.other <> p.label
+    AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, negative_id, positive_score, negative_score FROM found
+WINDOW w AS (PARTITION BY anchor_id, label, e, nth ORDER BY negative_score DESC, negative_id) QUALIFY rank <= 3
+"""
+
 NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws

@@ -47,7 +47,7 @@ def _most(grid: np.ndarray) -> np.ndarray:
     return np.abs(grid).max(axis=1, initial=0).astype(np.float64)
 
 
-def _products(a: np.ndarray, b: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def products(a: np.ndarray, b: np.ndarray, asked: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers: in doubles where they fit, else in longs, else in Python's integers.
 
     A product that leaves a long is an error, but for a query's own id, which is no candidate.
@@ -222,7 +222,7 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
 
 
 def _best(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> pa.RecordBatch:
-    scores = _products(queries, grid, asked, ids)
+    scores = products(queries, grid, asked, ids)
     lowest = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
     for q in np.flatnonzero(np.isin(asked, ids)):
         scores[q, ids == asked[q]] = lowest
