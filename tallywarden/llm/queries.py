@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import ann, binary, extract, hardneg, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
+from tallywarden.llm import ann, binary, decontam, extract, hardneg, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -87,9 +87,15 @@ def op11_hardneg(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.hard_negatives(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Which words of every document stand in windows of ten words of benchmark items."""
+    found = decontam.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup, op11_hardneg)}
+    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup, op11_hardneg, op12_decontam)}
 
 
 def oracle() -> dict[str, str]:
-    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES, "op11_hardneg": sql.NEGATIVES}
+    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES, "op11_hardneg": sql.NEGATIVES, "op12_decontam": sql.LEAKS}

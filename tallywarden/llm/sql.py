@@ -108,6 +108,32 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, negativ
 WINDOW w AS (PARTITION BY anchor_id, label, e, nth ORDER BY negative_score DESC, negative_id) QUALIFY rank <= 3
 """
 
+LEAKS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS w
+  FROM b, unnest(range(1, greatest(len(ws) - 8, 2))) AS r(i) WHERE len(ws) > 0
+), inside AS (
+  SELECT row, i, n, array_to_string(ws[i : i + n - 1], ' ') AS w
+  FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, greatest(len(ws) - n + 2, 1))) AS r(i)
+), hits AS (
+  SELECT row, i, n, item FROM inside JOIN windows USING (n, w)
+), words AS (
+  SELECT row, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(k) GROUP BY row
+), items AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM hits WHERE item IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+"""
+
 NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
