@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywarden.llm import ann, binary, decontam, extract, hardneg, langid, linededup, mixing, neardup, packing, sql, token_counts, topk
+from tallywarden.llm import ann, binary, decontam, extract, hardneg, langid, linededup, mixing, neardup, packing, sql, token_counts, topk, trie
 from tallywarden.session import new_folder
 from tallywarden.sources.tables import table
 
@@ -93,9 +93,14 @@ def op12_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the conversations, which open like the first conversation of their twenty."""
+    return trie.trie(trie.rebuilt(trie.turns(table(spark, folder, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup, op11_hardneg, op12_decontam)}
+    return {f.__name__: f for f in (op1_ann, op2_tokens, op3_html, op4_neardup, op5_packing, op6_langid, op7_topk, op8_binary, op9_mixing, op10_linededup, op11_hardneg, op12_decontam, op13_trie)}
 
 
 def oracle() -> dict[str, str]:
-    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES, "op11_hardneg": sql.NEGATIVES, "op12_decontam": sql.LEAKS}
+    return {"op1_ann": sql.NEAREST, "op3_html": sql.PAGES, "op4_neardup": sql.NEAR, "op7_topk": sql.HIGHEST, "op9_mixing": sql.MIXING, "op10_linededup": sql.LINES, "op11_hardneg": sql.NEGATIVES, "op12_decontam": sql.LEAKS, "op13_trie": sql.PREFIXES}

@@ -134,6 +134,45 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
 
+#: DuckDB has no CRC-32: it is made from its definition, bit by bit, for every id.
+PREFIXES = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 1 AS k, CAST(4294967295 AS BIGINT) AS r FROM said
+  UNION ALL
+  SELECT conv_id, s, k + 1, list_reduce([xor(r, CAST(ascii(s[k]) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, CAST(3988292384 AS BIGINT)) ELSE a // 2 END) FROM crc WHERE k <= length(s)
+), convs AS (
+  SELECT conv_id, xor(r, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE k > length(s)
+), rebuilt AS (
+  SELECT s.conv_id, s.pos, digest, words FROM said s JOIN convs USING (conv_id) WHERE s.pos > h
+  UNION ALL
+  SELECT c.conv_id, s.pos, digest, words FROM convs c JOIN said s ON s.conv_id = c.conv_id - c.conv_id % 20 WHERE s.pos <= h
+), paths AS (
+  SELECT c.conv_id, coalesce(list(digest ORDER BY pos) FILTER (digest IS NOT NULL), []) AS path, coalesce(list(words ORDER BY pos) FILTER (digest IS NOT NULL), []) AS words
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id
+), members AS (
+  SELECT conv_id, path[1:d] AS prefix, d AS depth, len(path) = d AS ends, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS words
+  FROM paths, unnest(range(0, len(path) + 1)) AS r(d)
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY prefix, depth
+), children AS (
+  SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+  SELECT n.prefix[1:d] AS prefix, count(*) FILTER (c.n_children IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n LEFT JOIN children c USING (prefix), unnest(range(0, n.depth + 1)) AS r(d) GROUP BY ALL
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (prefix) LEFT JOIN children c USING (prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
 NEAR = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
