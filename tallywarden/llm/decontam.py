@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.shared import stored, strings, text_steps
+from tallywarden.llm.shared import lone_steps, stored, strings, text_steps
 
 #: Words of a window.
 WIDTH = 10
@@ -208,21 +208,11 @@ def _span_lists(runs: list[np.ndarray], count: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def _steps(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``limit`` bytes of text; a longer text is alone."""
-    for step in text_steps(batch, "text", limit):
-        lengths = pc.fill_null(pc.binary_length(step.column("text")), 0).to_numpy(zero_copy_only=False)
-        long = np.flatnonzero(lengths > limit)
-        cuts = np.unique(np.concatenate([[0, step.num_rows], long, long + 1])).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            yield step.slice(a, b - a)
-
-
 def _scan(batches: Iterator[pa.RecordBatch], sent, limit: int) -> Iterator[pa.RecordBatch]:
     """Add n_words, spans and items to rows (row, text)."""
     benchmark: Benchmark = sent.value
     for batch in batches:
-        for step in _steps(batch, limit):
+        for step in lone_steps(batch, "text", limit):
             data, edges = _bytes(step.column("text"))
             if step.num_rows == 1 and len(data) > limit:
                 many, found = _long(data, benchmark, limit)

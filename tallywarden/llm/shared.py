@@ -40,6 +40,16 @@ def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> I
             yield batch.slice(a, b - a)
 
 
+def lone_steps(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same, but a longer text is always alone in its run."""
+    for step in text_steps(batch, column, limit):
+        lengths = pc.fill_null(pc.binary_length(step.column(column)), 0).to_numpy(zero_copy_only=False)
+        long = np.flatnonzero(lengths > limit)
+        cuts = np.unique(np.concatenate([[0, step.num_rows], long, long + 1])).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            yield step.slice(a, b - a)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """Texts without nulls, copied to an array of their own: some string kernels misread a slice's offsets."""
     return pc.fill_null(column.cast(pa.large_string()), "").take(pa.array(np.arange(len(column))))

@@ -339,6 +339,80 @@ def test_language_stage_rejects_noise_and_keeps_unlabelled(spark):
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, bare, FOLDER).collect()} == lettered
 
 
+UNKNOWN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä, sanoo ensimmäinen artikla.",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。" * 3,
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.",
+    "for (int i = 0; i < n; ++i) { std::vector<double> xs(k); std::fill(xs.begin(), xs.end(), 0.0); if (xs[i] > max) { return sqrt(xs[i]) * kQuux; } } // see the note above",
+    "Jazz quiz", "ok",
+]
+
+
+@pytest.mark.parametrize("left", ["de", "es", "fr", "en"])
+def test_language_stage_keeps_languages_without_labels(spark, left):
+    """Without one language's labels its clean documents stay, so do other languages, scripts and code; random letters go."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [(10**6 + i, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(60)), None, "a", 1) for i in range(20)]
+    others = [(2 * 10**6 + i, text, None, "a", 1) for i, text in enumerate(UNKNOWN)]
+    known = docs.withColumn("lang", F.when(F.col("lang") != left, F.col("lang")))
+    rows = known.unionByName(spark.createDataFrame(noise + others, SCHEMA).select(docs.columns))
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, rows, FOLDER).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    assert got == lettered | {r[0] for r in others}
+
+
+def test_long_text_is_counted_in_steps():
+    text = " ".join(prose(i, 400) for i in range(20)) + " é中"
+    whole = langid.grams(pa.array([text], pa.large_string()))[0]
+    for step in (37, 1000):
+        found, owner, times = langid.gram_counts(pa.array([text], pa.large_string()), step=step)
+        assert np.array_equal(np.bincount(found, weights=times, minlength=langid.BUCKETS), np.bincount(whole, minlength=langid.BUCKETS)) and not owner.any()
+    texts = pa.array([text, "", None, "abc", text[:50]], pa.large_string())
+    found, owner, times = langid.gram_counts(texts)
+    plain, own = langid.grams(texts)
+    assert sorted(zip(np.repeat(owner, times), np.repeat(found, times))) == sorted(zip(own, plain))
+
+
+def test_letters_in_steps(spark, monkeypatch):
+    texts = [text * 3 for text in UNKNOWN]
+    letters = langid.learn_letters(spark.createDataFrame([(t,) for t in texts * 30], "text string"))
+    whole = langid.letter_gains(texts, letters)
+    monkeypatch.setattr(langid, "STEP", 40)
+    assert np.allclose(langid.letter_gains(texts, letters), whole)
+    assert langid.learn_letters(spark.createDataFrame([], "text string")).points.size == 0
+
+
+def test_chosen_set_is_the_best_of_all_sets():
+    """The set that leaving out one language after another ends with, against every set of languages."""
+    rng = np.random.default_rng(9)
+    chances = rng.dirichlet(np.full(300, 0.2), 4).astype(np.float32)
+    chances = (chances + 1e-6) / (chances + 1e-6).sum(axis=1, keepdims=True)
+
+    def value(counts, names):
+        share = np.full(len(names), 1 / len(names))
+        for _ in range(300):
+            mix = share @ chances[names]
+            share = share * (chances[names] @ (counts / mix)) / counts.sum()
+        return (counts * np.log(share @ chances[names])).sum() - (len(names) - 1) * np.log(counts.sum()) / 2
+
+    sets = [[k for k in range(4) if m >> k & 1] for m in range(1, 16)]
+    same = 0
+    for n in range(40):
+        share = rng.dirichlet(np.full(4, 0.3))
+        words = np.concatenate([rng.choice(300, c, p=p.astype(float) / p.astype(float).sum()) for p, c in zip(chances, rng.multinomial(250, share))])
+        got = langid.mixtures(words, np.zeros(len(words), int), 1, chances)[0]
+        counts = np.bincount(words, minlength=300).astype(float)
+        worth = [value(counts, s) for s in sets]
+        own = sets.index(np.flatnonzero(got).tolist())
+        assert worth[own] > max(worth) - 2
+        same += own == int(np.argmax(worth))
+    assert same >= 36
+
+
 def test_pipeline_of_odd_rows(spark, odd, none):
     for rows in (odd, none):
         docs = rows
