@@ -25,13 +25,15 @@ def _together(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Learn from the labelled rows; documents without a language go.
 
-    These are the ones without text or letter, and those that noise explains better, by odds of 20 to 1, than the
-    best mixture of languages does. If no row has a label nothing is known of languages, and all texts with a letter stay.
+    These are the ones without text or letter, and those that noise explains better, by odds of 20 to 1, than both the
+    best mixture of languages and the letters of all documents, labelled or not, do, if the text's own letters are as even as
+    chance makes them. So languages without labels, code and other scripts stay, and texts with fewer than 150 letters. If no row has a label nothing is known of languages, and all texts with a letter stay.
     """
     model = langid.learn(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    known = langid.identify(_apart(docs), model, gain="gain").where((F.col("lang_pred") != langid.NONE) & (F.col("gain") > -math.log(langid.NOISE_ODDS)))
+    found = langid.identify(_apart(docs), model, gain="gain", letters=langid.learn_letters(docs))
+    known = found.where((F.col("lang_pred") != langid.NONE) & (F.col("gain") > -math.log(langid.NOISE_ODDS)))
     return _together(known, docs)
 
 
