@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.shared import components, parts, split_words, stored, strings, text_steps
+from tallywarden.llm.shared import WORD, components, parts, split_words, stored, strings, text_steps
 
 #: Values that a sketch retains.
 KEEP = 32
@@ -67,7 +67,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, keep: int) -> Itera
             rank = np.arange(len(values)) - np.repeat(ends[:-1], sizes)
             kept = np.concatenate([[0], np.cumsum(np.minimum(sizes, keep))])
             marks = [xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(sizes), pa.array(marks, pa.binary()), _lists(values[rank < keep], kept)], ["doc_id", "n", "mark", "sketch"])
+            yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("th"), pa.array(sizes), pa.array(marks, pa.binary()), _lists(values[rank < keep], kept)], ["doc_id", "th", "n", "mark", "sketch"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], work: Callable) -> Iterator[pa.RecordBatch]:
@@ -182,72 +182,96 @@ def _compare(rows: DataFrame, group: str, work: Callable) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _grouped(batches, keys, work), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 85, keep: int = KEEP, overlap: float = OVERLAP) -> DataFrame:
-    """Rows doc_id, n_shingles, component_id, kept: one per row of ``docs``.
+def _document(text: str) -> list[Column]:
+    """doc_id and the text's MD5: both together name a document whose id is missing or not its own."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("th")]
 
-    1. Every whole text becomes its set of hashed shingles (A-Z lower-cased); the ``keep`` smallest
-       hashes are its sketch. Equal sets are one class, represented by its smallest doc_id.
-    2. Sketch values that two classes hold form inverted lists. A pair must share ``overlap`` of its
-       sketch, so it meets in one of the lists of each one's rarest values (those beyond
-       1 - overlap cannot all be missed), and the lists of passages that very many documents share
-       are left out without a cap.
-    3. In a list, pairs whose union sketch estimates ``overlap`` or more are joined to loose groups.
-    4. In a loose group whole sets are compared: 100 x intersection >= percent x union links. Large
-       lists and groups are cut into blocks and every two blocks meet, so no task holds more than
-       two blocks; a task returns one link a row, to the smallest id it reaches there, never all pairs.
-    5. component_id is the smallest doc_id that links reach, kept says that it is the row's own.
 
-    A text without words is linked with nothing and kept. A class without any doc_id is linked with
-    nothing but itself: its component_id is null, its rows are kept. Repeated rows are in one class
-    and share the answer; where a doc_id has several texts, each row gets its own text's component, and
-    classes with one smallest doc_id count as one. Other columns are not read.
+def _named() -> list[Column]:
+    """doc_id and th as columns without null, null ids last."""
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("key"), F.col("th")]
+
+
+def _groups(docs: DataFrame, text: str, width: int, percent: int, keep: int, overlap: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, mark), one per row of ``docs``; and (mark, grp, first), one per class: its group and the group's first document.
+
+    ``first`` is (no_id, key, th): the smallest doc_id and text hash, documents without id last.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = texts.mapInArrow(partial(_sketches, width=width, keep=keep), "doc_id long, n long, mark binary, sketch array<long>")
+    texts = docs.select(*_document(text), F.col(text).cast("string").alias("text"))
+    made = texts.mapInArrow(partial(_sketches, width=width, keep=keep), "doc_id long, th binary, n long, mark binary, sketch array<long>")
     made = stored(made, "sketches")
-    classes = made.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
-    known = classes.where("id IS NOT NULL")
+    classes = made.where("n > 0").groupBy("mark").agg(F.min(F.struct(*_named())).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    values = known.select("id", F.explode("sketch").alias("value"))
+    values = classes.select("id", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     rare = values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("found"))
     size = F.size("sketch")
     lists = size - F.ceil(size * overlap).cast("int") + 1 - (size - F.size("found"))  # the others are rarer still
-    keyed = known.join(rare, "id").select("id", "sketch", F.when(lists > 0, F.slice("found", F.lit(1), lists)).alias("found"))
+    keyed = classes.join(rare, "id").select("id", "sketch", F.when(lists > 0, F.slice("found", F.lit(1), lists)).alias("found"))
     keyed = stored(keyed.where("found IS NOT NULL"), "prefixes").select("id", "sketch", F.explode("found.value").alias("value"))
     many = keyed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
     loose = _compare(_blocks(keyed.join(many, "value"), "value", "blocks"), "value", partial(_alike_sketches, keep=keep, overlap=overlap))
     groups = components(loose, "loose")
 
-    members = known.select("id", "n").join(groups.select(F.col("node").alias("id"), F.col("label").alias("grp")), "id")
+    members = classes.select("id", "n", "first").join(groups.select(F.col("node").alias("id"), F.col("label").alias("grp")), "id")
     cost = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
-    members = stored(members.join(cost, "grp").select(F.col("id").alias("doc_id"), "grp", "blocks"), "members")
+    members = stored(members.join(cost, "grp").select("id", "grp", "blocks", "first.*"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in text_steps(batch, "text"):
                 found, ends = shingles(step.column("text"), width)
-                yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("grp"), step.column("blocks"), _lists(found, ends)], ["id", "grp", "blocks", "shingles"])
+                yield pa.RecordBatch.from_arrays([step.column("id"), step.column("grp"), step.column("blocks"), _lists(found, ends)], ["id", "grp", "blocks", "shingles"])
 
-    full = texts.join(members, "doc_id").select("doc_id", "grp", "blocks", "text").mapInArrow(sets, "id long, grp long, blocks long, shingles array<long>")
+    one = texts.select(*_named(), "text").join(members, ["no_id", "key", "th"])
+    one = one.groupBy("id", "grp", "blocks").agg(F.first("text").alias("text"))  # repeated rows, combined before the shuffle
+    full = one.mapInArrow(sets, "id long, grp long, blocks long, shingles array<long>")
     links = _compare(_blocks(full, "grp", "blocks"), "grp", partial(_alike_sets, percent=percent))
     reached = components(links, "linked")
 
-    labels = classes.select("mark", "id").join(reached.withColumnRenamed("node", "id"), "id", "left")
-    labels = labels.select("mark", F.coalesce("label", "id").alias("component_id"))
-    out = made.join(labels, "mark", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+    labels = classes.select("mark", "id", "first").join(reached.withColumnRenamed("node", "id"), "id", "left")
+    labels = labels.select("mark", F.coalesce("label", "id").alias("grp"), "first")
+    firsts = labels.groupBy("grp").agg(F.min("first").alias("first"))
+    return made.select("doc_id", "n", "mark"), labels.drop("first").join(firsts, "grp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 85, keep: int = KEEP, overlap: float = OVERLAP) -> DataFrame:
+    """Rows doc_id, n_shingles, component_id, kept: one per row of ``docs``.
+
+    1. Every whole text becomes its set of hashed shingles (A-Z lower-cased); the ``keep`` smallest
+       hashes are its sketch. Equal sets are one class.
+    2. Sketch values that two classes hold form inverted lists. A pair must share ``overlap`` of its
+       sketch, so it meets in one of the lists of each one's rarest values (those beyond
+       1 - overlap cannot all be missed), and the lists of passages that very many documents share
+       are left out without a cap.
+    3. In a list, pairs whose union sketch estimates ``overlap`` or more are joined to loose groups.
+    4. In a loose group whole sets are compared: 100 x intersection >= percent x union links. Large
+       lists and groups are cut into blocks and every two blocks meet, so no task holds more than
+       two blocks; a task returns one link a row, to the smallest id it reaches there, never all pairs.
+    5. component_id is the smallest doc_id that links reach, kept says that it is the row's own.
+
+    A text without words is linked with nothing and kept. Rows without doc_id link like others but give no component its
+    id: where no row of a component has one, component_id is null and its rows are kept. Repeated rows are in one class
+    and share the answer; where a doc_id has several texts, each row gets its own text's component. Other columns are not read.
+    """
+    made, groups = _groups(docs, text, width, percent, keep, overlap)
+    least = F.when(~F.col("first.no_id"), F.col("first.key"))
+    out = made.join(groups.select("mark", least.alias("component_id")), "mark", "left")
+    out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def representatives(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def representatives(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 85, keep: int = KEEP, overlap: float = OVERLAP) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group stays, with all their columns.
 
-    Of rows with one doc_id one stays, the one with the smallest text hash; rows without doc_id stay.
+    It is the one with the smallest doc_id (null last) and then text hash; of rows that agree in both one stays. So unlike
+    texts under one id both stay, and of like texts without id one does. Rows without words are in no group: all stay.
     """
-    kept = near_duplicates(docs, text, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    one = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(f"row.{text}")))
-    named = rows.where("key IS NOT NULL").join(kept, F.col("key") == F.col("kept_id"), "left_semi").withColumn("nth", one).where("nth = 1")
-    return named.select("row.*").unionAll(rows.where("key IS NULL").select("row.*"))
+    _, groups = _groups(docs, text, width, percent, keep, overlap)
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != text])))
+    worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), rest.alias("rest"), worded.alias("worded"), *_document(text))
+    one = rows.where("worded").select("row", "rest", *_named()).groupBy("no_id", "key", "th").agg(F.min_by("row", "rest").alias("row"))
+    stay = one.join(groups.select("first.*").distinct(), ["no_id", "key", "th"], "left_semi")
+    return stay.select("row.*").unionAll(rows.where("NOT worded").select("row.*"))

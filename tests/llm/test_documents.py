@@ -226,6 +226,24 @@ def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     assert neardup.representatives(none).count() == 0
 
 
+def test_representatives_lose_no_text_by_its_id(spark):
+    """Unlike texts under one id both stay, of copies without id one does, rows without words all stay."""
+    rows = [(7, prose(1, 50)), (7, prose(2, 50)), (7, prose(2, 50)), (None, prose(3, 50)), (None, prose(3, 50)), (None, prose(4, 50)), (9, prose(4, 50) + " x"), (None, prose(5, 60) + " y"), (None, prose(5, 60))]
+    rows += [(8, prose(2, 50) + " z"), (None, ""), (None, None), (5, None), (5, " "), (6, prose(1, 50) + " w")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, first long")
+    got = neardup.representatives(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    texts = [t for _, t in kept if t and t.strip()]
+    assert kept[7, prose(2, 50)] == 1 and kept[6, prose(1, 50) + " w"] == 1 and kept[9, prose(4, 50) + " x"] == 1 and kept[None, prose(3, 50)] == 1
+    assert len(texts) == 5 and sum(prose(5, 60) in t for t in texts) == 1
+    assert [kept[k] for k in ((None, ""), (None, None), (5, None), (5, " "))] == [1, 1, 1, 1] and sum(kept.values()) == 9
+    again = neardup.representatives(docs)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    linked = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert linked[None, 46] in (9, None) and linked[9, 47] == 9
+
+
 def test_common_passage_makes_no_group(spark):
     """Half of all rows share a passage; only copies are linked, and the passage's lists cost nothing."""
     rows = [(i, prose(1, 30) + " " + prose(1000 + i, 60)) for i in range(400)] + [(1000 + i, prose(1000 + i, 60) + f" a{i} b{i}") for i in range(20)]
