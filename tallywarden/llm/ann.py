@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywarden.llm.shared import parts
+from tallywarden.llm.shared import parts, stored
 
+#: Components beyond this are divided by a power of two while distances are taken, so that no square leaves a double.
+SQUARED = 2.0**450
 #: Vectors of a shard on average, and of a leaf at most.
 SHARD, LEAF = 16_384, 256
 
@@ -120,7 +123,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
 
     Null ids, and null, zero, empty or non-finite vectors take no part; with fewer candidates than
     k all are returned; empty tables give no rows. Vectors of another length than a query's are no
-    candidates of it. Repeated rows of ``vectors`` are candidates each. Other columns are not read.
+    candidates of it. Repeated rows of ``vectors`` are candidates each, repeated rows of ``queries`` are one query; an
+    id with unlike vectors is several queries, each with ranks of its own. Other columns are not read.
     """
     if factor < 1:
         raise ValueError("factor below 1")
@@ -130,10 +134,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
         double = F.col(vector).cast("array<double>")
         return df.select(F.col(id).cast("long").alias("id"), double.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
 
-    data, asked = rows(vectors), rows(queries)
-    shards = max(1, -(-data.count() // shard))
-    data = data.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = asked.select("dim", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    data = rows(vectors)
+    asked = stored(rows(queries).dropDuplicates(["id", "v"]).withColumn("key", F.monotonically_increasing_id()), "queries")
+    widest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    count, most = data.agg(F.count("*"), widest).first()
+    most = max(most or 0.0, asked.agg(widest).first()[0] or 0.0)
+    unit = 1.0 if most < SQUARED else 2.0 ** (math.frexp(most)[1] - 450)
+    if unit > 1:
+        data, asked = (df.withColumn("v", F.transform("v", lambda x: x / unit)) for df in (data, asked))
+    shards = max(1, -(-count // shard))
+    data = data.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), "id", "v")
+    asked = asked.select("dim", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(1).alias("kind"), "key", "id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, place = None, None
@@ -161,13 +172,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float =
                     ids, found = [], []
                 if tree is None:
                     continue
+                keys = piece.column("key").to_numpy()
                 for i in range(0, len(own), 1024):
                     got, far = tree.search(grid[i : i + 1024], own[i : i + 1024], k, factor)
                     real = np.isfinite(far).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[i : i + 1024], k)[real]), pa.array(got.ravel()[real]), pa.array(far.ravel()[real])], ["query_id", "vec_id", "score"])
+                    who = [pa.array(np.repeat(x[i : i + 1024], k)[real]) for x in (keys, own)]
+                    yield pa.RecordBatch.from_arrays([*who, pa.array(got.ravel()[real]), pa.array(far.ravel()[real])], ["key", "query_id", "vec_id", "score"])
 
     keys = ["dim", "shard"]
     dealt = data.unionAll(asked).repartition(min(shards, 64 * parts(spark)), *keys).sortWithinPartitions(*keys, "kind")
-    some = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    some = dealt.mapInArrow(run, "key long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") * unit).alias("score"))

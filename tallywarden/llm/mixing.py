@@ -11,8 +11,8 @@ from tallywarden.llm.shared import WORD, stored
 
 #: Rows of one source that one window sums up, and rows of one slice of virtual time.
 CHUNK_ROWS, SLICE_ROWS = 20_000, 5_000
-#: Slices of virtual time at most; beyond 65536 * 5000 rows a slice holds more rows.
-SLICES = 65_536
+#: Slices of virtual time at most: one row of sums each. Only beyond 2^22 * 5000 rows does a slice hold more.
+SLICES = 1 << 22
 
 
 def word_count(text: Column) -> Column:
@@ -49,25 +49,27 @@ def schedule(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     Columns: doc_id, source, size (words of the whole text, null: 0), source_size, target, virtual
     (finish time of the first copy), copies (0 to ``limit``), taken (size x copies).
 
-    Documents of a source stand in the order of an MD5 of seed and doc_id, and copy r of a document
+    Documents of a source stand in the order of an MD5 of seed, doc_id and text, and copy r of a document
     finishes at (r x source size + sizes up to it) / target. All copies are ranked by finish time
     and taken until the budget, ``share`` of all sizes, is used up; so every source is served at the
     pace of its target. Running sums are taken in chunks of the order whose number grows with the
     rows, so a source with a third of all rows is many tasks; the cut is found in one slice of
     virtual time, which holds an even part of the budget by construction.
 
-    Rows that agree in doc_id, source and size are alike and may swap places. Null doc_ids share one place in
-    the order, a null source is a source. Nothing to take (no words, no rows): copies 0. Other
+    Rows that agree in doc_id, source and text are alike and may swap places: only they share a place in the
+    order, so rows without doc_id, or all under one, are spread like others. A null source is a source. Sources are
+    weighed in one task, with a row of sums for each. Nothing to take (no words, no rows): copies 0. Other
     columns are not read.
     """
-    rows = stored(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed).alias("key")), "mix-sizes")
+    rows = stored(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed, text).alias("key")), "mix-sizes")
     chunks, about, slices, cut, last, at = _plan(rows, weights, share, limit)
     out = at.withColumn("copies", _copies(slices, cut, last, limit)).withColumn("virtual", F.col("finish")[0])
     return out.select("doc_id", "source", "size", "source_size", "target", "virtual", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def _key(seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+def _key(seed: str, text: str) -> Column:
+    said = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), said))
 
 
 def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
@@ -136,7 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     See ``schedule`` for what is taken. Documents without words are not in the mix. Texts move twice:
     to the chunks of their sources' orders, and to their places in the mix.
     """
-    parts = ["doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed).alias("key")]
+    parts = ["doc_id", "source", word_count(F.col(text)).alias("size"), _key(seed, text).alias("key")]
     chunks, about, slices, cut, last, _ = _plan(stored(docs.select(*parts), "mix-sizes"), weights, share, limit)
     rows = _finished(_chunked(docs.select(F.struct("*").alias("row"), *parts), chunks), about, limit)
     times = F.slice("finish", F.lit(1), F.col("copies"))

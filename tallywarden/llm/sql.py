@@ -2,7 +2,7 @@
 
 MIXING = r"""
 WITH sized AS (
-  SELECT row_number() OVER () AS row, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key,
+  SELECT row_number() OVER () AS row, doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS key,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), per AS (
@@ -67,11 +67,11 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, d.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, d.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, q.e, d.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, d.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0) q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
 )
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM pairs
-WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY rank <= 10
+WINDOW w AS (PARTITION BY query_id, e ORDER BY score, vec_id) QUALIFY rank <= 10
 """
 
 HIGHEST = r"""
@@ -79,11 +79,11 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 20 = 0
+  SELECT q.vec_id AS query_id, q.e, d.vec_id, CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e)
 )
 SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM pairs
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20
+WINDOW w AS (PARTITION BY query_id, e ORDER BY score DESC, vec_id) QUALIFY rank <= 20
 """
 
 NEGATIVES = r"""

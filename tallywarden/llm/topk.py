@@ -17,23 +17,18 @@ PER_PIVOT, PIVOTS = 256, (8, 256)
 BLOCK, STEP = 16_384, 256
 #: Numbers that such a block holds at most, which makes blocks of long vectors shorter.
 BLOCK_NUMBERS = 1 << 23
-#: From here on a component is left out unless ``large`` is set.
-LARGEST = 1 << 27
 #: Sums of products below these are exact in doubles and in longs, with a bit to spare.
 IN_DOUBLE, IN_LONG = 2.0**52, 2.0**62
 
 
-def quantised(vector: Column, scale: float = 64.0, id: Column | None = None) -> Column:
-    """floor(scale * x) of each component; null if a component is null, not finite or, without ``id``, beyond 2^27.
+def quantised(vector: Column, scale: float, id: Column) -> Column:
+    """floor(scale * x) of each component; null without id, and if a component is null or not finite.
 
-    With ``id`` only a component that no long can hold is left over: it is an error that names the row.
+    A component that no long can hold is an error that names the row.
     """
     v = vector.cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(v, lambda x: F.floor(x * scale).cast("long"))
-    small = F.forall(v, lambda x: F.abs(x) * scale < LARGEST)
-    if id is None:
-        return F.when((F.size(v) > 0) & finite & small, whole)
     fits = F.forall(v, lambda x: F.abs(x) * scale < float(1 << 63))
     error = F.raise_error(F.concat(F.lit("a component of vector "), id.cast("string"), F.lit(" leaves a long after scaling")))
     return F.when((F.size(v) > 0) & finite & id.isNotNull(), F.when(fits, whole).otherwise(error.cast("array<long>")))
@@ -79,9 +74,10 @@ def _assign(rows: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
             cell = (own - 2 * grid @ pivots.T).argmin(axis=1)
             away = np.sqrt(((grid - pivots[cell]) ** 2).sum(axis=1))
             norm = np.sqrt((grid**2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell), pa.array(away), pa.array(norm)], ["id", "v", "cell", "away", "norm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away), pa.array(norm)], [*batch.schema.names, "cell", "away", "norm"])
 
-    return rows.mapInArrow(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, cell long, away double, norm double")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{own}, cell long, away double, norm double")
 
 
 def _nearest_per_cell(data: DataFrame, k: int) -> DataFrame:
@@ -107,7 +103,7 @@ def _nearest_per_cell(data: DataFrame, k: int) -> DataFrame:
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("cell", "id", "away")
 
 
-def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0, large: bool = False) -> DataFrame:
+def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """Rows query_id, rank, vec_id, score: the k rows of ``vectors`` with the highest inner product.
 
     Components are floor(scale * x), scores whole numbers, ties go to the smaller id, a row with the
@@ -119,19 +115,19 @@ def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
     stream through each, so no task holds more than a block, however full a cell is.
 
     Pivots, two numbers per pair of cells and k + 1 distances per cell are gathered: at most 256 pivots.
-    Null ids, null or empty vectors and those with null or non-finite components take no part, zero
-    vectors do. With ``large`` every other vector does, as in the query's SQL: scores are exact, and a
-    component or a score that leaves a long is an error that names the row. Without it those
-    with a component beyond 2^27 after scaling take no part. Only vectors of a query's length are its candidates,
-    whatever the length. Repeated rows of ``vectors`` are candidates each. Fewer candidates than
-    k: all. Empty tables: no rows. Other columns are not read.
+    Null ids, null or empty vectors and those with null or non-finite components take no part; every other vector
+    does, zero ones too: scores are exact, and a component or a score that leaves a long is an error that names the
+    row. Only vectors of a query's length are its candidates, whatever the length. Repeated rows of ``vectors`` are candidates each,
+    repeated rows of ``queries`` are one query; an id with unlike vectors is several queries, each with ranks of its own.
+    Fewer candidates than k: all. Empty tables: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
 
     def rows(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id).cast("long").alias("id"), quantised(F.col(vector), scale, F.col(id) if large else None).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
+        return df.select(F.col(id).cast("long").alias("id"), quantised(F.col(vector), scale, F.col(id)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v"))
 
-    data, asked = rows(vectors), rows(queries)
+    data = rows(vectors)
+    asked = stored(rows(queries).dropDuplicates(["id", "v"]).withColumn("key", F.monotonically_increasing_id()), "queries")
     most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")
     top = max([r.most or 0 for r in (data.agg(most).first(), asked.agg(most).first())])
     if top < 1 << 31:  # half the bytes to move
@@ -143,7 +139,7 @@ def highest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
             out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -191,9 +187,9 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
         return None
     blocks = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, -(-n // held))]), F.col("grp"))
     spread = sent.select(F.explode("groups").alias("grp"), "id", "v").withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks))
-    spread = spread.select("grp", "block", F.lit(0).alias("kind"), "id", "v")
-    asked = asked.select(F.col("cell").alias("grp"), "id", "v").withColumn("blocks", blocks).where("blocks IS NOT NULL")
-    asked = asked.select("grp", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.lit(1).alias("kind"), "id", "v")
+    spread = spread.select("grp", "block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), "id", "v")
+    asked = asked.select(F.col("cell").alias("grp"), "key", "id", "v").withColumn("blocks", blocks).where("blocks IS NOT NULL")
+    asked = asked.select("grp", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.lit(1).alias("kind"), "key", "id", "v")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, ids, grids = None, [], []
@@ -214,24 +210,26 @@ def _join(data: DataFrame, asked: DataFrame, queries: int, dim: int, k: int) ->
                 elif ids:
                     if len(ids) > 1:
                         ids, grids = [np.concatenate(ids)], [np.concatenate(grids)]
+                    keys = batch.column("key").slice(a, b - a).to_numpy()
                     for i in range(0, len(own), STEP):
-                        yield _best(own[i : i + STEP], grid[i : i + STEP], ids[0], grids[0], k)
+                        yield _best(keys[i : i + STEP], own[i : i + STEP], grid[i : i + STEP], ids[0], grids[0], k)
 
     dealt = spread.unionAll(asked).repartition(parts(sent.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", "kind")
-    return dealt.mapInArrow(solve, "query_id long, vec_id long, score long")
+    return dealt.mapInArrow(solve, "key long, query_id long, vec_id long, score long")
 
 
-def _best(asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> pa.RecordBatch:
+def _best(keys: np.ndarray, asked: np.ndarray, queries: np.ndarray, ids: np.ndarray, grid: np.ndarray, k: int) -> pa.RecordBatch:
     scores = products(queries, grid, asked, ids)
     lowest = -np.inf if scores.dtype == np.float64 else np.iinfo(np.int64).min
     for q in np.flatnonzero(np.isin(asked, ids)):
         scores[q, ids == asked[q]] = lowest
-    who, which, points = [], [], []
+    place, who, which, points = [], [], [], []
     part = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(asked), lowest)
     for q in range(len(asked)):
         at = np.flatnonzero((scores[q] >= part[q]) & (scores[q] > lowest))
         at = at[np.lexsort((ids[at], -scores[q][at]))[:k]]
+        place.append(np.full(len(at), keys[q]))
         who.append(np.full(len(at), asked[q]))
         which.append(ids[at])
         points.append(scores[q][at])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (who, which, points)], ["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (place, who, which, points)], ["key", "query_id", "vec_id", "score"])

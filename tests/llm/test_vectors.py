@@ -110,7 +110,7 @@ def test_large_components_stay_exact(spark):
     rows = [(i, [1e6 + i, 2e6 - i / 3, float(i)]) for i in range(60)] + [(99, [1e9, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.highest(vectors, vectors.where("vec_id % 20 = 0"), k=3).collect()))
-    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i != 99]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     want = []
     for key, q in whole:
         if key % 20 == 0:
@@ -132,9 +132,8 @@ def test_long_vectors_take_part(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in np.float32(rng.normal(size=513 if i % 3 else 1024))]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for large in (False, True):
-        got = sorted(map(tuple, topk.highest(vectors, vectors.where("vec_id % 10 = 0"), k=5, large=large).collect()))
-        assert len(got) == 30 and got == exact(rows, 10, 5)
+    got = sorted(map(tuple, topk.highest(vectors, vectors.where("vec_id % 10 = 0"), k=5).collect()))
+    assert len(got) == 30 and got == exact(rows, 10, 5)
 
 
 def test_query_keeps_large_components(spark, work):
@@ -148,7 +147,28 @@ def test_query_keeps_large_components(spark, work):
     for row, name in (((1001, [1e13, 1e13, 0.0]), "1001"), ((1002, [1e18, 0.0, 0.0]), "1002")):
         more = many.unionAll(spark.createDataFrame([row], many.schema))
         with pytest.raises(Exception, match=name):
-            topk.highest(more, more.where("vec_id % 20 = 0"), k=3, large=True).collect()
+            topk.highest(more, more.where("vec_id % 20 = 0"), k=3).collect()
+
+
+def test_repeated_queries_are_one_query(spark, vectors, duck):
+    """A query row that is repeated asks once; unlike vectors under one id are queries each."""
+    more = vectors.unionAll(vectors.where("vec_id % 100 = 0")).unionAll(spark.createDataFrame([(100, [3.0] * 6, None)], vectors.schema))
+    con = duck(embeddings=more)
+    asked = more.where("vec_id % 100 = 0")
+    for search, k, text in ((ann.nearest, 10, sql.NEAREST), (topk.highest, 20, sql.HIGHEST.replace("% 20 = 0", "% 100 = 0"))):
+        got = search(more, asked, k=k)
+        assert same(got, con.sql(text))
+        assert got.where("query_id = 200").count() == k and got.where("query_id = 100").count() == 2 * k
+
+
+def test_huge_components_have_distances(spark):
+    rows = [(i, [1e200 * (i + 1), -1e200 / (i + 1), 1e180]) for i in range(30)] + [(40, [1.0, 2.0, 3.0]), (41, [1e308, -1e308, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(vectors, vectors.where("vec_id % 10 = 0"), k=31).collect()}
+    for q in (0, 10, 20, 40):
+        scaled = sorted((math.sqrt(sum(((a - b) / 1e200) ** 2 for a, b in zip(dict(rows)[q], v))), i) for i, v in rows if i != q)
+        assert [got[q, n + 1][0] for n in range(31)] == [i for _, i in scaled]
+        assert [got[q, n + 1][1] for n in range(30)] == pytest.approx([s * 1e200 for s, _ in scaled[:30]], rel=1e-12)
 
 
 def test_empty_tables(vectors):
