@@ -13,14 +13,14 @@ LONG_WORDS = 50
 BOUNDARY = "01234567"
 
 
-def _once(df: DataFrame, *made: Column) -> DataFrame:
-    """Add array columns behind a generator, so that no later lambda computes them per element."""
+def _once(df: DataFrame, kept: list[str], *made: Column) -> DataFrame:
+    """Add array columns to the ``kept`` ones behind a generator, so that no later lambda computes them per element."""
     value = F.struct(*made)
-    return df.select("*", F.explode(F.array(value)).alias("once")).select(*df.columns, "once.*")
+    return df.select(*kept, F.explode(F.array(value)).alias("once")).select(*kept, "once.*")
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
-    """Add ``lines`` and ``chunks`` (first line from 1, number of lines, hash, whether it counts) to (id, th, text)."""
+    """``chunks`` (first line from 1, number of lines, hash, whether it counts) of (id, th, text)."""
 
     def line(x: Column) -> Column:
         words = F.regexp_count(x, F.lit(WORD))
@@ -31,15 +31,15 @@ def _chunks(rows: DataFrame) -> DataFrame:
         rolled = F.md5(F.concat(F.coalesce(before.h, F.lit("")), now.h))
         return F.struct((now.long | F.substring(rolled, 1, 1).isin(*BOUNDARY)).alias("ends"), now.long.alias("long"))
 
-    rows = _once(rows, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
-    rows = _once(rows, F.transform("lines", line).alias("info"))
+    own = ["id", "th"]
+    rows = _once(rows, own, F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line).alias("info"))
     nothing = F.expr("array(cast(null as struct<h:string,long:boolean,full:boolean>))")
     before = F.concat(nothing, F.slice("info", F.lit(1), F.size("info") - 1))
-    rows = _once(rows, F.zip_with("info", before, last).alias("marks"))
+    rows = _once(rows, [*own, "info"], F.zip_with("info", before, last).alias("marks"))
     after = F.concat(F.transform(F.slice("marks", F.lit(2), F.size("marks")), lambda m: m.long), F.array(F.lit(True)))
     ends = F.zip_with("marks", after, lambda m, next_long: m.ends | next_long)
     ends = F.filter(F.transform(ends, lambda e, i: F.when(e, i + 1)), lambda i: i.isNotNull())
-    rows = _once(rows, ends.alias("ends"))
+    rows = _once(rows, [*own, "info"], ends.alias("ends"))
     starts = F.concat(F.array(F.lit(1)), F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda e: e + 1))
 
     def chunk(first: Column, end: Column) -> Column:
@@ -47,7 +47,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
         counts = F.exists(part, lambda x: x.long) | (F.size(F.filter(part, lambda x: x.full)) >= 2)
         return F.struct(first.alias("first"), (end - first + 1).alias("n"), F.xxhash64(F.transform(part, lambda x: x.h)).alias("h"), counts.alias("counts"))
 
-    return rows.select("id", "th", "lines", F.zip_with(starts, "ends", chunk).alias("chunks"))
+    return rows.select(*own, F.zip_with(starts, "ends", chunk).alias("chunks"))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -111,13 +111,18 @@ def removals(docs: DataFrame, text: str = "text", passage: int | None = None) ->
     wanted = found.join(again, "h").groupBy("id", "th").agg(F.collect_set(F.struct("first", "n", "h", *kind)).alias("wanted"))
     wanted = wanted.select(F.col("id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
     texts = _keyed(docs, text).join(wanted, [*_same_row("", "w_")])
-    texts = _once(texts.select("id", "th", "text", "wanted"), F.split("text", "\n", -1).alias("lines"))
-    pieces = texts.select("id", "th", "lines", F.explode("wanted").alias("c"))
-    part = F.slice("lines", F.col("c.first"), F.col("c.n"))
-    same = F.array_join(part, "\n")
-    if passage:  # runs overlap: their digests are compared, or every text would be stored many times
-        same = F.when(F.col("c.passage"), F.sha2(F.array_join(F.filter(part, lambda x: x.rlike(WORD)), "\n"), 256)).otherwise(same)
-    pieces = pieces.select("id", "th", "c.first", "c.n", "c.h", *[f"c.{k}" for k in kind], same.alias("bytes")).distinct()
+    texts = _once(texts, ["id", "th", "wanted"], F.split("text", "\n", -1).alias("lines"))
+
+    def piece(c: Column) -> Column:
+        part = F.slice("lines", c["first"], c["n"])
+        same = F.array_join(part, "\n")
+        if passage:  # runs overlap: their digests are compared, or every text would be stored many times
+            same = F.when(c["passage"], F.sha2(F.array_join(F.filter(part, lambda x: x.rlike(WORD)), "\n"), 256)).otherwise(same)
+        return F.struct(*[c[k].alias(k) for k in ("first", "n", "h", *kind)], same.alias("bytes"))
+
+    # All pieces of a text are cut before it is taken apart, or every piece's row would carry all lines.
+    texts = _once(texts, ["id", "th"], F.transform("wanted", piece).alias("pieces"))
+    pieces = texts.select("id", "th", F.explode("pieces").alias("c")).select("id", "th", "c.*").distinct()
     pieces = stored(pieces, "line-repeats")
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("th"), F.col("first"))
     if not passage:
@@ -144,8 +149,10 @@ def dedupe(docs: DataFrame, text: str = "text", passage: int | None = None) -> D
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"))
     rows = rows.join(removals(docs, text, passage), _same_row("", "r_"), "left").select("row", "gone")
-    lines = F.split(f"row.{text}", "\n", -1)
-    left = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda x: ~F.array_contains("gone", x.i))
-    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), F.array_join(F.transform(left, lambda x: x.x), "\n")).otherwise(F.col(f"row.{text}")))
+    rows = _once(rows, ["row", "gone"], F.when(F.col("gone").isNotNull(), F.split(f"row.{text}", "\n", -1)).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")  # by hash, in order
+    rows = _once(rows, ["row", "gone", "lines"], F.when(F.col("gone").isNotNull(), stay).alias("stay"))
+    left = F.array_join(F.transform("stay", lambda i: F.element_at("lines", i)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left).otherwise(F.col(f"row.{text}")))
     kept = [F.col("left").alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != "lines_removed"]
     return rows.select(*kept, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed"))
