@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.operators import alerts, features as feats, forest as forests, kpis
 from tallywarden.operators.history import Store
+from tallywarden.operators.resume import FeatureState
 from tallywarden.operators.validate import decode_events
 from tallywarden.plans import catalog as C, scoring, training
 from tallywarden.session import build_session, cut_lineage, new_folder, prepare
@@ -41,8 +42,8 @@ def main() -> None:
         work = new_folder(spark, "bench")
         tables.messages(tx).write.parquet(f"{work}/in")
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
-        scored = jobs.scored_stream(decoded, forest, buckets=8 * int(cpus))
-        jobs.write_scored(scored, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
+        state = FeatureState(spark, f"{work}/state")
+        jobs.score_batches(decoded, forest, state, f"{work}/scored", f"{work}/checkpoint").awaitTermination()
 
     flagged = orders.withColumn("is_anomaly", orders.amount >= 0)
     store = Store(spark, new_folder(spark, "bench"))

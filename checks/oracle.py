@@ -202,6 +202,8 @@ def oracle() -> dict[str, str]:
         "feat_count_1d": _features("SELECT seq, recent_count FROM d", window_seconds=86400),
         "feat_time_since_last": _features("SELECT seq, secs_since_last FROM d"),
         "user_profile": f"SELECT user_id, count(*) AS tx_count, round(sum(amount) + 1e-9, 4) AS sum_amount, round(avg(amount) + 1e-9, 6) AS mean_amount, max(ts) AS last_ts FROM ({EVENTS}) GROUP BY user_id",
+        "resumed_features": features,
+        "resumed_hot_users": features,
         "user_amount_ema": f"""WITH r AS (SELECT user_id, amount, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM ({EVENTS}))
             SELECT user_id, count(*) AS tx_count, round(sum(CASE WHEN i = 1 THEN 1e0 ELSE 0.2e0 END * power(0.8e0, n - i) * amount), 6) AS ema_amount FROM r GROUP BY user_id""",
         "active_users_5m": f"""WITH t AS (SELECT user_id, unnest(CASE WHEN us % {tick} = 0 THEN [us // {tick}, us // {tick} + 1] ELSE [us // {tick} + 1] END) AS tick FROM ({EVENTS}))
@@ -273,4 +275,11 @@ def oracle() -> dict[str, str]:
         "stream_kpis": _scored("SELECT date_trunc('minute', ts) AS minute, count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomalies FROM x GROUP BY 1"),
         "live_view": _scored("SELECT seq, user_id, amount, ts, anomaly_score, is_anomaly FROM x ORDER BY us DESC, seq DESC LIMIT 50"),
     }
+    sql["score_natively"] = sql["score_forest"]
+    sql["stream_alerts_keyed"] = sql["alert_rate_user"]
+    sql["stream_distinct"] = f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts FROM ({EVENTS})"
+    sql["rolling_rate_all"] = _scored(
+        "SELECT seq, row_number() OVER (ORDER BY us, seq) - 1 AS position, round(100e0 * avg(CASE WHEN is_anomaly THEN 1e0 ELSE 0e0 END) OVER (ORDER BY us, seq ROWS 9 PRECEDING), 9) AS rate FROM x"
+    )
+    sql["state_profile"] = sql["user_profile"]
     return sql

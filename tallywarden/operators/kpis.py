@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywarden.functions import display as D
+from tallywarden.session import cut_lineage
 
 BUFFER_ROWS = 50
 
@@ -111,6 +112,36 @@ def rolling_rate(scored: DataFrame, window: int = 10, rows: int = BUFFER_ROWS) -
     )
 
 
+def rolling_rate_all(scored: DataFrame, window: int = 10) -> DataFrame:
+    """The same share at every event, over the last ``window`` events of all, without one task that sees them all.
+
+    Events are range-sorted and numbered through the counts of the ranges; every range gets the ``window`` - 1 events
+    before it as well, from however many ranges these come, and is then a window of its own.
+    """
+    spark = scored.sparkSession
+    placed = scored.select("seq", "us", "is_anomaly").repartitionByRange("us", "seq").sortWithinPartitions("us", "seq")
+    rows = cut_lineage(spark, placed.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    counts = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per range
+    if not counts:
+        return rows.select("seq", F.lit(0).cast("bigint").alias("position"), F.lit(0e0).alias("rate"))
+    starts, total = {}, 0
+    for part in sorted(counts):
+        starts[part], total = total, total + counts[part]
+    base = F.element_at(F.create_map(*[F.lit(x) for part, start in starts.items() for x in (part, start)]), F.col("part"))
+    numbered = rows.withColumn("position", base + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    later = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(start).alias("start")) for part, start in starts.items()])
+    near = F.filter(later, lambda r: (r.part > F.col("part")) & (r.start - F.col("position") < window))
+    # Only the last events of a range are near the start of another one.
+    last = F.col("position") >= base + F.element_at(F.create_map(*[F.lit(x) for item in counts.items() for x in item]), F.col("part")) - (window - 1)
+    ahead = numbered.where(last).select("seq", "is_anomaly", "position", F.explode(near).alias("to"))
+    both = numbered.select("part", "seq", "is_anomaly", "position", F.lit(True).alias("own")).unionByName(
+        ahead.select(F.col("to.part").alias("part"), "seq", "is_anomaly", "position", F.lit(False).alias("own"))
+    )
+    trailing = W.partitionBy("part").orderBy("position").rowsBetween(-(window - 1), W.currentRow)
+    rate = F.avg(F.col("is_anomaly").cast("double")).over(trailing) * 100
+    return both.withColumn("rate", rate).where("own").select("seq", F.col("position").cast("bigint").alias("position"), "rate")
+
+
 def anomaly_feed(scored: DataFrame, rows: int = 10, buffer_rows: int | None = BUFFER_ROWS) -> DataFrame:
     """Newest anomalies with severity and texts, from the live buffer or from all events."""
     source = scored if buffer_rows is None else live_buffer(scored, buffer_rows)

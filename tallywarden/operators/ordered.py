@@ -35,6 +35,15 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | N
     return df.sparkSession.createDataFrame([(r[0], r[1]) for r in found], schema)
 
 
+def with_key(df: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Left join with one row per key; the rows of ``hot`` keys stay where they are, their few partners are sent to them."""
+    if hot is None:
+        return df.join(one, key, "left")
+    names = F.broadcast(hot.select(key))  # fewer than rows / hot_rows keys
+    spread = df.join(names, key, "left_semi").join(F.broadcast(one.join(names, key, "left_semi")), key, "left")
+    return df.join(names, key, "left_anti").join(one, key, "left").unionByName(spread)
+
+
 def running(
     df: DataFrame,
     key: str | None,
@@ -43,26 +52,27 @@ def running(
     amount: str | None = None,
     window_us: int | None = None,
     hot_rows: int = HOT_ROWS,
+    previous: str | None = None,
 ) -> DataFrame:
     """Add ``run_count``, ``prev_us`` and, when asked for, ``run_sum`` and ``window_count``.
 
-    All values include the current row except ``prev_us``. ``window_count`` counts rows of
+    All values include the current row except ``prev_us``, the value of ``previous`` (``us``) in the row before. ``window_count`` counts rows of
     the key that arrived so far with time in [us - window_us, us], both ends inclusive.
     ``key=None`` treats the whole table as one key. Keys must not be null.
     """
     if key is None:
         whole = df.withColumn("_all", F.lit(0))
-        return _chunked(whole, "_all", us, seq, amount, window_us, None).drop("_all")
+        return _chunked(whole, "_all", us, seq, amount, window_us, None, previous).drop("_all")
     hot = hot_keys(df, key, hot_rows)
     if hot is None:
-        return _windowed(df, key, us, seq, amount, window_us)
+        return _windowed(df, key, us, seq, amount, window_us, previous)
     hot_total = hot.agg(F.sum("rows")).first()[0]
     names = hot.select(key)  # a local table: Spark sends it whole only while it is small
     cold_rows = df.join(names, key, "left_anti").select(df.columns)
     hot_only = df.join(names, key, "left_semi").select(df.columns)
     chunks = max(2, -(-2 * hot_total // hot_rows))
-    return _windowed(cold_rows, key, us, seq, amount, window_us).unionByName(
-        _chunked(hot_only, key, us, seq, amount, window_us, chunks)
+    return _windowed(cold_rows, key, us, seq, amount, window_us, previous).unionByName(
+        _chunked(hot_only, key, us, seq, amount, window_us, chunks, previous)
     )
 
 
@@ -73,11 +83,13 @@ def trailing_count(
     return running(df, key, us, seq, None, window_us, hot_rows).drop("run_count", "prev_us")
 
 
-def _windowed(df: DataFrame, key: str, us: str, seq: str, amount: str | None, window_us: int | None) -> DataFrame:
+def _windowed(
+    df: DataFrame, key: str, us: str, seq: str, amount: str | None, window_us: int | None, previous: str | None = None
+) -> DataFrame:
     in_order = W.partitionBy(key).orderBy(us, seq)
     so_far = in_order.rowsBetween(W.unboundedPreceding, W.currentRow)
     rank = F.row_number().over(in_order).cast("bigint")
-    columns: dict[str, Column] = {"run_count": rank, "prev_us": F.lag(us).over(in_order)}
+    columns: dict[str, Column] = {"run_count": rank, "prev_us": F.lag(previous or us).over(in_order)}
     if amount:
         columns["run_sum"] = F.sum(amount).over(so_far)
     if window_us is not None:
@@ -89,7 +101,8 @@ def _windowed(df: DataFrame, key: str, us: str, seq: str, amount: str | None, wi
 
 
 def _chunked(
-    df: DataFrame, key: str, us: str, seq: str, amount: str | None, window_us: int | None, chunks: int | None
+    df: DataFrame, key: str, us: str, seq: str, amount: str | None, window_us: int | None, chunks: int | None,
+    previous: str | None = None,
 ) -> DataFrame:
     payload = F.struct(*[F.col(c) for c in df.columns])
     steps = df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(seq).alias("q"), payload.alias("row"))
@@ -110,11 +123,12 @@ def _chunked(
 
     arrived = F.col("arrives") == 1
     value = F.when(arrived, F.col("row")[amount]) if amount else F.lit(0e0)
+    before_it = F.when(arrived, F.col("row")[previous or us])
     totals = rows.groupBy("k", "chunk").agg(
         F.sum("arrives").alias("n"),
         F.sum(value).alias("s"),
         F.sum(F.col("arrives") * 2 - 1).alias("d"),
-        F.max(F.when(arrived, F.col("t"))).alias("last"),
+        F.max_by(before_it, F.when(arrived, F.struct("t", "q"))).alias("last"),
     )
     # One row per chunk and key in it: fewer than chunks + hot keys, and there are half as many hot
     # keys as chunks at most. They are sent everywhere while they are few, else joined by a shuffle.
@@ -125,7 +139,7 @@ def _chunked(
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
         F.coalesce(F.sum("s").over(before), F.lit(0e0)).alias("s0"),
         F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"),
-        F.max("last").over(before).alias("last0"),
+        F.last("last", ignorenulls=True).over(before).alias("last0"),
     )
     few = (chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) <= FEW_CHUNKS
     in_chunk = W.partitionBy("k", "chunk").orderBy("t", "arrives", "q")
@@ -133,7 +147,7 @@ def _chunked(
     earlier = in_chunk.rowsBetween(W.unboundedPreceding, -1)
     columns: dict[str, Column] = {
         "run_count": F.col("n0") + F.sum("arrives").over(so_far),
-        "prev_us": F.coalesce(F.max(F.when(arrived, F.col("t"))).over(earlier), F.col("last0")),
+        "prev_us": F.coalesce(F.last(before_it, ignorenulls=True).over(earlier), F.col("last0")),
     }
     if amount:
         columns["run_sum"] = F.col("s0") + F.coalesce(F.sum(value).over(so_far), F.lit(0e0))

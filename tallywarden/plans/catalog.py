@@ -17,11 +17,12 @@ from tallywarden.functions.message import feature_map, read_scored_messages, sco
 from tallywarden.functions.parse import iso_or, iso_timestamp, json_or_raw
 from tallywarden.operators import alerts, features as feats, forest as forests, kpis, validate
 from tallywarden.operators.history import Store, union_live
+from tallywarden.operators.resume import FeatureState
 from tallywarden.plans import scoring, training
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SCORED_MESSAGE, SINCE, conformance
 from tallywarden.session import cut_lineage, new_folder, prepare
 from tallywarden.sources import tables, transactions
-from tallywarden.streaming import jobs
+from tallywarden.streaming import alerts as keyed, jobs
 from tallywarden.streaming.features import features_stream
 
 THRESHOLD = 0.6
@@ -417,6 +418,36 @@ def user_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _days(spark: SparkSession, folder: str, state: FeatureState) -> DataFrame:
+    """All events, ten days at a time, each part starting from the state that the parts before have left."""
+    tx = tables.from_events(spark, folder).drop("event")
+    part = F.floor(F.col("us") / (10 * DAY * 1_000_000))
+    out = None
+    for version in sorted(r.part for r in tx.select(part.alias("part")).distinct().collect()):  # one number per part
+        found = state.advance(tx.where(part == version), version)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def resumed_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features from stored state, part by part: no part reads the rows of another."""
+    return _plain(_days(spark, folder, FeatureState(spark, new_folder(spark, "state"), merge_every=2)), "seq", "user_id", _ntz("ts"))
+
+
+def resumed_hot_users(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the hot-key form for every user of a few rows."""
+    return _plain(_days(spark, folder, FeatureState(spark, new_folder(spark, "state"), hot_rows=40)), "seq", "user_id", _ntz("ts"))
+
+
+def state_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The user profile, read from the state that features were resumed from."""
+    state = FeatureState(spark, new_folder(spark, "state"))
+    _days(spark, folder, state)
+    return state.profile().select(
+        "user_id", "tx_count", F.round(F.col("sum_amount") + 1e-9, 4).alias("sum_amount"), F.round(F.col("mean_amount") + 1e-9, 6).alias("mean_amount"), _ntz("last_ts"),
+    )
+
+
 def user_amount_ema(spark: SparkSession, folder: str) -> DataFrame:
     ema = feats.user_amount_ema(tables.from_events(spark, folder))
     return ema.select("user_id", "tx_count", F.round("ema_amount", 6).alias("ema_amount"))
@@ -438,6 +469,12 @@ def score_flag(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(spark, folder).select("seq", "user_id", _score(), "is_anomaly")
 
 
+def score_natively(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores without Python workers."""
+    rows = feats.features(tables.from_events(spark, folder))
+    return forests.score_natively(rows, fixed_forest()).select("seq", _score())
+
+
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of a forest that was saved and loaded again."""
     path = new_folder(spark, "forest")
@@ -504,9 +541,12 @@ def train_sanity(spark: SparkSession, folder: str) -> DataFrame:
 def train_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of each tree of the 100-tree model over all dimensions of the embeddings."""
     vectors = tables.table(spark, folder, "embeddings")
-    wide = len(vectors.select("embedding").where("embedding IS NOT NULL").first()[0])
+    lengths = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("wide")).agg(F.count("*").alias("rows")).orderBy("wide").limit(10).collect()
+    if len(lengths) != 1:
+        raise ValueError(f"vectors of one length are needed; rows per length: { {r.wide: r.rows for r in lengths} }")
+    wide = lengths[0].wide
     names = [f"V{i + 1}" for i in range(wide)]
-    rows = vectors.where(F.size("embedding") == wide).select(F.col("vec_id").alias("seq"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").alias("seq"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     return _tree_facts(training.train_wide(rows, names, "seq"), rows)
 
 
@@ -628,6 +668,11 @@ def rolling_rate_10(spark: SparkSession, folder: str) -> DataFrame:
     return rates.select("seq", "position", F.round("rate", 9).alias("rate"), "rate_text")
 
 
+def rolling_rate_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The rolling rate at every event."""
+    return kpis.rolling_rate_all(_scored(spark, folder)).select("seq", "position", F.round("rate", 9).alias("rate"))
+
+
 def anomaly_feed(spark: SparkSession, folder: str) -> DataFrame:
     return kpis.anomaly_feed(_scored(spark, folder))
 
@@ -761,13 +806,14 @@ def _rounds(spark: SparkSession, folder: str, work: str, rounds: int = 2):
 def _score_rounds(spark: SparkSession, folder: str, work: str, *followers: Callable[[DataFrame], object]) -> DataFrame:
     """Run the scoring job and its followers once per round; returns the scored table."""
     processed = F.col("ts") + F.expr(f"INTERVAL {PROCESSING_SECONDS} SECONDS")
+    state = FeatureState(spark, f"{work}/state")
+    table = jobs.scored_folders(f"{work}/scored")
     for _ in _rounds(spark, folder, work):
         decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
-        scored = jobs.scored_stream(decoded, fixed_forest(), THRESHOLD, processed=processed)
-        jobs.write_scored(scored, f"{work}/scored", f"{work}/scored-checkpoint").awaitTermination()
+        jobs.score_batches(decoded, fixed_forest(), state, f"{work}/scored", f"{work}/scored-checkpoint", THRESHOLD, processed=processed).awaitTermination()
         for start in followers:
-            start(jobs.follow(spark, f"{work}/scored")).awaitTermination()
-    return spark.read.schema(jobs.SCORED).parquet(f"{work}/scored")
+            start(jobs.follow(spark, table)).awaitTermination()
+    return spark.read.schema(jobs.SCORED).parquet(table)
 
 
 def stream_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -815,6 +861,29 @@ def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     return both[0].unionByName(both[1]).select("scope", "alert_key", "seq", "user_id", "window_count")
 
 
+def stream_alerts_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate alerts per user from keyed state."""
+    work = new_folder(spark, "stream")
+
+    def job(s: DataFrame):
+        return keyed.write_keyed_alerts(keyed.keyed_rate_alerts(s, 1, ALERT_WINDOW), f"{work}/alerts", f"{work}/alerts-checkpoint")
+
+    _score_rounds(spark, folder, work, job)
+    return spark.read.schema(keyed._OUT).parquet(f"{work}/alerts").select("alert_key", "seq", "user_id", "window_count")
+
+
+def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message sent twice, in two rounds; each transaction is kept once."""
+    work = new_folder(spark, "stream")
+    for _ in range(2):
+        _stage(tables.messages(tables.from_events(spark, folder)), f"{work}/in")
+        decoded = transactions.transactions(transactions.read_message_files(spark, f"{work}/in", None))
+        kept = transactions.without_repeats(decoded, 365 * DAY)
+        writer = kept.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
+        writer.trigger(availableNow=True).start(f"{work}/out").awaitTermination()
+    return spark.read.schema(decoded.schema).parquet(f"{work}/out").select("seq", "transaction_id", "user_id", "amount", _ntz("ts"))
+
+
 def stream_kpis(spark: SparkSession, folder: str) -> DataFrame:
     work = new_folder(spark, "stream")
     _score_rounds(spark, folder, work, lambda s: jobs.minute_stream(s, f"{work}/minutes", f"{work}/minutes-checkpoint"))
@@ -845,14 +914,14 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     parse_json_props, json_raw_fallback, parse_timestamps, validate_events, fill_policy, skip_policy, zero_score_policy, quality_assert,
     clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check,
     features, features_orders, features_hot_users, feat_running_mean, feat_count_60s, feat_count_1d,
-    feat_time_since_last, user_profile, user_amount_ema, active_users_5m,
-    score_forest, score_flag, score_sql, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
+    feat_time_since_last, user_profile, resumed_features, resumed_hot_users, state_profile, user_amount_ema, active_users_5m,
+    score_forest, score_flag, score_sql, score_natively, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
     explain, explain_flagged, explain_amounts,
     alert_score_above, alert_score_below, alert_rate_global, alert_rate_user, alert_rate_global_ties, alert_rate_user_hot,
     kpi_totals, anomalies_per_minute, anomalies_all_minutes, latest_score, anomaly_fraction, anomaly_samples, first_rows,
-    live_buffer_50, sparkline_20, score_trend, rolling_rate_10, anomaly_feed, anomaly_feed_all, txn_table, display_orders,
+    live_buffer_50, sparkline_20, score_trend, rolling_rate_10, rolling_rate_all, anomaly_feed, anomaly_feed_all, txn_table, display_orders,
     persist_tables, init_tables, history_recent, history_since, history_union_live, history_union_live_newest, fk_orphans,
-    stream_features, stream_score, stream_publish, stream_alerts, stream_kpis, stream_totals, stream_score_alerts, live_view,
+    stream_features, stream_score, stream_publish, stream_alerts, stream_alerts_keyed, stream_distinct, stream_kpis, stream_totals, stream_score_alerts, live_view,
 ]
 
 

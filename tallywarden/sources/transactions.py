@@ -68,6 +68,18 @@ def transactions(messages: DataFrame) -> DataFrame:
     return decode_events(messages)
 
 
+def without_repeats(decoded: DataFrame, delay_seconds: int = 600) -> DataFrame:
+    """A stream of decoded transactions without those whose transaction id came before, off unless it is called.
+
+    An id is remembered for ``delay_seconds`` after its arrival at least, then forgotten, so the state is bounded; a repeat that
+    comes later passes. The arrival counts, not the event time: no event is ever too late for it, so none is lost.
+    Messages without an id all pass.
+    """
+    named = F.coalesce(F.concat(F.lit("i"), F.col("transaction_id")), F.concat(F.lit("s"), F.col("seq").cast("string")))
+    rows = decoded.withColumns({"_arrived": F.current_timestamp(), "_name": named}).withWatermark("_arrived", f"{int(delay_seconds)} seconds")
+    return rows.dropDuplicatesWithinWatermark(["_name"]).drop("_arrived", "_name")
+
+
 def replay(tx: DataFrame, count: int = 50) -> DataFrame:
     """The first ``count`` transactions in event order."""
     if int(count) < 1:

@@ -20,6 +20,7 @@ from tallywarden.operators.alerts import UNKNOWN_USER, score_alerts
 from tallywarden.operators.forest import Forest
 from tallywarden.operators.history import Store
 from tallywarden.operators.ordered import trailing_count
+from tallywarden.operators.resume import FeatureState
 from tallywarden.operators.validate import rejected_rows, valid_rows, with_rejects_filled
 from tallywarden.plans.scoring import judge
 from tallywarden.schemas import DEFAULT_THRESHOLD, DEFAULT_WINDOW_SECONDS, FEATURE_VECTOR, MICROS
@@ -45,6 +46,9 @@ SCORED = T.StructType(
 )
 _ALERT = "alert_key string, seq bigint, user_id string, us bigint, ts timestamp, anomaly_score double"
 _TAIL = f"{_ALERT}, seen_us bigint"
+_MINUTES = "minute timestamp, total_events bigint, anomalies bigint, newest timestamp"
+#: Batches after which closed minutes are written together.
+MERGE_EVERY = 64
 #: How much later than the newest event a late one may come and still find all its peers.
 LATENESS_SECONDS = 600
 
@@ -73,6 +77,44 @@ def write_scored(scored: DataFrame, path: str, checkpoint: str, available_now: b
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
+def score_batches(
+    decoded: DataFrame,
+    forest: Forest,
+    state: FeatureState,
+    path: str,
+    checkpoint: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    fill_missing: bool = False,
+    processed: Column | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """The scored table from features that start from stored state, batch by batch: a hot user's rows of a batch are many tasks' work.
+
+    Each batch is one folder of the table (``scored_folders``) and one version of the state. A batch that is tried again
+    computes the same state, and leaves its folder as it is once that is whole, so followers see each row once.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = cut_lineage(spark, batch)
+        featured = state.advance(valid_rows(rows), batch_id)
+        target = f"{path}/batch-{batch_id:012d}"
+        if _exists(spark, f"{target}/_SUCCESS"):
+            return
+        if fill_missing:
+            featured = with_rejects_filled(featured, rejected_rows(rows)).fillna({"is_late": False})
+        judged = judge(featured.withColumn("ts", F.timestamp_micros("us")), forest, threshold, fill_missing)
+        stamped = judged.withColumn("processed_ts", F.current_timestamp() if processed is None else processed)
+        with_transaction_id(stamped).select(SCORED.fieldNames()).write.mode("overwrite").parquet(target)
+
+    return per_batch(decoded, handle, checkpoint, available_now=available_now)
+
+
+def scored_folders(path: str) -> str:
+    """The folders of a table that ``score_batches`` writes, for ``follow`` and for batch readers."""
+    return f"{path}/batch-*"
+
+
 def follow(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The scored table as a stream."""
     reader = spark.readStream.schema(SCORED)
@@ -165,23 +207,62 @@ def rate_alerts_so_far(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, f"{path}/alerts", f"{_ALERT}, window_count bigint, batch_id bigint").drop("batch_id")
 
 
-def minute_stream(scored: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Events and anomalies per event-time minute; each batch writes the minutes it changed."""
-    minutes = scored.groupBy(F.window("ts", "1 minute").start.alias("minute")).agg(
-        F.count("*").alias("total_events"), F.count_if("is_anomaly").alias("anomalies")
-    )
+def minute_stream(
+    scored: DataFrame, path: str, checkpoint: str, delay_seconds: int = LATENESS_SECONDS, merge_every: int = MERGE_EVERY, **options
+) -> StreamingQuery:
+    """Events and anomalies per event-time minute, with a bounded state.
+
+    Minutes stay open until the newest event is ``delay_seconds`` past them: each batch adds its counts to the
+    open minutes of the batch before and writes those that are left open, then forgets older versions. A minute that closes goes to
+    a table of closed ones, which is merged every ``merge_every`` batches. An event that comes later than the delay is not
+    lost: it is a further row of its closed minute, and rows of a minute are summed by readers. A time that lies after the event's own processing
+    time (a wrong clock) closes no other minute. Events without a time are in no minute.
+    """
+    counts = [F.sum("total_events").alias("total_events"), F.sum("anomalies").alias("anomalies"), F.max("newest").alias("newest")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        seen = F.least("ts", F.coalesce("processed_ts", "ts"))
+        own = batch.where("ts IS NOT NULL").groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
+            F.count("*").alias("total_events"), F.count_if("is_anomaly").alias("anomalies"), F.max(seen).alias("newest")
+        )
+        open_before = _version(spark, f"{path}/open", _MINUTES, batch_id - 1)
+        both = cut_lineage(spark, own.unionByName(open_before).groupBy("minute").agg(*counts))  # one row per open minute
+        newest = both.agg(F.max("newest")).first()[0]
+        past = F.col("minute") < F.date_trunc("minute", F.lit(newest) - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS"))
+        closed = both.where(F.coalesce(past, F.lit(False)))
+        still = both.where(~F.coalesce(past, F.lit(False)))
+        if newest is not None:  # the newest time is known even if no minute is left open
+            still = still.withColumn("newest", F.lit(newest))
+        merged, base = _merged(spark, f"{path}/closed", batch_id)
+        if batch_id - base >= merge_every:
+            closed = merged.unionByName(closed).groupBy("minute").agg(*counts)
+            closed.write.mode("overwrite").parquet(f"{path}/closed/all{batch_id}")
+        else:
+            closed.write.mode("overwrite").parquet(f"{path}/closed/v{batch_id}")
+        still.write.mode("overwrite").parquet(f"{path}/open/v{batch_id}")
+        _forget(spark, f"{path}/open", batch_id - 1)  # a retry needs the batch before only
+        if batch_id - base >= merge_every:
+            _forget(spark, f"{path}/closed", base)  # and the merged table before
+
+    return per_batch(scored, handle, checkpoint, **options)
 
-    return per_batch(minutes, handle, checkpoint, mode="update", **options)
+
+def _merged(spark: SparkSession, path: str, before: int) -> tuple[DataFrame, int]:
+    """The closed minutes of the batches below ``before``, and the batch up to which they are merged (-1: none)."""
+    names = [n for n in _folders(spark, path) if int(n.lstrip("alv")) < before]
+    base = max([int(n[3:]) for n in names if n.startswith("all")], default=-1)
+    wanted = [n for n in names if n == f"all{base}" or n.startswith("v") and int(n[1:]) > base]
+    if not wanted:
+        return spark.createDataFrame([], _MINUTES), base
+    return spark.read.schema(_MINUTES).parquet(*[f"{path}/{n}" for n in wanted]), base
 
 
 def minutes_so_far(spark: SparkSession, path: str) -> DataFrame:
-    """The newest counts of every minute."""
-    schema = "minute timestamp, total_events bigint, anomalies bigint, batch_id bigint"
-    newest = F.max_by(F.struct("total_events", "anomalies"), "batch_id")
-    return _read(spark, path, schema).groupBy("minute").agg(newest.alias("c")).select("minute", "c.*")
+    """The counts of every minute: the current version of the open ones, and the closed ones."""
+    newest = max([int(n[1:]) for n in _folders(spark, f"{path}/open")], default=-1)
+    rows = _merged(spark, f"{path}/closed", newest + 1)[0].unionByName(_version(spark, f"{path}/open", _MINUTES, newest))
+    return rows.groupBy("minute").agg(F.sum("total_events").alias("total_events"), F.sum("anomalies").alias("anomalies"))
 
 
 def totals_so_far(spark: SparkSession, path: str) -> DataFrame:
@@ -194,22 +275,47 @@ def totals_so_far(spark: SparkSession, path: str) -> DataFrame:
 
 
 def live_view(scored: DataFrame, path: str, checkpoint: str, rows: int = kpis.BUFFER_ROWS, **options) -> StreamingQuery:
-    """Keep the newest rows: each batch merges its newest with those of the batch before."""
+    """Keep the newest rows: each batch merges its newest with those of the batch before, whose version is then forgotten by the next."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _read(spark, f"{path}/batch_id={batch_id - 1}", SCORED)
+        before = _version(spark, path, SCORED, batch_id - 1)
         both = batch.unionByName(before).orderBy(F.desc("us"), F.desc("seq")).limit(rows)
-        both.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        both.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        _forget(spark, path, batch_id - 1)
 
     return per_batch(scored, handle, checkpoint, **options)
 
 
 def live_rows_now(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the newest batch."""
-    views = _read(spark, path, T.StructType([*SCORED.fields, T.StructField("batch_id", T.LongType())]))
-    newest = views.agg(F.max("batch_id")).first()[0]
-    return views.where(F.col("batch_id") == (-1 if newest is None else newest)).drop("batch_id")
+    """The rows of the newest batch; no other version is opened."""
+    return _version(spark, path, SCORED, max([int(n[1:]) for n in _folders(spark, path)], default=-1))
+
+
+def _version(spark: SparkSession, path: str, schema: T.StructType | str, number: int) -> DataFrame:
+    return _read(spark, f"{path}/v{number}", schema)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole tables below a folder: those that their job has marked as done."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    return [n for n in names if _exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
+def _forget(spark: SparkSession, path: str, below: int) -> None:
+    """Delete the versions below a number."""
+    for name in _folders(spark, path):
+        if int(name.lstrip("alv")) < below:
+            _remove(spark, f"{path}/{name}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
