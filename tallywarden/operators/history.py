@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timezone
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,25 @@ from pyspark.sql import types as T
 
 from tallywarden.functions.parse import iso_or, json_or_raw
 from tallywarden.schemas import ANOMALIES, FEATURE_ROWS, FEATURES, RAW_EVENTS
+from tallywarden.session import cut_lineage
 
 TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMALIES}
 #: Requests up to this many rows pick their ids first; larger ones join first.
 PICKED = 1000
 DEFAULT_LIMIT = 100
-COMMITS = "batch_id bigint, attempt string, committed timestamp"
+COMMITS = "batch_id bigint, attempt string, number bigint, processed_date date, rows bigint"
+#: Commits after which they are written together.
+MERGE_EVERY = 64
 
 
 class Store:
-    """Parquet tables below one folder, laid out as batch_id=.../attempt=.../processed_date=....
+    """Parquet tables below one folder, laid out as processed_date=.../batch_id=.../attempt=....
 
-    Every attempt at a batch writes folders of its own, and one small row in ``commits`` when all three
-    tables are written. Readers see the last committed attempt of each batch: a batch appears in all
-    tables at once or not at all, and a repeated one replaces the former without a gap. Folders of
-    other attempts can be deleted when no reader is left that began before. ``seq`` is the id
+    Every attempt at a batch writes folders of its own, and when all three tables are written one small
+    table in ``commits``: a row per day with its number of records. Readers see the last committed attempt of each
+    batch, by the number of the commit: a batch appears in all tables at once or not at all, and a repeated one replaces
+    the former without a gap. Every 64 commits they are written together, the last attempts only. Folders of
+    other attempts can be deleted when no reader is left that began before. One job writes to a store at a time. ``seq`` is the id
     of the event in all three tables.
     """
 
@@ -42,7 +47,7 @@ class Store:
         """The committed rows of a table, empty when nothing has been stored yet."""
         parts = [T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("processed_date", T.DateType())]
         rows = self._read(name, T.StructType([*TABLES[name].fields, *parts]))
-        last = self._read("commits", COMMITS).groupBy("batch_id").agg(F.max_by("attempt", "committed").alias("attempt"))
+        last = self.commits().select("batch_id", "attempt").distinct()
         return rows.join(last, ["batch_id", "attempt"]).select(*[f.name for f in TABLES[name].fields], "batch_id", "processed_date")
 
     def _read(self, name: str, schema: T.StructType | str) -> DataFrame:
@@ -53,12 +58,34 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def commits(self) -> DataFrame:
+        """Rows (batch_id, attempt, number, processed_date, rows) of the last attempt of each batch."""
+        paths, _ = self._commit_folders()
+        if not paths:
+            return self.spark.createDataFrame([], COMMITS)
+        rows = self.spark.read.schema(COMMITS).parquet(*paths)
+        last = rows.groupBy("batch_id").agg(F.max("number").alias("number"))
+        return rows.join(last, ["batch_id", "number"]).select("batch_id", "attempt", "number", "processed_date", "rows")
+
+    def _commit_folders(self) -> tuple[list[str], int]:
+        """Folders that hold the commits, from the last merged one on; and the number of the next commit."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+        done = [n for n in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}/_SUCCESS"))]
+        base = max((int(n[3:]) for n in done if n.startswith("all")), default=-1)
+        later = sorted(int(n[1:]) for n in done if n.startswith("c") and int(n[1:]) > base)
+        numbers = [f"c{n}" for n in later]
+        return [f"{self.path}/commits/{n}" for n in ([f"all{base}"] if base >= 0 else []) + numbers], max([base, *later], default=-1) + 1
+
     def append(self, scored: DataFrame, batch_id: int = 0) -> None:
         """Store scored events (needs seq, event, ts, features, score, flag, processed_ts).
 
-        The input is read once per table: give a stored frame rather than a long plan.
+        The input is read once: its rows are gathered by day, large days split, and stored; the three tables are written from that.
         """
-        self.write(self.frames(scored), batch_id)
+        columns = ["seq", "transaction_id", "event", "ts", "processed_ts", *FEATURES, "anomaly_score", "is_anomaly"]
+        day = scored.select(*columns, F.to_date("processed_ts").alias("day")).hint("rebalance", "day")
+        self._write(self.frames(cut_lineage(self.spark, day)), batch_id)
 
     def frames(self, scored: DataFrame) -> dict[str, DataFrame]:
         """The rows of the three tables."""
@@ -90,13 +117,52 @@ class Store:
 
     def write(self, frames: dict[str, DataFrame], batch_id: int = 0) -> None:
         """Write a batch's rows of the three tables, then commit them together."""
+        # Rebalancing gathers a day's rows and splits large days: few files of even size.
+        self._write({name: frame.hint("rebalance", "processed_date") for name, frame in frames.items()}, batch_id)
+
+    def _write(self, frames: dict[str, DataFrame], batch_id: int) -> None:
         attempt = uuid.uuid4().hex
-        for name, frame in frames.items():
-            target = f"{self.path}/{name}/batch_id={batch_id}/attempt={attempt}"
-            # Rebalancing gathers a day's rows and splits large days: few files of even size.
-            frame.hint("rebalance", "processed_date").write.partitionBy("processed_date").parquet(target)
-        done = self.spark.createDataFrame([(int(batch_id), attempt)], "batch_id bigint, attempt string")
-        done.coalesce(1).withColumn("committed", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/commits")
+        named = {"batch_id": F.lit(int(batch_id)), "attempt": F.lit(attempt)}
+
+        def one(item: tuple[str, DataFrame]) -> None:
+            name, frame = item
+            frame.withColumns(named).write.partitionBy("processed_date", "batch_id", "attempt").mode("append").parquet(f"{self.path}/{name}")
+
+        with ThreadPoolExecutor(len(frames)) as pool:  # three independent jobs
+            list(pool.map(one, frames.items()))
+        folders, number = self._commit_folders()
+        days = frames["anomalies"].groupBy("processed_date").agg(F.count("*").alias("rows"))
+        # A batch without rows commits as well: it may replace one that had some.
+        days = days.unionByName(self.spark.createDataFrame([(None, 0)], "processed_date date, rows bigint"))
+        done = days.select(F.lit(int(batch_id)).cast("bigint").alias("batch_id"), F.lit(attempt).alias("attempt"), F.lit(number).cast("bigint").alias("number"), "processed_date", "rows")
+        done.coalesce(1).write.parquet(f"{self.path}/commits/c{number}")
+        if len(folders) >= MERGE_EVERY:
+            self.commits().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/all{number}")
+            self._forget(number)
+
+    def _forget(self, number: int) -> None:
+        """Delete commits that a merged one before the newest holds as well: a reader that began before the merge still finds its own."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(place)]
+        merged = sorted(int(n[3:]) for n in names if n.startswith("all"))
+        before = merged[-2] if len(merged) > 1 else -1
+        for n in names:
+            if int(n.lstrip("alc")) <= before and n != f"all{before}":
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}"), True)
+
+    def oldest_day(self, limit: int) -> date | None:
+        """The day from which on the newest days hold ``limit`` records; None if all days are needed.
+
+        Records without a processing time have no day and come last.
+        """
+        days = self.commits().groupBy("processed_date").agg(F.sum("rows").alias("rows")).orderBy(F.desc_nulls_last("processed_date")).collect()  # one row per day
+        seen = 0
+        for day in days:
+            seen += day.rows
+            if seen >= limit:
+                return day.processed_date
+        return None
 
     def recent(self, limit: int = DEFAULT_LIMIT, since: datetime | str | None = None) -> DataFrame:
         """The newest records by processing time, optionally only from ``since`` on.
@@ -114,20 +180,22 @@ class Store:
                 (F.col("processed_timestamp") >= F.lit(moment)) & (F.col("processed_date") >= F.lit(moment.date()))
             )
         else:
-            anomalies = _newest_days(anomalies, int(limit))
+            day = self.oldest_day(int(limit))
+            anomalies = anomalies if day is None else anomalies.where(F.col("processed_date") >= F.lit(day))
         picked = _newest(anomalies, limit).collect() if limit <= PICKED else []
         if picked:
             top = self.spark.createDataFrame(picked, anomalies.schema)
             batches = sorted({r.batch_id for r in picked if r.batch_id is not None})
             days = sorted({r.processed_date for r in picked if r.processed_date is not None})
             ids = [r.raw_event_id for r in picked]
-            joined = self._joined(
+            found = self._joined(
                 F.broadcast(top),  # at most PICKED rows
                 _within(self.table("raw_events"), "id", ids, batches, days),
                 _within(self.table("features"), "raw_event_id", ids, batches, days),
             )
-            if joined.count() == len(picked):
-                return _shaped(_newest(joined, limit))
+            rows = found.collect()  # no more than were picked
+            if len(rows) == len(picked):
+                return _shaped(_newest(self.spark.createDataFrame(rows, found.schema), limit))
         whole = self.table("anomalies") if since is None else anomalies
         return _shaped(_newest(self._joined(whole, self.table("raw_events"), self.table("features")), limit))
 
@@ -153,20 +221,6 @@ def parse_since(since: datetime | str) -> datetime:
     return moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment.astimezone(timezone.utc)
 
 
-def _newest_days(anomalies: DataFrame, limit: int) -> DataFrame:
-    """The newest days that hold ``limit`` rows: rows are counted from file footers, older days are not read.
-
-    Rows without a processing time have no day and come last.
-    """
-    days = anomalies.groupBy("processed_date").count().orderBy(F.desc_nulls_last("processed_date")).collect()  # one row per day
-    seen = 0
-    for day in days:
-        seen += day["count"]
-        if seen >= limit and day.processed_date is not None:
-            return anomalies.where(F.col("processed_date") >= F.lit(day.processed_date))
-    return anomalies
-
-
 def _newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("processed_timestamp"), F.desc("id")).limit(int(limit))
 

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tallywarden.operators import history
 from tallywarden.operators.history import Store, parse_since, union_live
 from tallywarden.schemas import FEATURES, HISTORY, conformance
 
@@ -107,10 +108,21 @@ def test_recent_reads_the_newest_days_only(spark, work, scored):
     store = Store(spark, work)
     store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(100)]))
     assert [r.anomaly_row_id for r in store.recent(15).collect()] == list(range(99, 84, -1))
-    from tallywarden.operators.history import _newest_days
+    assert store.oldest_day(15) == (NOW + timedelta(days=8)).date() and store.oldest_day(1000) is None
+    store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(90, 95)]), 0)  # the batch again, smaller
+    assert store.oldest_day(5) == (NOW + timedelta(days=9)).date() and store.oldest_day(6) is None
+    store.append(scored([(1, "{}", 0.5, False, NOW)]).where("false"), 0)  # and empty
+    assert store.recent(5).count() == 0 and store.table("raw_events").count() == 0
 
-    assert _newest_days(store.table("anomalies"), 15).count() == 20
-    assert _newest_days(store.table("anomalies"), 1000).count() == 100
+
+def test_commits_are_merged(spark, work, scored, monkeypatch):
+    monkeypatch.setattr(history, "MERGE_EVERY", 3)
+    store = Store(spark, work)
+    for n in range(9):
+        store.append(scored([(n, "{}", 0.1 * n, False, NOW + timedelta(seconds=n))]), n % 7)
+    assert sorted(r.anomaly_row_id for r in store.recent(20).collect()) == [2, 3, 4, 5, 6, 7, 8]
+    assert len(store._commit_folders()[0]) <= 4 and store.commits().count() == 14  # a day's and an empty row per batch
+    assert store.table("features").count() == 7
 
 
 def test_a_batch_without_commit_is_not_seen(spark, work, scored):
