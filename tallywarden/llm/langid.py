@@ -23,7 +23,7 @@ STEPS, MORE_STEPS = 12, 4
 #: Languages that a model may hold: with them it takes 64 MB.
 MOST_LANGUAGES = 1000
 #: Bytes of text whose n-grams are held at once: an n-gram takes some 30 bytes of arrays.
-STEP = 1_000_000
+STEP = 250_000
 #: Noise must explain a text so many times better than its languages, and than the letters of all texts, before it counts as noise.
 NOISE_ODDS = 20
 #: A text with fewer letters is no noise, and neither are letters of a script that all texts together have fewer of.
@@ -277,7 +277,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", penalty: float =
     is at least the gain that these give over letters drawn evenly, which needs no label of the text's language
     and is 0 where nothing can be said: few letters, or a script that is rare in all texts.
 
-    Steps of some 1 MB (less with many languages) are held as arrays; of a longer text only the counts of its n-grams.
+    Steps of some 250 kB (less with many languages) are held as arrays; of a longer text only the counts of its n-grams.
     """
     added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
     if gain:
