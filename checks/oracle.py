@@ -275,6 +275,17 @@ def oracle() -> dict[str, str]:
         "stream_kpis": _scored("SELECT date_trunc('minute', ts) AS minute, count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomalies FROM x GROUP BY 1"),
         "live_view": _scored("SELECT seq, user_id, amount, ts, anomaly_score, is_anomaly FROM x ORDER BY us DESC, seq DESC LIMIT 50"),
     }
+    sql["src_latest"] = f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts FROM ({EVENTS}) WHERE event_type <> 'view'"
+    sql["contamination_sketch"] = "SELECT count(*) AS events, count(*) AS sketched, true AS within_error FROM events"
+    field_rows = "('(message)', 'object', [11], [11]), ('transaction_id', 'string', [11], []), ('user_id', 'string', [1, 2, 11], []), ('amount', 'number', [3, 4, 11], [5, 6]), ('timestamp', 'string', [8, 10, 11], [])"
+    sql["schema_check_events"] = f"""SELECT field, expected, count(*) AS rows, count(*) FILTER (NOT list_contains(absent, seq % 20)) AS present, count(*) FILTER (list_contains(bad, seq % 20)) AS wrong
+        FROM ({EVENTS}), (VALUES {field_rows}) f(field, expected, absent, bad) GROUP BY field, expected"""
+    record_fields = ", ".join(
+        f"('{n}', '{t}')"
+        for n, t in [("anomaly_row_id", "bigint"), ("anomaly_score", "double"), ("is_anomaly", "boolean"), ("processed_timestamp", "timestamp"), ("event", "object"),
+                     ("event.transaction_id", "string"), ("event.user_id", "string"), ("event.amount", "number"), ("event.timestamp", "string"), ("features", "numbers")]
+    )
+    sql["schema_check_history"] = f"SELECT field, expected, n AS rows, n AS present, CAST(0 AS BIGINT) AS wrong FROM (VALUES {record_fields}) f(field, expected), (SELECT count(*) AS n FROM events)"
     sql["score_natively"] = sql["score_forest"]
     sql["stream_alerts_keyed"] = sql["alert_rate_user"]
     sql["stream_distinct"] = f"SELECT seq, CAST(seq AS VARCHAR) AS transaction_id, user_id, amount, ts FROM ({EVENTS})"

@@ -15,9 +15,10 @@ from tallywarden.functions import display as D
 from tallywarden.functions.explain import explanations
 from tallywarden.functions.message import feature_map, read_scored_messages, scored_messages, transaction_messages, with_transaction_id
 from tallywarden.functions.parse import iso_or, iso_timestamp, json_or_raw
-from tallywarden.operators import alerts, features as feats, forest as forests, kpis, validate
+from tallywarden.operators import alerts, conform, features as feats, forest as forests, kpis, validate
 from tallywarden.operators.history import Store, union_live
 from tallywarden.operators.resume import FeatureState
+from tallywarden.operators.sketch import ScoreSketches, rank_error
 from tallywarden.plans import scoring, training
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SCORED_MESSAGE, SINCE, conformance
 from tallywarden.session import cut_lineage, new_folder, prepare
@@ -153,6 +154,25 @@ def src_transactions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def src_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream that begins at the newest file: events of type view lay in the folder before, the others come later in two parts."""
+    work = new_folder(spark, "src")
+    tx = tables.from_events(spark, folder)
+    _stage(tables.messages(tx.where("event_type = 'view'")), f"{work}/in")
+    for part in (0, 1):
+        rows = transactions.read_new_message_files(spark, f"{work}/in", f"{work}/start", None)
+        if part == 0:  # begun once while only old files are there
+            _drained(rows, work)
+        _stage(tables.messages(tx.where(f"event_type <> 'view' AND seq % 2 = {part}")), f"{work}/in")
+        _drained(transactions.read_new_message_files(spark, f"{work}/in", f"{work}/start", None), work)
+    return transactions.transactions(spark.read.schema(transactions.MESSAGE).parquet(f"{work}/out")).select("seq", "transaction_id", "user_id", "amount", _ntz("ts"))
+
+
+def _drained(rows: DataFrame, work: str) -> None:
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{work}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{work}/out").awaitTermination()
+
+
 def src_replay_limit(spark: SparkSession, folder: str) -> DataFrame:
     replayed = transactions.replay(tables.from_events(spark, folder), 80)
     return replayed.select("seq", "transaction_id", "user_id", "amount", _ntz("ts"))
@@ -373,6 +393,16 @@ def schema_check(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select(F.inline(F.array(*items)))
 
 
+def schema_check_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of plain messages, some of them missing, null or of another type."""
+    return conform.check_events(_dirty_messages(spark, folder))
+
+
+def schema_check_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of all history records and of the events in them."""
+    return conform.check_records(_stored(spark, folder)[0].recent((1 << 31) - 1))
+
+
 # Features --------------------------------------------------------------------------------
 
 
@@ -559,6 +589,20 @@ def contamination_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.round("threshold", 9).alias("threshold"))
 
 
+def contamination_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """The cut-off from one sketch per ten days: does its rank lie within the stated error?"""
+    scored = cut_lineage(spark, _scored(spark, folder))
+    sketches = ScoreSketches(spark, new_folder(spark, "sketches"))
+    part = F.floor(F.col("us") / (10 * DAY * 1_000_000))
+    for version in sorted(r.part for r in scored.select(part.alias("part")).distinct().collect()):  # one number per part
+        sketches.add(scored.where(part == version), version)
+    found = sketches.threshold(0.01).first()
+    above, below = F.count_if(F.col("anomaly_score") > found.threshold), F.count_if(F.col("anomaly_score") < found.threshold)
+    slack = F.ceil(F.count("*") * rank_error()) + 1
+    within = (above <= F.count("*") * 0.01 + slack) & (below <= F.count("*") * 0.99 + slack)
+    return scored.agg(F.count("*").alias("events"), F.lit(found.scores).alias("sketched"), within.alias("within_error"))
+
+
 def explain(spark: SparkSession, folder: str) -> DataFrame:
     """Reasons of every event with a one-day window, so that all count limits occur."""
     rows = feats.features(tables.from_events(spark, folder), DAY)
@@ -910,12 +954,12 @@ def live_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    src_transactions, src_replay_limit, src_csv, sink_csv, sink_json_lines, msg_transactions, msg_scored, msg_event_keys,
+    src_transactions, src_latest, src_replay_limit, src_csv, sink_csv, sink_json_lines, msg_transactions, msg_scored, msg_event_keys,
     parse_json_props, json_raw_fallback, parse_timestamps, validate_events, fill_policy, skip_policy, zero_score_policy, quality_assert,
-    clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check,
+    clean_training, cleaning_report, null_counts, training_features, select_features, assemble_vector, schema_check, schema_check_events, schema_check_history,
     features, features_orders, features_hot_users, feat_running_mean, feat_count_60s, feat_count_1d,
     feat_time_since_last, user_profile, resumed_features, resumed_hot_users, state_profile, user_amount_ema, active_users_5m,
-    score_forest, score_flag, score_sql, score_natively, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold,
+    score_forest, score_flag, score_sql, score_natively, model_roundtrip, train_forest, train_sanity, train_wide, score_sanity, contamination_threshold, contamination_sketch,
     explain, explain_flagged, explain_amounts,
     alert_score_above, alert_score_below, alert_rate_global, alert_rate_user, alert_rate_global_ties, alert_rate_user_hot,
     kpi_totals, anomalies_per_minute, anomalies_all_minutes, latest_score, anomaly_fraction, anomaly_samples, first_rows,

@@ -63,6 +63,42 @@ def read_message_files(spark: SparkSession, path: str, max_files: int | None = 1
     return reader.parquet(path)
 
 
+_START = "modified timestamp, names array<string>"
+
+
+def read_new_message_files(spark: SparkSession, path: str, start: str, max_files: int | None = 1) -> DataFrame:
+    """As ``read_message_files``, but from the newest file on: what lay in the folder when the stream first began is left out.
+
+    That place is kept in the small table ``start``, so a stream that is begun again goes on where its checkpoint says, and
+    files that came while it was down are read. Older files are left out by their time, and files of the same time as the newest by name, so
+    none of them is opened.
+    """
+    try:
+        found = spark.read.schema(_START).parquet(start).first()
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        found = _newest_files(spark, path)
+        found.coalesce(1).write.mode("overwrite").parquet(start)
+        found = spark.read.schema(_START).parquet(start).first()
+    rows = read_message_files(spark, path, max_files)
+    if found.modified is None:
+        return rows
+    at = F.col("_metadata.file_modification_time")
+    later = (at > F.lit(found.modified)) | ((at == F.lit(found.modified)) & ~F.col("_metadata.file_name").isin(found.names))
+    return rows.where(later)
+
+
+def _newest_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row: the time of the folder's newest file, and the names of the files of that time."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [(f.getModificationTime(), f.getPath().getName()) for f in files.listStatus(place) if f.isFile()] if files.exists(place) else []
+    newest = max((at for at, _ in there), default=None)
+    row = spark.createDataFrame([(newest, [name for at, name in there if at == newest])], "ms bigint, names array<string>")
+    return row.select(F.timestamp_millis("ms").alias("modified"), "names")
+
+
 def transactions(messages: DataFrame) -> DataFrame:
     """Decoded transactions of a batch or a stream of messages, bad ones with a reason."""
     return decode_events(messages)
