@@ -39,7 +39,9 @@ def test_word_memory_changes_no_id(words, odd_rows):
 def test_elias_fano(n, universe):
     ends = np.sort(np.random.default_rng(n).integers(0, universe + 1, n))
     x = binary.EliasFano.build(ends, universe)
-    assert x.ends().tolist() == ends.tolist() == [x.end(i) for i in range(n)]
+    assert x.range(0, n).tolist() == ends.tolist() == [x.end(i) for i in range(n)]
+    for a, b in np.sort(np.random.default_rng(1).integers(0, n + 1, (40, 2))).tolist():
+        assert x.range(a, b).tolist() == ends[a:b].tolist()
     if n == 1000:
         assert 8 * (x.low.nbytes + x.high.nbytes) < n * (2 + np.log2(universe / n)) + 64
     with pytest.raises(IndexError):
@@ -63,13 +65,35 @@ def test_files_round_trip(spark, odd, words, plain_ids, shard_ids):
 
 def test_shard_random_access(words):
     ids = np.arange(100, dtype=np.uint32)
-    shard = binary.Shard(binary.write_shard([5, None, 9], ids, np.array([10, 10, 100]), 2, 3, 4) + b"\n")
-    assert (shard.part, shard.shard, shard.known.tolist()) == (3, 4, [1, 0, 1])
+    shard = binary.Shard(binary.write_shard([5, 9, None], ids, np.array([10, 10, 100]), 2, 3, 4) + b"\n")
+    assert (shard.part, shard.shard, [shard.doc_id(i) for i in range(3)]) == (3, 4, [5, 9, None])
     assert [shard.document(i).tolist() for i in range(3)] == [list(range(10)), [], list(range(10, 100))]
     with pytest.raises(ValueError):
         binary.Shard(b"x" * 100)
 
 
+@pytest.mark.parametrize("keys", [[], [None, None], [7], [-(1 << 63), -5, -5, 0, 3, (1 << 63) - 1, None], list(range(-300, 900, 3)) + [None] * 5])
+def test_doc_ids_of_a_shard(keys):
+    ends = np.arange(1, len(keys) + 1)
+    data = binary.write_shard(keys, np.zeros(len(keys), np.uint32), ends, 2, 0, 0)
+    shard = binary.Shard(data)
+    assert shard.doc_ids(0, len(keys)).to_pylist() == keys == [shard.doc_id(i) for i in range(len(keys))]
+    assert shard.lines.range(0, len(keys)).tolist() == ends.tolist()
+
+
+def test_little_space_per_document(spark, words):
+    """Beyond the ids a document takes less than three bytes, and every shard has its first bytes beside it."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) < 400")
+    folder = new_folder(spark, "ids")
+    binary.write_ids(docs, folder, words, shard_ids=40_000)
+    files = spark.read.format("binaryFile").load(folder).collect()
+    heads, shards = ([f for f in files if (f.length == binary.HEAD_BYTES + 1) == small] for small in (True, False))
+    assert len(heads) == len(shards) > 1 and {bytes(f.content[: binary.HEAD_BYTES]) for f in shards} == {bytes(f.content[:-1]) for f in heads}
+    read = [binary.Shard(bytes(f.content)) for f in shards]
+    beyond = sum(f.length - x.ids.nbytes - binary.HEAD_BYTES - 1 for f, x in zip(shards, read))
+    assert sum(x.n for x in read) == docs.count() and beyond < 3 * docs.count()
+
+
 def test_no_documents(spark, none, words):
     folder = new_folder(spark, "ids")
     binary.write_ids(none, folder, words)
