@@ -1,6 +1,7 @@
 """Encoding, token files, packing, token counts: exact round trips."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -201,6 +202,36 @@ def test_counts_of_fields(odd, odd_rows):
         token_counts.count(odd, path, pattern, rule="none")
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_counts_per_section_equal_brute_force(spark, rule):
+    """Whole results, token by token and character by character, with characters of several bytes at the sections' ends."""
+    path, pattern = bytes_of()
+    encoding = token_counts.byte_tokens(path, pattern).encoding
+    texts = ["Été. 日本語です! 🎉🎉 é?\t\tñandú\n\n🎉.", "🎉\n🎉 🎉! 🧑‍🚀.", "a.b. c.  d\n", "\n\n\n", "ﷺ. ﷺ! ﷺ", "one", "", "x" * 50 + ".\n" + "é" * 9]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").select("text").collect()][:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in token_counts.count(docs, path, pattern, section_end=token_counts.SENTENCE, rule=rule).orderBy("doc_id", "section").collect():
+        got[r.doc_id].append((r.start, r.length, r.n_tokens, r.n_crossing))
+    for key, text in enumerate(texts):
+        bounds = [0, *(m.end() for m in re.finditer(r"\n|(?<=[.!?])[ \t]+", text))]
+        bounds += [len(text)] if bounds[-1] != len(text) or len(bounds) == 1 else []
+        sections = list(zip(bounds, bounds[1:]))
+        behind = [len(text[: i + 1].encode()) for i in range(len(text))]
+        counts, crossing = [0] * len(sections), [0] * len(sections)
+        at, before = 0, 0
+        for token in encoding.encode_ordinary(text):
+            at += len(encoding.decode_single_token_bytes(token))
+            end = sum(b <= at for b in behind)
+            shares = [max(0, min(end, y) - max(before, x)) for x, y in sections]
+            met = [n for n, share in enumerate(shares) if share] or [next(n for n, (x, y) in enumerate(sections) if x <= before < y)]
+            owner = met[0] if rule == "first" else met[-1] if rule == "last" else max(met, key=lambda n: (shares[n], -n))
+            counts[owner] += 1
+            crossing[owner] += len(met) > 1
+            before = end
+        assert got[key] == [(x, y - x, c, o) for (x, y), c, o in zip(sections, counts, crossing)], text
+
+
 def test_query_checksums(spark):
     from tallywarden.llm import queries
 
