@@ -14,6 +14,8 @@ from tallywarden.session import new_folder
 
 #: Bytes of text that one step inside a task holds as arrays; a longer text is a step of its own.
 STEP_BYTES = 6_000_000
+#: A node of a graph is a hub if it has more than so many edges, and than this share of all: at most 2 x ``HUBS`` nodes are.
+HUB_ROWS, HUBS = 1000, 10_000
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,17 +83,26 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
 
     Alternating large-star and small-star steps, until every component is a star around its smallest
     node: each row is sent to one neighbour of its node, so a node with very many neighbours costs
-    rows in proportion and no list is gathered. Every round is written to the shared folder. Nodes
+    rows in proportion and no list is gathered. The rows of such a node stay where they are, and what they
+    need to know of it is sent to them: there are 20,000 of these nodes at most. Every round is written to the shared folder. Nodes
     are longs; edges with a null end or a = b are ignored.
     """
+
+    def told(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+        """Join rows with one row (a, m, n) per node, n the rows of the node."""
+        hubs = least.where(F.col("n") > most).select("a", "m")
+        own = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
+        return own.unionByName(rows.join(F.broadcast(hubs), "a"))
+
     two = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     while not _stars(two):
+        most = max(HUB_ROWS, two.count() // HUBS)  # the count comes from the files' footers
         both = two.unionAll(two.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = told(both, least, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         steps = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        two = stored(large.join(floor, "a").select(steps.alias("e")).select("e.*").where("a <> b").distinct(), name)
+        two = stored(told(large, floor, most).select(steps.alias("e")).select("e.*").where("a <> b").distinct(), name)
     return two.select(F.col("a").alias("node"), F.col("b").alias("label")).unionAll(two.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallywarden.llm import langid, linededup, mixing, neardup, sql
+from tallywarden.llm import langid, linededup, mixing, neardup, shared, sql
 from tallywarden.llm.shared import components
 from tests.llm.conftest import SCHEMA, prose
 
@@ -244,6 +244,26 @@ def test_representatives_lose_no_text_by_its_id(spark):
     assert linked[None, 46] in (9, None) and linked[9, 47] == 9
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """A node with very many neighbours, a chain, random edges, loops and nulls: every node gets its component's smallest node."""
+    monkeypatch.setattr(shared, "HUB_ROWS", 50)
+    rng = np.random.default_rng(1)
+    edges = [(0, i) for i in range(1, 900)] + [(int(a), int(b)) for a, b in rng.integers(10_000, 11_000, (400, 2))] + [(i, i + 1) for i in range(30_000, 30_020)] + [(7, 30_000), (5, 5), (None, 3)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    got = shared.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(up))
+
+
 def test_common_passage_makes_no_group(spark):
     """Half of all rows share a passage; only copies are linked, and the passage's lists cost nothing."""
     rows = [(i, prose(1, 30) + " " + prose(1000 + i, 60)) for i in range(400)] + [(1000 + i, prose(1000 + i, 60) + f" a{i} b{i}") for i in range(20)]
