@@ -7,25 +7,26 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywarden.functions.parse import iso_or, json_or_raw
 from tallywarden.schemas import ANOMALIES, FEATURE_ROWS, FEATURES, RAW_EVENTS
-from tallywarden.session import cut_lineage
 
 TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMALIES}
 #: Requests up to this many rows pick their ids first; larger ones join first.
 PICKED = 1000
 DEFAULT_LIMIT = 100
+#: Folders of one table that such a request opens at most; if the newest days have more, whole tables are read.
+PARTS = 1000
 COMMITS = "batch_id bigint, attempt string, number bigint, processed_date date, rows bigint"
 #: Commits after which they are written together.
 MERGE_EVERY = 64
 
 
 class Store:
-    """Parquet tables below one folder, laid out as processed_date=.../batch_id=.../attempt=....
+    """Parquet tables below one folder, laid out as batch_id=.../attempt=.../processed_date=....
 
     Every attempt at a batch writes folders of its own, and when all three tables are written one small
     table in ``commits``: a row per day with its number of records. Readers see the last committed attempt of each
@@ -47,7 +48,7 @@ class Store:
         """The committed rows of a table, empty when nothing has been stored yet."""
         parts = [T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("processed_date", T.DateType())]
         rows = self._read(name, T.StructType([*TABLES[name].fields, *parts]))
-        last = self.commits().select("batch_id", "attempt").distinct()
+        last = self.commits().groupBy("batch_id", "attempt").agg(F.max("number").alias("number")).select("batch_id", "attempt")
         return rows.join(last, ["batch_id", "attempt"]).select(*[f.name for f in TABLES[name].fields], "batch_id", "processed_date")
 
     def _read(self, name: str, schema: T.StructType | str) -> DataFrame:
@@ -63,9 +64,9 @@ class Store:
         paths, _ = self._commit_folders()
         if not paths:
             return self.spark.createDataFrame([], COMMITS)
-        rows = self.spark.read.schema(COMMITS).parquet(*paths)
-        last = rows.groupBy("batch_id").agg(F.max("number").alias("number"))
-        return rows.join(last, ["batch_id", "number"]).select("batch_id", "attempt", "number", "processed_date", "rows")
+        rows = self.spark.read.schema(COMMITS).parquet(*paths).coalesce(1)  # a row per batch and day: no shuffle is worth it
+        last = F.max("number").over(Window.partitionBy("batch_id"))
+        return rows.withColumn("last", last).where("number = last").select("batch_id", "attempt", "number", "processed_date", "rows")
 
     def _commit_folders(self) -> tuple[list[str], int]:
         """Folders that hold the commits, from the last merged one on; and the number of the next commit."""
@@ -81,11 +82,9 @@ class Store:
     def append(self, scored: DataFrame, batch_id: int = 0) -> None:
         """Store scored events (needs seq, event, ts, features, score, flag, processed_ts).
 
-        The input is read once: its rows are gathered by day, large days split, and stored; the three tables are written from that.
+        The input is read once per table: give a stored frame rather than a long plan.
         """
-        columns = ["seq", "transaction_id", "event", "ts", "processed_ts", *FEATURES, "anomaly_score", "is_anomaly"]
-        day = scored.select(*columns, F.to_date("processed_ts").alias("day")).hint("rebalance", "day")
-        self._write(self.frames(cut_lineage(self.spark, day)), batch_id)
+        self.write(self.frames(scored), batch_id)
 
     def frames(self, scored: DataFrame) -> dict[str, DataFrame]:
         """The rows of the three tables."""
@@ -117,16 +116,13 @@ class Store:
 
     def write(self, frames: dict[str, DataFrame], batch_id: int = 0) -> None:
         """Write a batch's rows of the three tables, then commit them together."""
-        # Rebalancing gathers a day's rows and splits large days: few files of even size.
-        self._write({name: frame.hint("rebalance", "processed_date") for name, frame in frames.items()}, batch_id)
-
-    def _write(self, frames: dict[str, DataFrame], batch_id: int) -> None:
         attempt = uuid.uuid4().hex
-        named = {"batch_id": F.lit(int(batch_id)), "attempt": F.lit(attempt)}
 
         def one(item: tuple[str, DataFrame]) -> None:
             name, frame = item
-            frame.withColumns(named).write.partitionBy("processed_date", "batch_id", "attempt").mode("append").parquet(f"{self.path}/{name}")
+            # Rebalancing gathers a day's rows and splits large days: few files of even size.
+            target = f"{self.path}/{name}/batch_id={batch_id}/attempt={attempt}"
+            frame.hint("rebalance", "processed_date").write.partitionBy("processed_date").parquet(target)
 
         with ThreadPoolExecutor(len(frames)) as pool:  # three independent jobs
             list(pool.map(one, frames.items()))
@@ -151,52 +147,69 @@ class Store:
             if int(n.lstrip("alc")) <= before and n != f"all{before}":
                 files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{n}"), True)
 
-    def oldest_day(self, limit: int) -> date | None:
-        """The day from which on the newest days hold ``limit`` records; None if all days are needed.
+    def newest_parts(self, limit: int, since: date | None = None) -> list[Row] | None:
+        """Commit rows of the newest days that hold ``limit`` records, or of all days from ``since`` on; None if that is no short list.
 
-        Records without a processing time have no day and come last.
+        Records without a processing time have no day and come last. One pass over the commits, none over the tables.
         """
-        days = self.commits().groupBy("processed_date").agg(F.sum("rows").alias("rows")).orderBy(F.desc_nulls_last("processed_date")).collect()  # one row per day
-        seen = 0
-        for day in days:
-            seen += day.rows
-            if seen >= limit:
-                return day.processed_date
-        return None
+        rows = self.commits().where("rows > 0")
+        if since is not None:
+            rows = rows.where(F.col("processed_date") >= F.lit(since))
+        rows = rows.orderBy(F.desc_nulls_last("processed_date")).limit(PARTS + 1).collect()
+        days: dict[date | None, list[Row]] = {}
+        for row in rows:
+            days.setdefault(row.processed_date, []).append(row)
+        found: list[Row] = []
+        whole = list(days.items()) if len(rows) <= PARTS else list(days.items())[:-1]  # the last day may have more rows
+        for _, some in whole:
+            found += some
+            if since is None and sum(r.rows for r in found) >= limit:
+                return found
+        return found if len(rows) <= PARTS else None
+
+    def part(self, name: str, rows: list[Row]) -> DataFrame:
+        """The records of some commit rows: their folders are opened, no other is listed."""
+        if not rows:
+            return self.table(name).where("false")
+        days = ["__HIVE_DEFAULT_PARTITION__" if r.processed_date is None else r.processed_date.isoformat() for r in rows]
+        paths = [f"{self.path}/{name}/batch_id={r.batch_id}/attempt={r.attempt}/processed_date={day}" for r, day in zip(rows, days)]
+        parts = [T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("processed_date", T.DateType())]
+        reader = self.spark.read.schema(T.StructType([*TABLES[name].fields, *parts])).option("basePath", f"{self.path}/{name}")
+        try:
+            return reader.parquet(*paths).select(*[f.name for f in TABLES[name].fields], "batch_id", "processed_date")
+        except AnalysisException as error:  # a table that lacks a day of the anomalies
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.table(name)
 
     def recent(self, limit: int = DEFAULT_LIMIT, since: datetime | str | None = None) -> DataFrame:
         """The newest records by processing time, optionally only from ``since`` on.
 
-        For up to 1000 rows the newest ids are picked first, so the joins touch few partitions.
-        Should one of them lack its event or features, or for more rows, the tables are joined
+        For up to 1000 rows the commits say which folders hold the newest days; only these are opened, the newest ids are
+        picked, and their events and features read. Should one of them lack its event or features, or for more rows, the tables are joined
         before the cut. An id stored in two batches is two records.
         """
         if int(limit) < 1:
             raise ValueError("limit must be positive")
-        anomalies = self.table("anomalies")
-        if since is not None:
-            moment = parse_since(since)
-            anomalies = anomalies.where(
-                (F.col("processed_timestamp") >= F.lit(moment)) & (F.col("processed_date") >= F.lit(moment.date()))
-            )
-        else:
-            day = self.oldest_day(int(limit))
-            anomalies = anomalies if day is None else anomalies.where(F.col("processed_date") >= F.lit(day))
-        picked = _newest(anomalies, limit).collect() if limit <= PICKED else []
-        if picked:
+        moment = None if since is None else parse_since(since)
+        if limit <= PICKED and (parts := self.newest_parts(int(limit), None if moment is None else moment.date())) is not None:
+            anomalies = _since(self.part("anomalies", parts), moment)
+            picked = _newest(anomalies, limit).collect()
+            if not picked:
+                return _shaped(self._joined(*[self.table(name).where("false") for name in ("anomalies", "raw_events", "features")]))
             top = self.spark.createDataFrame(picked, anomalies.schema)
-            batches = sorted({r.batch_id for r in picked if r.batch_id is not None})
-            days = sorted({r.processed_date for r in picked if r.processed_date is not None})
+            taken = {(r.batch_id, r.processed_date) for r in picked}
+            parts = [p for p in parts if (p.batch_id, p.processed_date) in taken]
             ids = [r.raw_event_id for r in picked]
             found = self._joined(
                 F.broadcast(top),  # at most PICKED rows
-                _within(self.table("raw_events"), "id", ids, batches, days),
-                _within(self.table("features"), "raw_event_id", ids, batches, days),
+                self.part("raw_events", parts).where(F.col("id").between(min(ids), max(ids))),
+                self.part("features", parts).where(F.col("raw_event_id").between(min(ids), max(ids))),
             )
             rows = found.collect()  # no more than were picked
             if len(rows) == len(picked):
                 return _shaped(_newest(self.spark.createDataFrame(rows, found.schema), limit))
-        whole = self.table("anomalies") if since is None else anomalies
+        whole = _since(self.table("anomalies"), moment)
         return _shaped(_newest(self._joined(whole, self.table("raw_events"), self.table("features")), limit))
 
     def _joined(self, anomalies: DataFrame, raw: DataFrame, features: DataFrame) -> DataFrame:
@@ -225,11 +238,10 @@ def _newest(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(F.desc("processed_timestamp"), F.desc("id")).limit(int(limit))
 
 
-def _within(df: DataFrame, key: str, ids: list, batches: list, days: list) -> DataFrame:
-    """Only the partitions and id range that can hold the picked rows."""
-    return df.where(
-        F.col("batch_id").isin(batches) & F.col("processed_date").isin(days) & F.col(key).between(min(ids), max(ids))
-    )
+def _since(anomalies: DataFrame, moment: datetime | None) -> DataFrame:
+    if moment is None:
+        return anomalies
+    return anomalies.where((F.col("processed_timestamp") >= F.lit(moment)) & (F.col("processed_date") >= F.lit(moment.date())))
 
 
 def _shaped(df: DataFrame) -> DataFrame:

@@ -104,13 +104,19 @@ def test_union_with_live_rows(spark, work, scored):
     assert len(rows) == 6 and rows[0].user_id == "unknown" and rows[0].amount == 0 and rows[1].amount == 3 and rows[0].explanation == []
 
 
-def test_recent_reads_the_newest_days_only(spark, work, scored):
+def test_recent_reads_the_newest_days_only(spark, work, scored, monkeypatch):
     store = Store(spark, work)
     store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(100)]))
     assert [r.anomaly_row_id for r in store.recent(15).collect()] == list(range(99, 84, -1))
-    assert store.oldest_day(15) == (NOW + timedelta(days=8)).date() and store.oldest_day(1000) is None
+    assert [r.processed_date for r in store.newest_parts(15)] == [(NOW + timedelta(days=n)).date() for n in (9, 8)]
+    assert store.part("anomalies", store.newest_parts(15)).count() == 20 and len(store.newest_parts(1000)) == 10
+    assert [len(store.newest_parts(50, (NOW + timedelta(days=n)).date())) for n in (0, 7, 20)] == [10, 3, 0]
+    assert store.recent(5, NOW + timedelta(days=20)).count() == 0
+    monkeypatch.setattr(history, "PARTS", 3)
+    assert store.newest_parts(1000) is None and len(store.newest_parts(15)) == 2
+    assert [r.anomaly_row_id for r in store.recent(45).collect()] == list(range(99, 54, -1))
     store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(90, 95)]), 0)  # the batch again, smaller
-    assert store.oldest_day(5) == (NOW + timedelta(days=9)).date() and store.oldest_day(6) is None
+    assert [r.rows for r in store.newest_parts(5)] == [5]
     store.append(scored([(1, "{}", 0.5, False, NOW)]).where("false"), 0)  # and empty
     assert store.recent(5).count() == 0 and store.table("raw_events").count() == 0
 
