@@ -53,17 +53,20 @@ def running(
     window_us: int | None = None,
     hot_rows: int = HOT_ROWS,
     previous: str | None = None,
+    hot: DataFrame | None | str = "count",
 ) -> DataFrame:
     """Add ``run_count``, ``prev_us`` and, when asked for, ``run_sum`` and ``window_count``.
 
     All values include the current row except ``prev_us``, the value of ``previous`` (``us``) in the row before. ``window_count`` counts rows of
     the key that arrived so far with time in [us - window_us, us], both ends inclusive.
-    ``key=None`` treats the whole table as one key. Keys must not be null.
+    ``key=None`` treats the whole table as one key. Keys must not be null. ``hot`` is what ``hot_keys`` gave, where the
+    caller knows it: then no job runs while the frame is built.
     """
     if key is None:
         whole = df.withColumn("_all", F.lit(0))
         return _chunked(whole, "_all", us, seq, amount, window_us, None, previous).drop("_all")
-    hot = hot_keys(df, key, hot_rows)
+    if isinstance(hot, str):
+        hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return _windowed(df, key, us, seq, amount, window_us, previous)
     hot_total = hot.agg(F.sum("rows")).first()[0]

@@ -7,6 +7,8 @@ stream and a reader of profiles share it.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,25 +53,31 @@ class FeatureState:
         self.window_us, self.merge_every = int(window_seconds * MICROS), merge_every
         self.ttl_us = None if ttl_seconds is None else int(ttl_seconds * MICROS)
 
-    def advance(self, tx: DataFrame, version: int) -> DataFrame:
+    def advance(self, tx: DataFrame, version: int, stored: bool = False) -> DataFrame:
         """The rows of ``tx`` (user_id, amount, us, seq not null) with the four features and ``is_late``; the state after them is ``version``.
 
         Rows are taken in event order. A row older than one of an earlier version is late: it follows in arrival
         order (its gap is negative), and rows of the window stay until all that arrived before them have left.
         A user with more than ``hot_rows`` rows is cut into ranges that start from the totals before them, so it is many
-        tasks' work; only the users of ``tx`` are looked up. The result is stored: reading it costs nothing again.
+        tasks' work; only the users of ``tx`` are looked up. The result is stored until the next version but one: reading it costs
+        nothing again. ``tx`` is stored first as well, unless it is ``stored`` already.
         """
         done = self._commit(version)
-        rows = cut_lineage(self.spark, tx)
-        hot = hot_keys(rows, "user_id", self.hot_rows)
-        before = self._users(done).join(rows.select("user_id").distinct(), "user_id", "left_semi")
-        waiting = self._recent(done, before).select("user_id", "at")
-        waits = waiting.groupBy("user_id").agg(F.count("*").alias("waits"))
-        known = before.select("user_id", *[F.col(c).alias(f"{c}0") for c in ("n", "total", "last", "peak")]).join(waits, "user_id", "left")
-        placed = with_key(rows, known, "user_id", hot).withColumns({"at": F.greatest("us", "peak0"), "phase": F.lit(1)})
-        both = placed.unionByName(waiting.withColumn("phase", F.lit(0)), allowMissingColumns=True)
+        rows = tx if stored else cut_lineage(self.spark, tx)
+        # No user has more rows than there are.
+        hot = None if rows.count() <= self.hot_rows else hot_keys(rows, "user_id", self.hot_rows)
+        if done is None:
+            nothing = {f"{c}0": F.lit(None).cast(t) for c, t in (("n", "bigint"), ("total", "double"), ("last", "bigint"), ("peak", "bigint"))}
+            both = rows.withColumns(nothing | {"waits": F.lit(None).cast("bigint"), "at": F.col("us"), "phase": F.lit(1)})
+        else:
+            before = self._users(done).join(rows.select("user_id").distinct(), "user_id", "left_semi")
+            waiting = self._recent(done, before).select("user_id", "at")
+            waits = waiting.groupBy("user_id").agg(F.count("*").alias("waits"))
+            known = before.select("user_id", *[F.col(c).alias(f"{c}0") for c in ("n", "total", "last", "peak")]).join(waits, "user_id", "left")
+            placed = with_key(rows, known, "user_id", hot).withColumns({"at": F.greatest("us", "peak0"), "phase": F.lit(1)})
+            both = placed.unionByName(waiting.withColumn("phase", F.lit(0)), allowMissingColumns=True)
         both = both.withColumns({"place": F.struct("phase", "us", "seq"), "value": F.when(F.col("phase") == 1, F.col("amount").cast("double")).otherwise(0.0)})
-        scanned = running(both, "user_id", us="at", seq="place", amount="value", window_us=self.window_us, hot_rows=self.hot_rows, previous="us")
+        scanned = running(both, "user_id", us="at", seq="place", amount="value", window_us=self.window_us, hot_rows=self.hot_rows, previous="us", hot=hot)
         whole = scanned.withColumns(
             {
                 "n": F.col("run_count") + F.coalesce("n0", F.lit(0)) - F.coalesce("waits", F.lit(0)),
@@ -77,7 +85,9 @@ class FeatureState:
                 "prev_us": F.coalesce("prev_us", "last0"),
             }
         )
-        whole = cut_lineage(self.spark, whole)
+        target = f"{self.path}/work/v{version}"
+        whole.drop("value", "run_count", "run_sum", "waits", "n0", "total0", "last0").write.mode("overwrite").parquet(target)
+        whole = self.spark.read.parquet(target)
         self._write(whole, version, done, hot)
         return whole.where("phase = 1").withColumns(
             {
@@ -157,17 +167,20 @@ class FeatureState:
             kept = self._recent(done, earlier).withColumn("version", F.lit(version).cast("bigint"))
             users = users.unionByName(earlier.withColumn("version", F.lit(version).cast("bigint")))
             times = times.unionByName(kept)
-        users.write.mode("overwrite").parquet(f"{self.path}/users/v{version}")
-        times.write.mode("overwrite").parquet(f"{self.path}/recent/v{version}")
+        with ThreadPoolExecutor(2) as pool:  # two independent jobs
+            tables = {"users": users, "recent": times}
+            list(pool.map(lambda item: item[1].write.mode("overwrite").parquet(f"{self.path}/{item[0]}/v{version}"), tables.items()))
         row = self.spark.createDataFrame([(int(version), int(base), newest)], _COMMITS)
         row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v{version}")
-        if done is not None and base == version:
-            self._forget(done.base)
+        if done is not None:
+            self._forget(("work",), done.version)
+            if base == version:  # a retry of this version reads from the last merged one before on
+                self._forget(("users", "recent", "commits"), done.base)
 
-    def _forget(self, base: int) -> None:
-        """Delete versions below ``base``, the last merged one before: a retry of the newest version does not read them."""
+    def _forget(self, names: tuple[str, ...], base: int) -> None:
+        """Delete versions below ``base``."""
         jvm = self.spark._jvm
-        for name in ("users", "recent", "commits"):
+        for name in names:
             place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             files = place.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for found in files.listStatus(place):

@@ -97,7 +97,7 @@ def score_batches(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = cut_lineage(spark, batch)
-        featured = state.advance(valid_rows(rows), batch_id)
+        featured = state.advance(valid_rows(rows), batch_id, stored=True)
         target = f"{path}/batch-{batch_id:012d}"
         if _exists(spark, f"{target}/_SUCCESS"):
             return
