@@ -23,6 +23,8 @@ OVERLAP = 0.56
 OVERLAP_80 = 0.47
 #: Documents, and shingles, that one task compares with each other at once.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
+#: Up to so many documents of loose groups (60 bytes each) their names are sent to the texts; beyond, the texts are shuffled to them.
+FEW_MEMBERS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -224,6 +226,8 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, keep: int, ove
                 found, ends = shingles(step.column("text"), width)
                 yield pa.RecordBatch.from_arrays([step.column("id"), step.column("grp"), step.column("blocks"), _lists(found, ends)], ["id", "grp", "blocks", "shingles"])
 
+    if members.count() <= FEW_MEMBERS:
+        members = F.broadcast(members)
     one = texts.select(*_named(), "text").join(members, ["no_id", "key", "th"])
     one = one.groupBy("id", "grp", "blocks").agg(F.first("text").alias("text"))  # repeated rows, combined before the shuffle
     full = one.mapInArrow(sets, "id long, grp long, blocks long, shingles array<long>")
