@@ -36,6 +36,8 @@ def _plain(df: pd.DataFrame) -> pd.DataFrame:
 
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     """None when both hold the same rows in any order, else what differs."""
+    # Whole numbers with nulls arrive as floats from one side and as nullable integers from the other.
+    got = got.astype({c: "Int64" for c in got.columns if c in want.columns and str(want[c].dtype) == "Int64" and str(got[c].dtype) == "float64"})
     got, want = _plain(got), _plain(want)
     if list(got.columns) != list(want.columns):
         return f"columns {list(got.columns)} != {list(want.columns)}"
