@@ -25,7 +25,6 @@ its first bytes alone, which is told apart by its length: shards are placed behi
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
