@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -448,31 +448,39 @@ def user_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _days(spark: SparkSession, folder: str, state: FeatureState) -> DataFrame:
+def _days(spark: SparkSession, folder: str, state: FeatureState) -> Iterator[DataFrame]:
     """All events, ten days at a time, each part starting from the state that the parts before have left."""
     tx = tables.from_events(spark, folder).drop("event")
     part = F.floor(F.col("us") / (10 * DAY * 1_000_000))
-    out = None
     for version in sorted(r.part for r in tx.select(part.alias("part")).distinct().collect()):  # one number per part
-        found = state.advance(tx.where(part == version), version)
-        out = found if out is None else out.unionAll(found)
-    return out
+        yield state.advance(tx.where(part == version), version)
+
+
+def _resumed(spark: SparkSession, folder: str, state: FeatureState) -> DataFrame:
+    """The rows of all parts. A state keeps those of its last two versions only, so each part is written before the next one."""
+    work, found = new_folder(spark, "days"), None
+    for n, found in enumerate(_days(spark, folder, state)):
+        found.write.parquet(f"{work}/part-{n:06d}")
+    if found is None:
+        return state.advance(tables.from_events(spark, folder).drop("event"), 0)
+    return spark.read.schema(found.schema).parquet(f"{work}/part-*")
 
 
 def resumed_features(spark: SparkSession, folder: str) -> DataFrame:
     """Features from stored state, part by part: no part reads the rows of another."""
-    return _plain(_days(spark, folder, FeatureState(spark, new_folder(spark, "state"), merge_every=2)), "seq", "user_id", _ntz("ts"))
+    return _plain(_resumed(spark, folder, FeatureState(spark, new_folder(spark, "state"), merge_every=2)), "seq", "user_id", _ntz("ts"))
 
 
 def resumed_hot_users(spark: SparkSession, folder: str) -> DataFrame:
     """The same with the hot-key form for every user of a few rows."""
-    return _plain(_days(spark, folder, FeatureState(spark, new_folder(spark, "state"), hot_rows=40)), "seq", "user_id", _ntz("ts"))
+    return _plain(_resumed(spark, folder, FeatureState(spark, new_folder(spark, "state"), hot_rows=40)), "seq", "user_id", _ntz("ts"))
 
 
 def state_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The user profile, read from the state that features were resumed from."""
     state = FeatureState(spark, new_folder(spark, "state"))
-    _days(spark, folder, state)
+    for _ in _days(spark, folder, state):
+        pass
     return state.profile().select(
         "user_id", "tx_count", F.round(F.col("sum_amount") + 1e-9, 4).alias("sum_amount"), F.round(F.col("mean_amount") + 1e-9, 6).alias("mean_amount"), _ntz("last_ts"),
     )

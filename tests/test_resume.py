@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywarden.operators.features import features, user_profile
 from tallywarden.operators.resume import FeatureState
-from tallywarden.plans.catalog import fixed_forest
+from tallywarden.plans.catalog import fixed_forest, resumed_features, resumed_hot_users
 from tallywarden.schemas import AMOUNT, COUNT, FEATURES, MEAN, SINCE
 from tallywarden.sources import transactions
 from tallywarden.streaming import jobs
@@ -92,6 +92,19 @@ def test_only_its_own_rows_are_read(tx, spark, work):
     assert state.profile().count() == 11 and state.profile().where("tx_count = 5").count() == 1
 
 
+@pytest.mark.parametrize("query", [resumed_features, resumed_hot_users])
+def test_rows_of_all_parts_stay(tx, spark, work, query):
+    """The queries return the rows of every part, long after the state has let go of the first ones."""
+    rows = tx([(str(n % 3), 10 + n % 7, n * 9 * 86400) for n in range(4)])  # a part each
+    events = rows.selectExpr("seq AS event_id", "ts", "cast(user_id AS bigint) AS user_id", "'view' AS event_type", "amount AS value", "cast(null AS string) AS props")
+    events.write.parquet(f"{work}/events.parquet")
+    got = query(spark, work).collect()
+    want = [(r.seq, r.user_id, r[COUNT], r[SINCE]) for r in features(rows).orderBy("seq").collect()]
+    assert sorted((r.seq, r.user_id, r.recent_count, r.secs_since_last) for r in got) == want
+    events.where("false").write.parquet(f"{work}/none/events.parquet")
+    assert query(spark, f"{work}/none").count() == 0
+
+
 def test_nothing_yet(tx, spark, work):
     state = FeatureState(spark, work)
     assert state.versions() is None and state.profile().count() == 0
