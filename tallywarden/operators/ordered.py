@@ -20,26 +20,39 @@ from tallywarden.session import cut_lineage
 
 HOT_ROWS = 4_000_000
 FEW_CHUNKS = 50_000
+#: A chunk has so many rows at least, once there are so many for each shuffle partition (more than one, as they are dealt by a hash):
+#: a small ``hot_rows`` on a large table makes no more tasks.
+CHUNK_ROWS, CHUNKS_EACH = 100_000, 8
+#: Hot keys that are held by the driver and sent to all rows; more of them are a stored table.
+FEW_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows and their counts, or None when there are none.
 
-    Counts combine on the map side, and fewer than rows/hot_rows keys can qualify, so the
-    list is small whatever the table size.
+    Counts combine on the map side. Fewer than rows/hot_rows keys can qualify; more than ``FEW_KEYS`` (a small
+    ``hot_rows`` on a large table) are stored instead of passing through the driver.
     """
-    found = df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).collect()
+    counted = df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows)
+    found = counted.limit(FEW_KEYS + 1).collect()
     if not found:
         return None
+    if len(found) > FEW_KEYS:
+        return cut_lineage(df.sparkSession, counted)
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, rows bigint"
     return df.sparkSession.createDataFrame([(r[0], r[1]) for r in found], schema)
 
 
 def with_key(df: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Left join with one row per key; the rows of ``hot`` keys stay where they are, their few partners are sent to them."""
+    """Left join with one row per key; the rows of ``hot`` keys stay where they are, their few partners are sent to them.
+
+    Of more than ``FEW_KEYS`` hot keys that holds for the largest; each of the others has less than rows / ``FEW_KEYS`` rows.
+    """
     if hot is None:
         return df.join(one, key, "left")
-    names = F.broadcast(hot.select(key))  # fewer than rows / hot_rows keys
+    if hot.count() > FEW_KEYS:
+        hot = hot.orderBy(F.desc("rows"), key).limit(FEW_KEYS)
+    names = F.broadcast(hot.select(key))
     spread = df.join(names, key, "left_semi").join(F.broadcast(one.join(names, key, "left_semi")), key, "left")
     return df.join(names, key, "left_anti").join(one, key, "left").unionByName(spread)
 
@@ -69,13 +82,14 @@ def running(
         hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return _windowed(df, key, us, seq, amount, window_us, previous)
-    hot_total = hot.agg(F.sum("rows")).first()[0]
-    names = hot.select(key)  # a local table: Spark sends it whole only while it is small
+    keys, hot_total = hot.agg(F.count("*"), F.sum("rows")).first()
+    names = hot.select(key)  # Spark sends it whole only while it is small
     cold_rows = df.join(names, key, "left_anti").select(df.columns)
     hot_only = df.join(names, key, "left_semi").select(df.columns)
-    chunks = max(2, -(-2 * hot_total // hot_rows))
+    most = max(CHUNKS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), hot_total // CHUNK_ROWS)
+    chunks = max(2, min(-(-2 * hot_total // hot_rows), most))
     return _windowed(cold_rows, key, us, seq, amount, window_us, previous).unionByName(
-        _chunked(hot_only, key, us, seq, amount, window_us, chunks, previous)
+        _chunked(hot_only, key, us, seq, amount, window_us, chunks, previous, keys)
     )
 
 
@@ -105,7 +119,7 @@ def _windowed(
 
 def _chunked(
     df: DataFrame, key: str, us: str, seq: str, amount: str | None, window_us: int | None, chunks: int | None,
-    previous: str | None = None,
+    previous: str | None = None, keys: int = 1,
 ) -> DataFrame:
     payload = F.struct(*[F.col(c) for c in df.columns])
     steps = df.select(F.col(key).alias("k"), F.col(us).alias("t"), F.col(seq).alias("q"), payload.alias("row"))
@@ -133,8 +147,8 @@ def _chunked(
         F.sum(F.col("arrives") * 2 - 1).alias("d"),
         F.max_by(before_it, F.when(arrived, F.struct("t", "q"))).alias("last"),
     )
-    # One row per chunk and key in it: fewer than chunks + hot keys, and there are half as many hot
-    # keys as chunks at most. They are sent everywhere while they are few, else joined by a shuffle.
+    # One row per chunk and key in it: a key's chunks follow each other, so these are fewer than chunks + keys.
+    # They are sent everywhere while they are few, else joined by a shuffle.
     before = W.partitionBy("k").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(
         "k",
@@ -144,7 +158,7 @@ def _chunked(
         F.coalesce(F.sum("d").over(before), F.lit(0)).alias("d0"),
         F.last("last", ignorenulls=True).over(before).alias("last0"),
     )
-    few = (chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) <= FEW_CHUNKS
+    few = (chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + keys <= FEW_CHUNKS
     in_chunk = W.partitionBy("k", "chunk").orderBy("t", "arrives", "q")
     so_far = in_chunk.rowsBetween(W.unboundedPreceding, W.currentRow)
     earlier = in_chunk.rowsBetween(W.unboundedPreceding, -1)

@@ -115,3 +115,22 @@ def test_many_chunks_are_joined_by_a_shuffle(tx, monkeypatch):
     want = collect(running(rows, "user_id", amount="amount", window_us=10_000_000, hot_rows=50), "run_count", "run_sum", "window_count")
     monkeypatch.setattr(ordered, "FEW_CHUNKS", 1)
     assert collect(running(rows, "user_id", amount="amount", window_us=10_000_000, hot_rows=50), "run_count", "run_sum", "window_count") == want
+
+
+@pytest.mark.parametrize("few_keys", [100_000, 7])
+def test_small_hot_rows_make_no_more_tasks(tx, spark, monkeypatch, few_keys):
+    """Nearly every user is hot: chunks stay a few for each shuffle partition, and a long list of users stays a table."""
+    from tallywarden.operators import ordered
+
+    rng = random.Random(2)
+    rows = tx([(f"u{rng.randint(0, 199)}", 1, rng.randint(0, 90)) for _ in range(1500)])
+    seen, plain = [], ordered._chunked
+    monkeypatch.setattr(ordered, "_chunked", lambda *args: seen.append(args[6]) or plain(*args))
+    monkeypatch.setattr(ordered, "FEW_KEYS", few_keys)
+    want = collect(trailing_count(rows, "user_id", 20_000_000), "window_count")
+    assert collect(trailing_count(rows, "user_id", 20_000_000, hot_rows=3), "window_count") == want
+    assert seen == [ordered.CHUNKS_EACH * int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    hot = hot_keys(rows, "user_id", 3)
+    one = hot.select("user_id", F.length("user_id").alias("n"))
+    joined = ordered.with_key(rows, one, "user_id", hot)
+    assert joined.count() == 1500 and joined.where("n = length(user_id)").count() == rows.join(hot, "user_id").count()
