@@ -7,12 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywarden.functions.parse import iso_or, json_or_raw
 from tallywarden.schemas import ANOMALIES, FEATURE_ROWS, FEATURES, RAW_EVENTS
+from tallywarden.session import cut_lineage
 
 TABLES = {"raw_events": RAW_EVENTS, "features": FEATURE_ROWS, "anomalies": ANOMALIES}
 #: Requests up to this many rows pick their ids first; larger ones join first.
@@ -235,7 +236,28 @@ def parse_since(since: datetime | str) -> datetime:
 
 
 def _newest(df: DataFrame, limit: int) -> DataFrame:
-    return df.orderBy(F.desc("processed_timestamp"), F.desc("id")).limit(int(limit))
+    return first_rows(df, int(limit), F.desc("processed_timestamp"), F.desc("id"))
+
+
+def first_rows(df: DataFrame, limit: int, *order: Column) -> DataFrame:
+    """The first ``limit`` rows in the given order, sorted.
+
+    Up to 1000 rows one task gathers those of all others. More are range-sorted and stored, and the counts of the ranges say which of
+    them are whole and where the last one is cut, so that no task holds more than a range, however large the limit.
+    """
+    if limit <= PICKED:
+        return df.orderBy(*order).limit(limit)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = placed.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = cut_lineage(df.sparkSession, numbered)
+    counts = sorted((r._range, r.n) for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row per range
+    left = limit
+    for place, count in counts:
+        if count >= left:
+            rows = rows.where((F.col("_range") < place) | (F.col("_range") == place) & (F.col("_at") < left))
+            break
+        left -= count
+    return rows.drop("_range", "_at")
 
 
 def _since(anomalies: DataFrame, moment: datetime | None) -> DataFrame:
@@ -283,4 +305,4 @@ def union_live(history: DataFrame, live: DataFrame, rows: int | None = 50) -> Da
     both = past.unionByName(live.select(*columns).withColumn("origin", F.lit(1)))
     if rows is None:
         return both
-    return both.orderBy(F.desc("origin"), F.desc("ts"), F.desc("seq")).limit(rows)
+    return first_rows(both, rows, F.desc("origin"), F.desc("ts"), F.desc("seq"))

@@ -104,6 +104,26 @@ def test_union_with_live_rows(spark, work, scored):
     assert len(rows) == 6 and rows[0].user_id == "unknown" and rows[0].amount == 0 and rows[1].amount == 3 and rows[0].explanation == []
 
 
+def test_many_live_rows_are_no_single_task(spark, work, scored):
+    """More rows than one task should take are cut through the counts of ranges; the answer is the sorted one."""
+    store = Store(spark, work)
+    store.append(scored([(i, "{}", 0.5, False, NOW) for i in range(2000)]))
+    live = scored([(i, "{}", 0.9, True, NOW - timedelta(seconds=i % 70)) for i in range(2000, 5000)]).selectExpr(
+        "*", "'u' as user_id", "1.0D as amount", "array('r') as explanation"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in (1, 1000, 1001, 3000, 3400, 9000):
+            both = union_live(store.recent(3000), live, rows=rows)
+            want = [*sorted(range(2000, 5000), key=lambda i: (i % 70, -i)), *range(1999, -1, -1)][:rows]
+            assert [r.seq for r in both.collect()] == want
+            sizes = [r["count"] for r in both.groupBy(F.spark_partition_id()).count().collect()]
+            assert rows <= 1000 or max(sizes) < 2500 and sum(sizes) == len(want)  # four ranges of 5000 rows
+        assert history.first_rows(live.where("false"), 2000, F.col("seq")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_recent_reads_the_newest_days_only(spark, work, scored, monkeypatch):
     store = Store(spark, work)
     store.append(scored([(i, "{}", 0.5, False, NOW + timedelta(days=i // 10)) for i in range(100)]))
