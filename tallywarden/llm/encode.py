@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -35,6 +36,7 @@ class WordEncoder:
         parts = [("Ab", ("ab",)), ("aB1.", ("ab1", ".")), ("ÉÑ,", ("éñ", ",")), ("x" + BEHIND, ("x", BEHIND))]
         self.plain = all(self._whole(w) == [i for p in ps for i in self._whole(p)] for w, ps in parts)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.last = self._last_tokens()
         self.memory = memory
 
         self.place: dict[str, int] = {}
@@ -44,6 +46,36 @@ class WordEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _last_tokens(self) -> np.ndarray | None:
+        """Which ids end a word, if the vocabulary marks them and letters alone are one word each."""
+        last = np.zeros(self.size, bool)
+        last[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if token.endswith("</w>")]] = True
+        for word in ("a", "zq", "abcdefghij", "qxzvkjwq", "é", "ßñå", "straße" * 3):
+            if np.flatnonzero(last[ids := self._whole(word)]).tolist() != [len(ids) - 1]:
+                return None
+        return last
+
+    def _each(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in another order, their ids, and the number of ids of each.
+
+        Words of letters go to the tokenizer many at a time, as one text: the ids that end a word part them again.
+        """
+        joined = [w for w in words if w.isalpha() and (w.isascii() or max(w) < "\u0130")] if self.last is not None else []
+        texts = [" ".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+        ids = self._batch(texts)[0]
+        ends = np.flatnonzero(self.last[ids]) if len(ids) else np.zeros(0, np.int64)
+        if len(ends) != len(joined):
+            joined, ids, ends = [], ids[:0], ends[:0]
+        alone = set(joined)
+        others = [w for w in words if w not in alone] if joined else words
+        more, lengths = self._batch(others)
+        return joined + others, np.concatenate([ids, more]), np.concatenate([np.diff(ends, prepend=-1), lengths])
+
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+
     def _forget(self) -> None:
         kept = np.flatnonzero(self.seen > 1)
         if len(kept) > self.memory // 2:
@@ -66,16 +98,17 @@ class WordEncoder:
         if self.plain:
             bases = {}
             for word in words:
+                if word.isascii() and word.isalpha() and word.islower():
+                    bases[word] = None
+                    continue
                 base, mark = _plain(word)
                 bases[base] = None
                 if mark or base is not word:
                     by_mark.setdefault(mark, []).append((word, base))
             bases.update(dict.fromkeys(filter(None, by_mark)))
-        new = [b for b in bases if b not in self.place]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        new, ids, lengths = self._each([b for b in bases if b not in self.place])
         starts = len(self.ids) + np.cumsum(lengths) - lengths
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self._add(new, starts, lengths)
         for mark, pairs in by_mark.items():
             pairs = [(w, b) for w, b in pairs if w not in self.place]
@@ -94,6 +127,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), ``end`` after each text, and the offsets at which the texts begin."""
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of words and lists without cycles: looking for some takes a tenth of the time
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > self.memory:
             self._forget()
         words, offsets = split_words(strings(texts))
@@ -115,6 +157,8 @@ class WordEncoder:
         return ids, ends + np.arange(len(ends))
 
 
+#: Words of one text for the tokenizer.
+JOINED = 200
 #: What may stand behind a word without touching its tokens: no apostrophe, which could begin a contraction.
 BEHIND = ".,;:!?$%&*#@+=~^/()[]{}"
 

@@ -23,17 +23,23 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     for i, size in enumerate(sizes):
         sums = np.zeros(windows, np.int64)
         sums[-1] = size
-        heap.append((-size, i, sums, [[] for _ in range(windows - 1)] + [[i]]))
+        heap.append((-size, i, sums, np.array([i]), np.array([windows - 1])))
     heapq.heapify(heap)
+    place = np.empty(windows, np.int64)
     while len(heap) > 1:
-        _, i, a, members = heapq.heappop(heap)
-        _, _, b, others = heapq.heappop(heap)
+        _, i, a, items, slots = heapq.heappop(heap)
+        _, _, b, others, places = heapq.heappop(heap)
         sums = a + b[::-1]
         order = np.argsort(sums, kind="stable")
-        merged = [members[k] + others[windows - 1 - k] for k in order.tolist()]
+        place[order] = np.arange(windows)
         sums = sums[order]
-        heapq.heappush(heap, (-int(sums[-1] - sums[0]), i, sums, merged))
-    return heap[0][3] if heap else [[] for _ in range(windows)]
+        slots = place[np.concatenate([slots, windows - 1 - places])]
+        heapq.heappush(heap, (-int(sums[-1] - sums[0]), i, sums, np.concatenate([items, others]), slots))
+    found: list[list[int]] = [[] for _ in range(windows)]
+    if heap:
+        for item, slot in zip(heap[0][3].tolist(), heap[0][4].tolist()):
+            found[slot].append(item)
+    return found
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:

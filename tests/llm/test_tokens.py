@@ -27,6 +27,31 @@ def plain_ids(odd_rows):
     return [(r[0], t.encode(r[1] or "", add_special_tokens=False).ids) for r in odd_rows]
 
 
+def test_words_of_letters_are_encoded_together(words):
+    """Hundreds of new words of letters are one text for the tokenizer, and each gets the ids it has alone."""
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    rng = random.Random(5)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzßàéîñöøþÿµªºABCÀÉ", k=rng.randint(1, 12))) for _ in range(3000)]
+    odd = ["don't", "it's", "x1", "日本", "e\u0301a", "ﬁne", "\u0301", "ǆ", "IJ", "ĳ", "a\u200db", "ʼn", "ŉ", "'s", "ſt", "Ωmega"]
+    texts = [" ".join(rng.sample(letters, 400) + rng.sample(odd, 8)) for _ in range(12)]
+    encoder, t = WordEncoder(words), Tokenizer.from_file(words)
+    encoder.tokenizer = Counted(t)
+    ids, starts = encoder.encode(pa.array(texts), 2)
+    for i, text in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    assert encoder.tokenizer.texts < 100
+    encoder = WordEncoder(words)
+    encoder.last = None  # a vocabulary that marks no ends
+    assert np.array_equal(encoder.encode(pa.array(texts), 2)[0], ids)
+
+
 def test_word_memory_changes_no_id(words, odd_rows):
     small, t = WordEncoder(words, memory=5), Tokenizer.from_file(words)
     texts = [r[1] for r in odd_rows] + ["It's O'Neil's, U.S.A. Don'T. x., ,.. <|ENDOFTEXT|>, a<|endoftext|>.B", "İstanbul ΣΑΣ. é. É,", "x y z ÀÉ. ẞ, µ² ½. 3.5, 1,000."]
