@@ -1,4 +1,4 @@
-"""Main text of web pages: markup, and lines that the page nearest by URL has too."""
+"""Main text of web pages: what the page nearest by URL does not have too, checked by markup."""
 
 from __future__ import annotations
 
@@ -38,14 +38,19 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: What makes a form more than a field or two: it wraps the page.
 HOLDS = re.compile(r"<(?:article|main|h1)(?=[\s/>])", re.I)
 FORM_END = re.compile(r"</form(?=[\s/>])", re.I)
+QUERY = re.compile(r"[?#]")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Kinds of lines: beside the article, inside an article element, inside main, anywhere else.
 BESIDE_LINE, ARTICLE_LINE, MAIN_LINE, PLAIN_LINE = range(4)
-#: A page may be a near copy of its neighbour if so many of its plain lines are shared: then pages further away are asked.
+#: A page may be a near copy of its neighbour if so many of its lines beside no furniture are shared: then pages further away are asked.
 COPY = 0.75
+#: So many pages that are no near copies must have all of a marked article or main for it to count as the site's.
+WITNESSES = 2
 #: How far away these are, in pages with unlike lines.
 FURTHER = (1, 3, 9, 81, 729, 6561)
+#: A line's number: the hash in ``HASH``, below it whether the line stands beside no furniture, above it the kind, and whether another article begins.
+HASH, KIND_AT, NEW_AT = 0xFFFFFFFF, 33, 35
 #: Bits of the table of one alignment; a larger one is halved.
 TABLE_BITS = 1 << 28
 
@@ -103,8 +108,15 @@ def _kind(name: str, attributes: str, within: int, wraps: bool) -> int:
 
 def lines(page: str) -> tuple[list[str], list[int]]:
     """The page's blocks in order, white space as one space, and the kind of each."""
+    return blocks(page)[:2]
+
+
+def blocks(page: str) -> tuple[list[str], list[int], list[int]]:
+    """The lines of the page, and of each which outermost article element (from 1) was the last to begin."""
     texts: list[str] = []
     kinds: list[int] = []
+    articles: list[int] = []
+    begun = 0
     held: list[str] = []
     stack: list[tuple[str, int, list[str] | None]] = []  # name, kind, and the block that it interrupts
     kind, at = PLAIN_LINE, 0
@@ -123,6 +135,7 @@ def lines(page: str) -> tuple[list[str], list[int]]:
             if text:
                 texts.append(text)
                 kinds.append(kind)
+                articles.append(begun)
 
     def leave(depth: int) -> None:
         """Close all elements from ``depth`` on; a block that one of them interrupted goes on."""
@@ -171,16 +184,17 @@ def lines(page: str) -> tuple[list[str], list[int]]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = end.start() if end else len(page)
         stack.append((name, inner, broken))
+        begun += inner == ARTICLE_LINE != kind
         kind = inner
     held.append(page[at:])
     flush()
     leave(0)
     flush()
-    return texts, kinds
+    return texts, kinds, articles
 
 
 def chosen(kinds: list[int]) -> int:
-    """The kind that holds the main text: article elements before main, main before other lines."""
+    """The kind that holds the main text if no other page tells: article elements before main, main before other lines."""
     return next((k for k in (ARTICLE_LINE, MAIN_LINE) if k in kinds), PLAIN_LINE)
 
 
@@ -251,8 +265,18 @@ def _bits(row: int, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n].astype(np.int64)
 
 
+def _numbered(texts: list[str], kinds: list[int], articles: list[int]) -> list[int]:
+    """One whole number for each line, which holds all that an alignment needs."""
+    made, last = [], 0
+    for text, kind, article in zip(texts, kinds, articles):
+        new = kind == ARTICLE_LINE and article != last
+        last = article if new else last
+        made.append(new << NEW_AT | kind << KIND_AT | xxhash.xxh32_intdigest(text) << 1 | (kind != BESIDE_LINE))
+    return made
+
+
 def _shared(own: list[int], path: str, neighbours: list[tuple[str | None, list[int] | None]]) -> list[int]:
-    """Numbers of the plain main lines that the neighbour with the longest common path start has too."""
+    """Numbers of the lines beside no furniture that the neighbour with the longest common path start has too."""
     real = [(p, x) for p, x in neighbours if x is not None]
     if not real:
         return []
@@ -264,22 +288,111 @@ def _shared(own: list[int], path: str, neighbours: list[tuple[str | None, list[i
 
 
 def _met(own: list[int], other: list[int]) -> list[int]:
-    hit = set(common([x >> 1 for x in own], [x >> 1 for x in other]))
+    hit = set(common([x >> 1 & HASH for x in own], [x >> 1 & HASH for x in other]))
     return [i for i, x in enumerate(own) if x & 1 and i in hit]
 
 
-def deletions(parsed: DataFrame) -> DataFrame:
-    """Lines to delete from pages that are ``parsed``: rows (c_url, c_mark, gone), gone the numbers (from 0) of a page's lines.
+def _marked(own: list[int]) -> dict[tuple[int, int], list[int]]:
+    """The numbers of the lines of each article element, and of main, by kind and place."""
+    found: dict[tuple[int, int], list[int]] = {}
+    article = 0
+    for i, x in enumerate(own):
+        kind = x >> KIND_AT & 3
+        article += x >> NEW_AT & 1
+        if kind in (ARTICLE_LINE, MAIN_LINE):
+            found.setdefault((kind, article if kind == ARTICLE_LINE else 0), []).append(i)
+    return found
+
+
+def _left(own: list[int], shared: list[int], furniture: set[tuple[int, int]]) -> list[int] | None:
+    """Numbers of the lines of the main text; null if that is what markup alone would take.
+
+    Of the elements that are marked and not the site's ``furniture`` the articles are the text, else main, each
+    as a whole; else the plain lines that are not ``shared``. If no line is left so, nothing but markup tells.
+    """
+    marked = _marked(own)
+    plain = [i for i, x in enumerate(own) if x >> KIND_AT & 3 == PLAIN_LINE]
+    first = next((k for k in (ARTICLE_LINE, MAIN_LINE) if any(k == kind for kind, _ in marked)), PLAIN_LINE)
+    simple = sorted(i for (kind, _), at in marked.items() if kind == first for i in at) if marked else plain
+    for k in (ARTICLE_LINE, MAIN_LINE):
+        left = sorted(i for (kind, n), at in marked.items() if kind == k and (kind, n) not in furniture for i in at)
+        if left:
+            return None if left == simple else left
+    gone = set(shared)
+    left = [i for i in plain if i not in gone]
+    return None if left == simple or marked and not left else left
+
+
+def _beside(own: list[int], path: str, neighbours: list[tuple[str | None, list[int] | None]]) -> tuple[list[int] | None, bool]:
+    """What is left of a page after its alignment with the nearer neighbour, and whether others must be asked."""
+    shared = _shared(own, path, neighbours)
+    met = set(shared)
+    if len(shared) > COPY * sum(x & 1 for x in own) or any(met.issuperset(at) for at in _marked(own).values()):
+        return None, True
+    return _left(own, shared, set()), False
+
+
+def _among(own: list[int], path: str, others: list[tuple[str, list[int]]]) -> tuple[list[int] | None, bool]:
+    """The same after alignment with several pages: plain lines must be in that which shares least, marked elements in all that are no near copies.
+
+    Paths that differ in query or fragment only are parts of one page, say of its comments, and do not count for these.
+    """
+    shared = [_met(own, x) for _, x in others]
+    bare = QUERY.split(path, 1)[0]
+    witnesses = [set(x) for x, (p, _) in zip(shared, others) if len(x) <= COPY * sum(y & 1 for y in own) and QUERY.split(p, 1)[0] != bare]
+    furniture = {r for r, at in _marked(own).items() if len(witnesses) >= WITNESSES and all(w.issuperset(at) for w in witnesses)}
+    return _left(own, min(shared, key=len), furniture), False
+
+
+#: Pages that a task holds as lists at once, besides as many that come before them.
+STEP_ROWS = 1000
+
+
+def _answers(batch: pa.RecordBatch, columns: list[str], found: list[tuple[list[int] | None, bool | None]]) -> pa.RecordBatch:
+    made = [pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.bool_())]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *made], [*columns, "left", "doubt"])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in page order with what is left of each beside its neighbours; doubt is null for the first and last row, which have one here."""
+    columns = ["host", "path", "same", "lines"]
+
+    def solved(batch: pa.RecordBatch, rows: list[tuple], before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        found: list[tuple[list[int] | None, bool | None]] = []
+        for last, (host, path, own), following in zip([before, *rows[:-1]], rows, [*rows[1:], after]):
+            if not any(x & 1 for x in own):
+                found.append((None, False))
+            elif last is None or following is None:
+                found.append((None, None))
+            else:
+                near = [(p, x) for h, p, x in (last, following) if h == host]
+                found.append(_beside(own, path, near) if near else (None, False))
+        return _answers(batch, columns, found)
+
+    before, held, rows = None, None, []
+    for batch in (b.slice(k, STEP_ROWS) for b in batches for k in range(0, b.num_rows, STEP_ROWS)):
+        coming = list(zip(*[batch.column(c).to_pylist() for c in ("host", "path", "lines")]))
+        if held is not None:
+            yield solved(held, rows, before, coming[0])
+            before = rows[-1]
+        held, rows = batch, coming
+    if held is not None:
+        yield solved(held, rows, before, None)
+
+
+def differences(parsed: DataFrame) -> DataFrame:
+    """Pages that are ``parsed`` whose main text is not what markup alone would take: rows (c_url, c_mark, left), left the numbers (from 0) of its lines.
 
     Pages stand in order of host and path (lower-case host; query and fragment count last). Pages of a host
     with equal lines are copies: they stand as one, where the first of them does, and lose the same lines. Every
-    page is aligned with one of its two neighbours on the same host, the one whose path begins alike for
-    longer. If more than 75 % of its plain lines are shared, they may be near copies, so it is aligned
-    with unlike pages further away on both sides too (``FURTHER``) and loses what the one that shares least has:
-    a template is shared with all of them, a copied text is not. A page without an unlike one on its host loses nothing.
+    page that has a line beside no furniture, marked or not, is aligned with one of its two neighbours on the same host, the one whose path
+    begins alike for longer. If more than 75 % of these lines are shared, they may be near copies; so may a marked
+    article or main be a copy if all its lines are. Then the page is aligned with unlike pages further away on both sides
+    too (``FURTHER``): a template is shared with all of them, a copied text is not. Plain lines go that the one has which shares least; a
+    marked element goes if all that are no near copies nor the same path with another query, two at least, have it. A page without an unlike one on its host loses nothing.
     The order is global: pages are range-sorted and numbered through partition counts, so a host
-    with a third of all pages is many tasks; only line hashes move. Equal pages (url and html)
-    are one. A page is aligned only if it has plain lines to lose.
+    with a third of all pages is many tasks, each of which reads its rows as a stream; only line hashes move. Equal pages (url and html)
+    are one.
     """
     spark = parsed.sparkSession
     place = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -288,44 +401,41 @@ def deletions(parsed: DataFrame) -> DataFrame:
     rows = rows.select("url", "mark", "host", "path", "lines").dropDuplicates(["url", "mark"])
     every = stored(rows.withColumn("same", F.xxhash64("lines")), "page-lines")
     rows = every.groupBy("host", "same", "lines").agg(F.min(F.struct("path", "mark")).alias("at")).select("host", "same", "at.*", "lines")
-    rows = stored(rows, "page-kinds").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    rows = stored(rows, "page-kinds").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order).select("host", "path", "same", "lines")
+    rows = rows.mapInArrow(_in_order, "host string, path string, same long, lines array<long>, left array<int>, doubt boolean")
     rows = stored(rows.withColumn("pos", F.monotonically_increasing_id()), "page-order")
     part = F.shiftright("pos", 33)
     counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    rows = rows.withColumn("part", part).join(base, "part").withColumn("nth", F.col("base") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)))
-    rows = stored(rows.select("nth", "host", "path", "lines", "same"), "page-places")
-    wanted = rows.where(F.exists("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1))
+    base = stored(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "page-parts")
+    rows = rows.withColumn("part", part).join(F.broadcast(base), "part").withColumn("nth", F.col("base") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)))
     other = rows.select(F.col("nth").alias("at"), F.col("host").alias("o_host"), F.struct("nth", "path", "lines").alias("other"))
 
-    def compared(asking: DataFrame, steps: tuple[int, ...], align) -> DataFrame:
+    def compared(asking: DataFrame, steps: tuple[int, ...], align, few: bool = False) -> DataFrame:
         asked = asking.select("nth", "host", F.explode(F.array(*[F.col("nth") + d * k for k in steps for d in (-1, 1)])).alias("at"))
-        met = asked.join(other, "at").where("host = o_host").groupBy("nth").agg(F.sort_array(F.collect_list("other")).alias("others"))
+        met = (F.broadcast(asked) if few else asked).join(other, "at").where("host = o_host").groupBy("nth").agg(F.sort_array(F.collect_list("other")).alias("others"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                gone, doubt = [], []
+                found = []
                 for own, path, others in zip(*[batch.column(c).to_pylist() for c in ("lines", "path", "others")]):
-                    gone.append(align(own, path, [(n["path"], n["lines"]) for n in others]))
-                    doubt.append(len(gone[-1]) > COPY * sum(x & 1 for x in own))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("nth", "host", "same")], pa.array(gone, pa.list_(pa.int32())), pa.array(doubt)], ["nth", "host", "same", "gone", "doubt"])
-
-        return asking.join(met, "nth").select("nth", "host", "same", "path", "lines", "others").mapInArrow(run, "nth long, host string, same long, gone array<int>, doubt boolean")
+                    found.append(align(own, path, [(n["path"], n["lines"]) for n in others]))
+                yield _answers(batch, ["nth", "host", "same"], found)
 
-    def least(own: list[int], path: str, others: list[tuple[str, list[int]]]) -> list[int]:
-        return min((_met(own, x) for _, x in others), key=len)
+        return asking.join(met, "nth").select("nth", "host", "same", "path", "lines", "others").mapInArrow(run, "nth long, host string, same long, left array<int>, doubt boolean")
 
-    near = stored(compared(wanted, (1,), _shared), "page-shared")
-    again = compared(wanted.join(near.where("doubt").select("nth"), "nth"), FURTHER, least)
-    cut = near.where("NOT doubt").unionAll(again).where(F.size("gone") > 0).select("host", "same", "gone")
-    return every.join(cut, ["host", "same"]).select(F.col("url").alias("c_url"), F.col("mark").alias("c_mark"), "gone")
+    # The first and last rows of the partitions, two of each at most.
+    ends = stored(compared(rows.where("doubt IS NULL").select("nth", "host", "same", "path", "lines"), (1,), _beside, few=True), "page-ends")
+    near = rows.where("doubt IS NOT NULL").select("nth", "host", "same", "left", "doubt").unionAll(ends)
+    again = compared(rows.select("nth", "host", "same", "path", "lines").join(near.where("doubt").select("nth"), "nth"), FURTHER, _among)
+    cut = near.unionAll(again).where("left IS NOT NULL").select("host", "same", "left")
+    return every.join(cut, ["host", "same"]).select(F.col("url").alias("c_url"), F.col("mark").alias("c_mark"), "left")
 
 
 def parse(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Each page read once: its other columns as ``row``, url, mark (a hash of the page), and its lines.
 
-    ``found`` holds the lines of the kind that has the main text and null for all others, ``numbers`` says which they are, ``lines``
-    is a hash of each line whose lowest bit marks plain main lines.
+    ``found`` holds the lines that stand beside no furniture and null for all others, ``numbers`` says which of them markup alone would take,
+    ``lines`` has a number for each line, furniture too, to align pages by.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,11 +443,11 @@ def parse(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
             for step in text_steps(batch, "page"):
                 found, numbers, hashes = [], [], []
                 for text in step.column("page"):
-                    texts, kinds = lines(text.as_py() or "")
+                    texts, kinds, articles = blocks(text.as_py() or "")
                     kind = chosen(kinds)
-                    found.append([t if k == kind else None for t, k in zip(texts, kinds)])
+                    found.append([t if k != BESIDE_LINE else None for t, k in zip(texts, kinds)])
                     numbers.append([i for i, k in enumerate(kinds) if k == kind])
-                    hashes.append([(xxhash.xxh32_intdigest(t) << 1) | (kind == k == PLAIN_LINE) for t, k in zip(texts, kinds)])
+                    hashes.append(_numbered(texts, kinds, articles))
                 made = [pa.array(found, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*[step.column(c) for c in ("row", "url", "mark")], *made], ["row", "url", "mark", "found", "numbers", "lines"])
 
@@ -347,28 +457,27 @@ def parse(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return rows.mapInArrow(read, f"row {kind}, url string, mark long, found array<string>, numbers array<int>, lines array<long>")
 
 
-#: Pages with deletions up to which their line numbers are sent to the readers; beyond, they are joined by a shuffle.
+#: Pages with differences up to which their line numbers are sent to the readers; beyond, they are joined by a shuffle.
 FEW_PAGES = 20_000
 
 
 def main_text(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """Every row and column of ``pages`` but the html, with ``text`` (main text, blocks joined by line feeds).
 
-    The lines inside article elements are the main text, else those inside main, else all lines
-    that stand beside neither marked navigation nor other furniture; from these plain lines those go
-    which the page nearest by URL has too (``deletions``), because nothing else tells a site's
-    furniture from text there. Lines that markup calls the article's are never deleted: pages that quote or copy each
+    Every page is aligned with the page nearest by URL, and what both have is the site's (``differences``); markup then
+    checks what is the page's own. Lines beside marked navigation or other furniture never are the text. Of the others the article elements
+    that hold lines of the page's own are the text, else main if it does, else the plain lines that are the page's own.
+    The shared lines of an article or main that has own ones stay: pages that quote or copy each
     other would lose text. Line breaks and table cells are white space.
 
     A null or empty page has empty text. A null url is a host of its own. Repeated pages are
     one page and get the same text. A column that is called text already is replaced.
     """
     rows = stored(parse(pages, url, page), "page-texts")
-    gone = stored(deletions(rows), "page-deletions")
-    if gone.count() <= FEW_PAGES:
-        gone = F.broadcast(gone)
-    rows = rows.join(gone, F.col("url").eqNullSafe(F.col("c_url")) & (F.col("mark") == F.col("c_mark")), "left")
-    left = F.when(F.col("gone").isNull(), F.col("numbers")).otherwise(F.array_except("numbers", "gone"))
-    text = F.array_join(F.transform(left, lambda i: F.get("found", i)), "\n")
+    told = stored(differences(rows), "page-differences")
+    if told.count() <= FEW_PAGES:
+        told = F.broadcast(told)
+    rows = rows.join(told, F.col("url").eqNullSafe(F.col("c_url")) & (F.col("mark") == F.col("c_mark")), "left")
+    text = F.array_join(F.transform(F.coalesce("left", "numbers"), lambda i: F.get("found", i)), "\n")
     others = [c for c in pages.columns if c != page]
     return rows.select(*[F.col(f"row.`{c}`") for c in others if c != "text"], text.alias("text"))

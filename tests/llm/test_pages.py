@@ -103,6 +103,70 @@ def test_templates_go_and_copies_keep_their_text(spark):
         assert texts[200 + i].split("\n") == [*(f"text {k}" for k in range(20)), f"version {i}"]
 
 
+TEASER = "<article><h2>Offer</h2><p>Read more</p></article>"
+
+
+def test_marked_pages_are_aligned_too(spark):
+    own = "".join(f"<p>own {{0}} {k}" for k in range(4))
+    rows = [(i, f"https://m.example/{i:03}", (TEASER + "<div>Home</div>" + own).format(i)) for i in range(30)]  # the mark is on the site's teaser
+    rows += [(100 + i, f"https://n.example/{i:03}", (TEASER + "<article>" + own + "</article><p>beside").format(i)) for i in range(30)]
+    rows += [(200 + i, f"https://o.example/{i:03}", (TEASER + "<main>" + own + "</main>").format(i)) for i in range(30)]
+    # An article that is quoted, or copied under other menus, stays whole, and so does one that few pages have.
+    rows += [(300 + i, f"https://p.example/{i:03}", f"<nav>menu {i}</nav><article><p>a<p>b {i // 2 % 2}</article><p>day {i}") for i in range(30)]
+    rows += [(400 + i, f"https://q.example/{i:03}", f"<article><p>quoted<p>own {i}</article>") for i in range(30)]
+    rows += [(500 + i, f"https://r.example/{i:03}", (TEASER + own).format(i)) for i in range(2)]
+    rows += [(600 + i, f"https://s.example/5?page={i:02}", ("<article><p>a<p>b</article>" + own).format(i)) for i in range(30)]  # parts of one page
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    for i in range(30):
+        for site in (0, 100, 200):
+            assert texts[site + i] == "\n".join(f"own {i} {k}" for k in range(4))
+        assert texts[300 + i] == f"a\nb {i // 2 % 2}"
+        assert texts[400 + i] == f"quoted\nown {i}"
+        assert texts[600 + i] == "a\nb"
+    assert texts[500] == texts[501] == "Offer\nRead more"
+
+
+def test_equals_alignment_in_one_list(spark, monkeypatch):
+    monkeypatch.setattr(extract, "STEP_ROWS", 3)
+    random.seed(4)
+    marks = ["<p>{}</p>", "<p>{}</p>", "<nav>{}</nav>", "<p>{}</p>", "<article>{}</article>", "<main>{}</main>", "<article><p>{}</p><p>{}</p></article>"]
+    rows = []
+    for i in range(400):
+        lines = [random.choice(marks) for _ in range(random.randrange(7))]
+        host = random.choice([0, 0, 1, 2, i])
+        text = {0: TEASER, 1: "<p>Home", 2: "<main><p>Home</main>"}.get(host, "") + "".join(m.replace("{}", f"line {random.choice([0, *random.choices(range(1000), k=4)])}") for m in lines)
+        rows.append((i, f"https://h{host}.example/{random.randrange(40)}/{i:03}", text))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+
+    hosts, changed = {}, 0
+    for i, url, page in rows:
+        host, _, path = url.removeprefix("https://").partition("/")
+        hosts.setdefault(host, []).append(("/" + path, i, *extract.blocks(page)))
+    for site in hosts.values():
+        site.sort()
+        unlike = {}
+        for path, _, *made in site:
+            unlike.setdefault(tuple(extract._numbered(*made)), path)
+        order = [(path, list(own)) for own, path in unlike.items()]
+        for path, i, texts, kinds, articles in site:
+            own = extract._numbered(texts, kinds, articles)
+            k = next(k for k, x in enumerate(order) if x[1] == own)
+
+            def at(*steps):
+                return [order[j] for s in steps for j in (k - s, k + s) if 0 <= j < len(order)]
+
+            left, doubt = extract._beside(own, order[k][0], at(1)) if at(1) and any(kinds) else (None, False)
+            if doubt:
+                left, _ = extract._among(own, order[k][0], at(*extract.FURTHER))
+            changed += left is not None
+            if left is None:
+                left = [j for j, x in enumerate(kinds) if x == extract.chosen(kinds)]
+            assert got[i] == "\n".join(texts[j] for j in left if kinds[j])
+    assert changed > 40
+
+
 def test_nearest_path_counts():
     own = [x << 1 | 1 for x in (1, 2, 3, 4)]
     far, near = [x << 1 for x in (1, 2)], [x << 1 for x in (3,)]
