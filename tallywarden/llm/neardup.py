@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywarden.llm.shared import WORD, components, parts, split_words, stored, strings, text_steps
+from tallywarden.llm.shared import WORD, components, parts, shuffled, split_words, stored, strings, text_steps
 
 #: Values that a sketch retains.
 KEEP = 32
@@ -23,8 +23,8 @@ OVERLAP = 0.56
 OVERLAP_80 = 0.47
 #: Documents, and shingles, that one task compares with each other at once.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 2_000_000
-#: Up to so many documents of loose groups (60 bytes each) their names are sent to the texts; beyond, the texts are shuffled to them.
-FEW_MEMBERS = 500_000
+#: Up to so many documents of loose groups (200 bytes each in the driver) their names are sent to the texts; beyond, the texts are shuffled to them.
+FEW_MEMBERS = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -207,18 +207,18 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, keep: int, ove
 
     values = classes.select("id", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare = values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("found"))
+    rare = values.join(shuffled(shared), "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("found"))
     size = F.size("sketch")
     lists = size - F.ceil(size * overlap).cast("int") + 1 - (size - F.size("found"))  # the others are rarer still
-    keyed = classes.join(rare, "id").select("id", "sketch", F.when(lists > 0, F.slice("found", F.lit(1), lists)).alias("found"))
+    keyed = classes.join(shuffled(rare), "id").select("id", "sketch", F.when(lists > 0, F.slice("found", F.lit(1), lists)).alias("found"))
     keyed = stored(keyed.where("found IS NOT NULL"), "prefixes").select("id", "sketch", F.explode("found.value").alias("value"))
     many = keyed.groupBy("value").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("blocks"), F.count("*").alias("members")).where("members > 1").drop("members")
-    loose = _compare(_blocks(keyed.join(many, "value"), "value", "blocks"), "value", partial(_alike_sketches, keep=keep, overlap=overlap))
+    loose = _compare(_blocks(keyed.join(shuffled(many), "value"), "value", "blocks"), "value", partial(_alike_sketches, keep=keep, overlap=overlap))
     groups = components(loose, "loose")
 
-    members = classes.select("id", "n", "first").join(groups.select(F.col("node").alias("id"), F.col("label").alias("grp")), "id")
+    members = classes.select("id", "n", "first").join(shuffled(groups.select(F.col("node").alias("id"), F.col("label").alias("grp"))), "id")
     cost = members.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).alias("blocks"))
-    members = stored(members.join(cost, "grp").select("id", "grp", "blocks", "first.*"), "members")
+    members = stored(members.join(shuffled(cost), "grp").select("id", "grp", "blocks", "first.*"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,18 +226,17 @@ def _groups(docs: DataFrame, text: str, width: int, percent: int, keep: int, ove
                 found, ends = shingles(step.column("text"), width)
                 yield pa.RecordBatch.from_arrays([step.column("id"), step.column("grp"), step.column("blocks"), _lists(found, ends)], ["id", "grp", "blocks", "shingles"])
 
-    if members.count() <= FEW_MEMBERS:
-        members = F.broadcast(members)
+    members = F.broadcast(members) if members.count() <= FEW_MEMBERS else shuffled(members)
     one = texts.select(*_named(), "text").join(members, ["no_id", "key", "th"])
     one = one.groupBy("id", "grp", "blocks").agg(F.first("text").alias("text"))  # repeated rows, combined before the shuffle
     full = one.mapInArrow(sets, "id long, grp long, blocks long, shingles array<long>")
     links = _compare(_blocks(full, "grp", "blocks"), "grp", partial(_alike_sets, percent=percent))
     reached = components(links, "linked")
 
-    labels = classes.select("mark", "id", "first").join(reached.withColumnRenamed("node", "id"), "id", "left")
+    labels = classes.select("mark", "id", "first").join(shuffled(reached.withColumnRenamed("node", "id")), "id", "left")
     labels = labels.select("mark", F.coalesce("label", "id").alias("grp"), "first")
     firsts = labels.groupBy("grp").agg(F.min("first").alias("first"))
-    return made.select("doc_id", "n", "mark"), labels.drop("first").join(firsts, "grp")
+    return made.select("doc_id", "n", "mark"), labels.drop("first").join(shuffled(firsts), "grp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 85, keep: int = KEEP, overlap: float = OVERLAP) -> DataFrame:
@@ -261,7 +260,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", width: int = 5, percent
     """
     made, groups = _groups(docs, text, width, percent, keep, overlap)
     least = F.when(~F.col("first.no_id"), F.col("first.key"))
-    out = made.join(groups.select("mark", least.alias("component_id")), "mark", "left")
+    out = made.join(shuffled(groups.select("mark", least.alias("component_id"))), "mark", "left")
     out = out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -277,5 +276,5 @@ def representatives(docs: DataFrame, text: str = "text", width: int = 5, percent
     worded = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
     rows = docs.select(F.struct("*").alias("row"), rest.alias("rest"), worded.alias("worded"), *_document(text))
     one = rows.where("worded").select("row", "rest", *_named()).groupBy("no_id", "key", "th").agg(F.min_by("row", "rest").alias("row"))
-    stay = one.join(groups.select("first.*").distinct(), ["no_id", "key", "th"], "left_semi")
+    stay = one.join(shuffled(groups.select("first.*").distinct()), ["no_id", "key", "th"], "left_semi")
     return stay.select("row.*").unionAll(rows.where("NOT worded").select("row.*"))

@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """One side of a join that grows with the data: it is sorted and merged, never sent everywhere on a guess of its size.
+
+    Spark guesses from the bytes of the stored files and the types of the columns read: packed numbers count as packed, a list
+    as one value. So 32 values a row look like one, before and after an explode, and adaptive execution keeps a broadcast once planned.
+    """
+    return side.hint("merge")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,7 +100,7 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     def told(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
         """Join rows with one row (a, m, n) per node, n the rows of the node."""
         hubs = least.where(F.col("n") > most).select("a", "m")
-        own = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.select("a", "m"), "a")
+        own = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(shuffled(least.select("a", "m")), "a")
         return own.unionByName(rows.join(F.broadcast(hubs), "a"))
 
     two = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
@@ -110,4 +119,4 @@ def _stars(two: DataFrame) -> bool:
     """Has every node one smaller neighbour, which itself has none?"""
     if not two.groupBy("a").count().where("count > 1").isEmpty():
         return False
-    return two.select("b").distinct().join(two.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    return two.select("b").distinct().join(shuffled(two.select(F.col("a").alias("b"))), "b", "left_semi").isEmpty()

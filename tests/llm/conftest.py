@@ -1,3 +1,5 @@
+from contextlib import contextmanager
+
 import duckdb
 import pytest
 
@@ -52,6 +54,24 @@ def none(spark, odd):
     return odd.where("false")
 
 
+@pytest.fixture
+def little_sent(spark):
+    """Let Spark send tables that it guesses to be below 10 MB, and fail if one proves larger than so many MB, as a small driver would."""
+
+    @contextmanager
+    def limit(mb):
+        conf = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": str(int(mb * 2**20))}
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key in conf:
+                spark.conf.unset(key)
+
+    return limit
+
+
 @pytest.fixture(scope="session")
 def words():
     return vocabulary()

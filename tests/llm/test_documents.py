@@ -264,6 +264,18 @@ def test_components_with_hubs(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in list(up))
 
 
+def test_near_duplicates_send_nothing_on_a_guess(spark, little_sent, monkeypatch):
+    """Sketches, shared values and groups are shuffled, though their files look small; so are names that are counted to be many."""
+    monkeypatch.setattr(neardup, "FEW_MEMBERS", 0)
+    rows = [(2 * k + copy, prose(k, 60) + " again" * copy) for k in range(150) for copy in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with little_sent(0.02):
+        found = neardup.near_duplicates(docs).collect()
+        stay = neardup.representatives(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(k, k - k % 2) for k in range(300)]
+    assert sorted(r.doc_id for r in stay) == list(range(0, 300, 2))
+
+
 def test_common_passage_makes_no_group(spark):
     """Half of all rows share a passage; only copies are linked, and the passage's lists cost nothing."""
     rows = [(i, prose(1, 30) + " " + prose(1000 + i, 60)) for i in range(400)] + [(1000 + i, prose(1000 + i, 60) + f" a{i} b{i}") for i in range(20)]
