@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywarden.llm.shared import WORD, stored
+from tallywarden.llm.shared import WORD, shuffled, stored
 
 #: A line of so many words is a chunk of its own.
 LONG_WORDS = 50
@@ -108,9 +108,9 @@ def removals(docs: DataFrame, text: str = "text", passage: int | None = None) ->
         found = found.withColumn("passage", F.lit(False)).unionByName(runs)
     found = stored(found, "line-chunks")
     again = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    wanted = found.join(again, "h").groupBy("id", "th").agg(F.collect_set(F.struct("first", "n", "h", *kind)).alias("wanted"))
+    wanted = found.join(shuffled(again), "h").groupBy("id", "th").agg(F.collect_set(F.struct("first", "n", "h", *kind)).alias("wanted"))
     wanted = wanted.select(F.col("id").alias("w_id"), F.col("th").alias("w_th"), "wanted")
-    texts = _keyed(docs, text).join(wanted, [*_same_row("", "w_")])
+    texts = _keyed(docs, text).join(shuffled(wanted), [*_same_row("", "w_")])
     texts = _once(texts, ["id", "th", "wanted"], F.split("text", "\n", -1).alias("lines"))
 
     def piece(c: Column) -> Column:
@@ -127,11 +127,11 @@ def removals(docs: DataFrame, text: str = "text", passage: int | None = None) ->
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("th"), F.col("first"))
     if not passage:
         kept = pieces.groupBy("h", "bytes").agg(F.min(place).alias("kept"))
-        gone = pieces.join(kept, ["h", "bytes"]).where(~place.eqNullSafe(F.col("kept")))
+        gone = pieces.join(shuffled(kept), ["h", "bytes"]).where(~place.eqNullSafe(F.col("kept")))
         lines = F.flatten(F.collect_list(F.sequence("first", F.col("first") + F.col("n") - 1)))
     else:
         kept = pieces.groupBy("h", *kind, "bytes").agg(F.min(F.struct(place.alias("at"), "n")).alias("kept"))
-        gone = pieces.join(kept, ["h", *kind, "bytes"]).where(~place.eqNullSafe(F.col("kept.at")))
+        gone = pieces.join(shuffled(kept), ["h", *kind, "bytes"]).where(~place.eqNullSafe(F.col("kept.at")))
         here = F.col("id").eqNullSafe(F.col("kept.at.id")) & (F.col("th") == F.col("kept.at.th"))
         gone = gone.where(~(F.col("passage") & here & (F.col("first") < F.col("kept.at.first") + F.col("kept.n"))))
         lines = F.array_distinct(F.flatten(F.collect_set(F.sequence("first", F.col("first") + F.col("n") - 1))))
@@ -148,7 +148,7 @@ def dedupe(docs: DataFrame, text: str = "text", passage: int | None = None) -> D
     column that is called lines_removed already is replaced.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("th"))
-    rows = rows.join(removals(docs, text, passage), _same_row("", "r_"), "left").select("row", "gone")
+    rows = rows.join(shuffled(removals(docs, text, passage)), _same_row("", "r_"), "left").select("row", "gone")
     rows = _once(rows, ["row", "gone"], F.when(F.col("gone").isNotNull(), F.split(f"row.{text}", "\n", -1)).alias("lines"))
     stay = F.array_except(F.sequence(F.lit(1), F.size("lines")), "gone")  # by hash, in order
     rows = _once(rows, ["row", "gone", "lines"], F.when(F.col("gone").isNotNull(), stay).alias("stay"))

@@ -139,6 +139,16 @@ def test_repeated_passages_go_whole(spark):
     assert got[900].text.count("again") >= 1
 
 
+@pytest.mark.parametrize("passage", [None, 50])
+def test_lines_send_nothing_on_a_guess(spark, little_sent, passage):
+    """Hashes and pieces that stand twice are shuffled, though their files look small."""
+    rows = [(k, "\n".join(prose(k % 70 * 20 + i, 12) for i in range(20))) for k in range(140)]
+    with little_sent(0.02):
+        got = {r.doc_id: r for r in linededup.dedupe(spark.createDataFrame(rows, "doc_id long, text string"), passage=passage).collect()}
+    assert all(got[k].text == text for k, text in rows[:70])
+    assert all(got[k].lines_removed >= (20 if passage else 2) for k in range(70, 140))
+
+
 def test_pipeline_drops_exact_copies_of_short_lines(spark):
     text = "\n".join(prose(700 + i, 6) for i in range(15))
     docs = spark.createDataFrame([(k, text, "en", "a", len(text)) for k in range(4)], SCHEMA)
